@@ -128,11 +128,10 @@ def json_length(df: DataFrame, name: str) -> Column:
     """Length of the cell written as JSON, in UTF-16 units."""
     cell, dtype = column(name), data_type(df, name)
     if is_text(dtype):
-        # Quotes, backslashes and the five short escapes take two units; other controls take six.
-        short = F.length(cell) - F.length(F.translate(cell, '"\\\b\f\n\r\t', ""))
-        controls = F.lit(5) * F.regexp_count(cell, F.lit(r"[\x00-\x07\x0B\x0E-\x1F]"))
-        wide = F.regexp_count(cell, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-        size = F.lit(2) + F.length(cell) + short + controls + wide
+        # The escaped text stands in {"v":...}; letters beyond the basic plane take two units.
+        escaped = F.length(F.to_json(F.struct(cell.alias("v")))) - 6
+        wide = F.octet_length(F.encode(cell, "UTF-16BE")) / 2 - F.length(cell)
+        size = F.when(cell.isNotNull(), (escaped + wide).cast("long"))
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
         size = F.when(
             F.abs(cell) <= F.lit(_LARGEST_DOUBLE), F.length(number_text(cell.cast("double")))

@@ -34,10 +34,16 @@ class Measure:
     column: str
     count: int = 0
     null_count: int = 0
+    mean: float | None = None
     min: float | None = None
     max: float | None = None
     sketch: list[float] | None = None  # two enclosing values per quarter
-    mean: float | None = None
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Second-pass figures: spread and shape around the mean."""
+
     std: float | None = None
     skewness: float | None = None
     kurtosis: float | None = None
@@ -66,33 +72,87 @@ def _passes(columns: list[str]) -> list[list[str]]:
     return [columns[i : i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)]
 
 
-def measure(
-    df: DataFrame, columns: list[str], null_policy: str = "skip", moments: bool = True
-) -> list[Measure]:
-    """Counts, extremes, quantile sketches and, if asked, moments of every column in one scan."""
+def measure(df: DataFrame, columns: list[str], null_policy: str = "skip") -> list[Measure]:
+    """Counts, means, extremes and quantile sketches of every column in one scan."""
     x = usable(F.col("x"), null_policy)
     fractions = [p + side * ranks.MARGIN for p in QUARTERS for side in (-1, 1)]
-    figures = [
-        F.count(x).alias("count"),
-        F.count_if(F.col("x").isNull()).alias("null_count"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        ranks.sketched_quantiles(x, fractions).alias("sketch"),
-    ]
-    if moments:
-        figures += [
-            F.avg(x).alias("mean"),
-            F.stddev_pop(x).alias("std"),
-            F.skewness(x).alias("skewness"),
-            F.kurtosis(x).alias("kurtosis"),
-        ]
     found = {}
     for part in _passes(columns):
-        rows = long_numbers(df, part).groupBy("column").agg(*figures).collect()
+        rows = (
+            long_numbers(df, part)
+            .groupBy("column")
+            .agg(
+                F.count(x).alias("count"),
+                F.count_if(F.col("x").isNull()).alias("null_count"),
+                F.avg(x).alias("mean"),
+                F.min(x).alias("min"),
+                F.max(x).alias("max"),
+                ranks.sketched_quantiles(x, fractions).alias("sketch"),
+            )
+            .collect()
+        )
         found.update({r["column"]: Measure(**r.asDict()) for r in rows})
     return [found.get(c) or Measure(c) for c in columns]
 
 
+def _bin_index(bins: int):
+    """Bin of x between low and high; a column of equal values has one bin."""
+    x, low, width = F.col("x"), F.col("low"), F.col("width")
+    place = F.least(F.floor(F.try_divide(x - low, width)), F.lit(bins - 1)).cast("int")
+    return F.when(width == 0, 0).otherwise(place)
+
+
+def _edges(spark, limits: list[tuple], bins: int) -> DataFrame:
+    rows = [(c, low, high, (high - low) / bins) for c, low, high in limits]
+    return small_table(spark, rows, "column string, low double, high double, width double")
+
+
+def binned_powers(df: DataFrame, measures: list[Measure], bins: int, null_policy: str = "skip") -> DataFrame:
+    """Per column and bin: the count, and the sums of the 2nd to 4th powers around the mean.
+
+    With one bin this is all that the moments need; with more it gives the histogram as well.
+    """
+    known = [m for m in measures if m.count]
+    edges = _edges(df.sparkSession, [(m.column, m.min, m.max) for m in known], bins)
+    means = small_table(df.sparkSession, [(m.column, m.mean) for m in known], "column string, mean double")
+    d = F.col("x") - F.col("mean")
+    return (
+        usable_numbers(df, [m.column for m in known], null_policy)
+        # One row per column is broadcast.
+        .join(F.broadcast(edges.join(means, "column")), "column")
+        .select("column", _bin_index(bins).alias("bin"), d.alias("d"))
+        .groupBy("column", "bin")
+        .agg(
+            F.count(F.lit(1)).alias("count"),
+            F.sum(F.col("d") * F.col("d")).alias("p2"),
+            F.sum(F.col("d") * F.col("d") * F.col("d")).alias("p3"),
+            F.sum(F.col("d") * F.col("d") * F.col("d") * F.col("d")).alias("p4"),
+        )
+    )
+
+
+def moments(measures: list[Measure], powers: list) -> dict[str, Moments]:
+    """Population moments from the collected rows of :func:`binned_powers`.
+
+    The deviation, skewness and excess kurtosis of a constant column are 0.
+    """
+    sums = {m.column: [0.0, 0.0, 0.0] for m in measures}
+    for r in powers:
+        sums[r["column"]] = [total + r[p] for total, p in zip(sums[r["column"]], ("p2", "p3", "p4"))]
+    out = {}
+    for m in measures:
+        if not m.count:
+            out[m.column] = Moments()
+            continue
+        second, third, fourth = (total / m.count for total in sums[m.column])
+        std = second**0.5 if m.min < m.max else 0.0
+        if std == 0:
+            out[m.column] = Moments(0.0, 0.0, 0.0)
+        else:
+            out[m.column] = Moments(std, third / std / std / std, fourth / std / std / std / std - 3)
+    return out
+
+
 def locate_quartiles(
     df: DataFrame,
     measures: list[Measure],
@@ -119,15 +179,14 @@ def locate_quartiles(
     return out
 
 
-def profile_rows(measures: list[Measure], quartiles: dict[str, Quartiles]) -> list[tuple]:
+def profile_rows(
+    measures: list[Measure], quartiles: dict[str, Quartiles], shapes: dict[str, Moments]
+) -> list[tuple]:
     rows = []
     for m in measures:
-        q = quartiles[m.column]
-        # A constant column has no skewness or kurtosis of its own; both are given as 0.
-        skewness = (m.skewness or 0.0) if m.count else None
-        kurtosis = (m.kurtosis or 0.0) if m.count else None
+        q, s = quartiles[m.column], shapes[m.column]
         rows.append(
-            (m.column, m.mean, q.median, m.std, m.min, m.max, q.q25, q.q75, skewness, kurtosis, m.null_count)
+            (m.column, m.mean, q.median, s.std, m.min, m.max, q.q25, q.q75, s.skewness, s.kurtosis, m.null_count)
         )
     return rows
 
@@ -136,13 +195,14 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, null_policy
     """One row per numeric column. A column without valid numbers keeps its row, with nulls."""
     columns = numeric_columns(df) if columns is None else columns
     measures = measure(df, columns, null_policy)
-    quartiles = locate_quartiles(df, measures, null_policy)
-    return small_table(df.sparkSession, profile_rows(measures, quartiles), PROFILE_SCHEMA)
+    found = locate_quartiles(df, measures, null_policy)
+    shapes = moments(measures, binned_powers(df, measures, 1, null_policy).collect())
+    return small_table(df.sparkSession, profile_rows(measures, found, shapes), PROFILE_SCHEMA)
 
 
 def quartiles(df: DataFrame, columns: list[str] | None = None, null_policy: str = "skip") -> DataFrame:
     columns = numeric_columns(df) if columns is None else columns
-    found = locate_quartiles(df, measure(df, columns, null_policy, moments=False), null_policy)
+    found = locate_quartiles(df, measure(df, columns, null_policy), null_policy)
     rows = [(c, found[c].q25, found[c].median, found[c].q75) for c in columns]
     return small_table(df.sparkSession, rows, QUARTILE_SCHEMA)
 
@@ -164,34 +224,30 @@ def histogram(
     columns: list[str] | None = None,
     bins: int = HISTOGRAM_BINS,
     null_policy: str = "skip",
-    limits: list[tuple] | None = None,
 ) -> DataFrame:
-    """Equal-width bins from min to max, empty ones kept; one bin where all values are equal.
-
-    ``limits`` takes the (column, min, max) rows of a profile already at hand, and saves a scan.
-    """
+    """Equal-width bins from min to max, empty ones kept; one bin where all values are equal."""
     columns = numeric_columns(df) if columns is None else columns
-    limits = extremes(df, columns, null_policy) if limits is None else limits
-    edges = small_table(
-        df.sparkSession,
-        [(c, low, high, (high - low) / bins) for c, low, high in limits],
-        "column string, low double, high double, width double",
-    )
-    x, low, width = F.col("x"), F.col("low"), F.col("width")
-    index = F.when(width == 0, 0).otherwise(
-        F.least(F.floor(F.try_divide(x - low, width)), F.lit(bins - 1)).cast("int")
-    )
+    limits = extremes(df, columns, null_policy)
     counts = (
         usable_numbers(df, columns, null_policy)
-        .join(F.broadcast(edges), "column")
-        .groupBy("column", index.alias("bin"))
+        # One row per column is broadcast.
+        .join(F.broadcast(_edges(df.sparkSession, limits, bins)), "column")
+        .groupBy("column", _bin_index(bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    return histogram_table(limits, counts, bins)
+
+
+def histogram_table(limits: list[tuple], counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """All bins of the columns in ``limits`` beside the counts of the bins that hold values."""
+    edges = _edges(counts.sparkSession, limits, bins)
+    low, width = F.col("low"), F.col("width")
     last = F.when(width == 0, 0).otherwise(bins - 1)
     frame = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), last)))
     start = low + F.col("bin") * width
     stop = low + (F.col("bin") + 1) * width
     single = width == 0
+    # The counts hold at most one row per column and bin.
     return frame.join(F.broadcast(counts), ["column", "bin"], "left").select(
         "column",
         "bin",
@@ -202,3 +258,19 @@ def histogram(
         .otherwise(F.concat(fixed_text(start, 2), F.lit("–"), fixed_text(stop, 2)))
         .alias("label"),
     )
+
+
+def numeric_with_histogram(
+    df: DataFrame, columns: list[str], null_policy: str = "skip"
+) -> tuple[DataFrame, DataFrame, dict[str, Quartiles]]:
+    """The numeric profile and the histogram in three scans: figures, quartiles, bins with powers."""
+    spark = df.sparkSession
+    measures = measure(df, columns, null_policy) if columns else []
+    found = locate_quartiles(df, measures, null_policy)
+    limits = [(m.column, m.min, m.max) for m in measures if m.count]
+    powers = binned_powers(df, measures, HISTOGRAM_BINS, null_policy).collect() if limits else []
+    profile = small_table(spark, profile_rows(measures, found, moments(measures, powers)), PROFILE_SCHEMA)
+    counts = small_table(
+        spark, [(r["column"], r["bin"], r["count"]) for r in powers], "column string, bin int, count long"
+    )
+    return profile, histogram_table(limits, counts), found

@@ -31,7 +31,7 @@ def _outside(df: DataFrame, name: str, limits: tuple[float, float], null_policy:
 
 def _limits(df, columns, null_policy, quartiles):
     if quartiles is None:
-        quartiles = locate_quartiles(df, measure(df, columns, null_policy, moments=False), null_policy)
+        quartiles = locate_quartiles(df, measure(df, columns, null_policy), null_policy)
     return fences(quartiles)
 
 

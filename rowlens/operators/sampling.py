@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.functions.cells import column
@@ -10,50 +10,116 @@ from rowlens.functions.small import small_table
 from rowlens.sources.scratch import checkpoint_root
 
 SAMPLE_ROWS = 50_000
+# Largest group of rows with equal order keys that one task may put in order.
+TIE_LIMIT = 1_000_000
+# Samples up to this size are broadcast to pick their rows.
+_BROADCAST_ROWS = 200_000
 
 # monotonically_increasing_id holds the partition number above this bit, the row number below.
 _ROW_BITS = 33
 
 
-def systematic_sample(df: DataFrame, order_by: list[str], size: int = SAMPLE_ROWS) -> DataFrame:
+def systematic_sample(
+    df: DataFrame, order_by: list[str], size: int = SAMPLE_ROWS, tie_limit: int = TIE_LIMIT
+) -> DataFrame:
     """Rows at positions floor(i * rows / size), i < size; the whole table where it is no larger.
 
     ``order_by`` states the row order; rows that tie on it are taken in order of the other columns,
     so that the sample does not depend on how the table is laid out.
 
-    The rows are sorted by range over all executors, and the sorted partitions are written to the
-    checkpoint folder: positions rest on the rows per partition, which a recomputed sort could
-    place differently. Only those counts reach the driver.
+    Only the order keys are sorted, over all executors, equal keys combined first. The sampled rows
+    are then picked from the table by key. Where a sampled key is held by more rows than one task
+    should order, all columns serve as the key instead: rows that still tie are identical.
     """
     if size < 1:
         raise ValueError("size must be positive")
-    if df.count() <= size:
+    total = df.count()
+    if total <= size:
         return df
+    hits = _hits(df, order_by, total, size)
+    copies = hits.agg(F.max("_copies").alias("copies")).first()["copies"]
+    if copies == 1:
+        return df.join(_offered(hits, size), _same(df, hits, order_by), "left_semi")
+    if copies > tie_limit:
+        others = [c for c in df.columns if c not in order_by]
+        return _hits(df, order_by + others, total, size).select(*[column(c) for c in df.columns])
+    return _picked(df, hits, order_by, size)
+
+
+def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
+    """Sampled positions: the keys, the rows that hold them, and the place among those rows.
+
+    The sorted keys are written to the checkpoint folder, since positions rest on the rows before
+    each partition and a sort computed again could split them elsewhere. So are the positions found,
+    one row per sampled row. Only the row count of each partition reaches the driver.
+    """
     checkpoint_root(df.sparkSession)
-    keys = order_by + [c for c in df.columns if c not in order_by]
-    ordered = df.orderBy(*[column(c) for c in keys]).checkpoint()
+    grouped = df.groupBy(*[column(c) for c in keys]).agg(F.count(F.lit(1)).alias("_copies"))
+    ordered = grouped.orderBy(*[column(c) for c in keys]).checkpoint()
     numbered = ordered.withColumn("_id", F.monotonically_increasing_id()).select(
-        *[column(c) for c in df.columns],
+        *[column(c) for c in keys],
+        "_copies",
         F.shiftright("_id", _ROW_BITS).cast("int").alias("_part"),
         F.col("_id").bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_row"),
     )
-    held = dict(numbered.groupBy("_part").count().collect())
-    total = sum(held.values())
+    held = numbered.groupBy("_part").agg(F.sum("_copies").alias("rows"), F.max("_copies").alias("most")).collect()
     starts, passed = [], 0
-    for part in sorted(held):
-        starts.append((part, passed))
-        passed += held[part]
-    offsets = small_table(df.sparkSession, starts, "_part int, _start long")
+    for part in sorted(held, key=lambda r: r["_part"]):
+        starts.append((part["_part"], passed))
+        passed += part["rows"]
+    if max(part["most"] for part in held) == 1:
+        before = F.col("_row")
+    else:
+        upward = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_copies").over(upward), F.lit(0))
+    offsets = small_table(df.sparkSession, starts, "_part int, _before long")
     # One row per partition is broadcast.
-    positioned = numbered.join(F.broadcast(offsets), "_part").withColumn("_pos", F.col("_start") + F.col("_row"))
-    return positioned.where(_is_sampled(F.col("_pos"), total, size)).select(*[column(c) for c in df.columns])
-
-
-def _is_sampled(position, total: int, size: int):
-    step = total / size
-    nearest = F.floor(position / F.lit(step))
-    hits = [
-        (F.floor(i * F.lit(step)) == position) & (i >= 0) & (i < size)
-        for i in (nearest - 1, nearest, nearest + 1)
-    ]
-    return hits[0] | hits[1] | hits[2]
+    placed = (
+        numbered.withColumn("_inside", before)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn("_first", F.col("_before") + F.col("_inside"))
+    )
+    positions = _positions(F.col("_first"), F.col("_copies"), total, size)
+    found = (
+        placed.where(_may_hold(F.col("_first"), F.col("_copies"), total, size))
+        .select(*[column(c) for c in keys], "_copies", "_first", F.explode(positions).alias("_position"))
+        .select(*[column(c) for c in keys], "_copies", (F.col("_position") - F.col("_first")).alias("_offset"))
+    )
+    return found.checkpoint()
+
+
+def _may_hold(first: Column, copies: Column, total: int, size: int) -> Column:
+    """Cheap test that no run of rows with a sampled position fails."""
+    step = F.lit(total / size)
+    return F.ceil((first - 1) / step) <= F.floor((first + copies + 1) / step)
+
+
+def _positions(first: Column, copies: Column, total: int, size: int) -> Column:
+    """Sampled positions in [first, first + copies)."""
+    step = F.lit(total / size)
+    nearby = F.sequence(F.floor(first / step) - 1, F.floor((first + copies) / step) + 1)
+    asked = F.filter(nearby, lambda i: (i >= 0) & (i < size))
+    places = F.transform(asked, lambda i: F.floor(i * step))
+    return F.filter(places, lambda p: (p >= first) & (p < first + copies))
+
+
+def _offered(hits: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(hits) if size <= _BROADCAST_ROWS else hits
+
+
+def _same(df: DataFrame, hits: DataFrame, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for key in keys:
+        same = same & df[key].eqNullSafe(hits[key])
+    return same
+
+
+def _picked(df: DataFrame, hits: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Rows of the sampled keys at the sampled places of their ties."""
+    tied = df.join(_offered(hits, size), _same(df, hits, keys), "left_semi")
+    others = [column(c) for c in df.columns if c not in keys]
+    order = Window.partitionBy(*[column(c) for c in keys]).orderBy(*(others or [F.lit(0)]))
+    placed = tied.withColumn("_offset", (F.row_number().over(order) - 1).cast("long"))
+    wanted = hits.drop("_copies")
+    same = _same(placed, wanted, keys) & (placed["_offset"] == wanted["_offset"])
+    return placed.join(_offered(wanted, size), same, "left_semi").select(*[column(c) for c in df.columns])

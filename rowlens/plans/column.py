@@ -29,12 +29,9 @@ def column_overview(df: DataFrame, name: str, types: dict[str, str] | None = Non
 
 
 def numeric_column(df: DataFrame, name: str, null_policy: str = "skip") -> tuple[DataFrame, DataFrame]:
-    """Statistics and histogram of a numeric column, the histogram using the statistics' limits."""
-    measures = numeric.measure(df, [name], null_policy)
-    found = numeric.locate_quartiles(df, measures, null_policy)
-    stats = small_table(df.sparkSession, numeric.profile_rows(measures, found), numeric.PROFILE_SCHEMA)
-    limits = [(m.column, m.min, m.max) for m in measures if m.count]
-    return stats, numeric.histogram(df, [name], null_policy=null_policy, limits=limits)
+    """Statistics and histogram of a numeric column."""
+    stats, bins, _ = numeric.numeric_with_histogram(df, [name], null_policy)
+    return stats, bins
 
 
 def categorical_column(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

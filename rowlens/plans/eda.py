@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.functions.small import small_table
+from rowlens.functions.small import pinned, small_table
 from rowlens.operators import categorical, numeric, sampling, schema, table
 
 OVERVIEW_SCHEMA = (
@@ -59,16 +59,15 @@ def full_profile(
     sampled = sample_threshold is not None and rows > sample_threshold
     if sampled and not order_by:
         raise ValueError("a sample needs order_by")
-    source = sampling.systematic_sample(df, order_by, sample_threshold) if sampled else df
+    # A sample is small by its definition, and read by every pass below.
+    source = sampling.systematic_sample(df, order_by, sample_threshold).persist() if sampled else df
     source_rows = sample_threshold if sampled else rows
 
-    measures = numeric.measure(source, numbers, null_policy) if numbers else []
-    quartiles = numeric.locate_quartiles(source, measures, null_policy)
+    figures, histogram, quartiles = numeric.numeric_with_histogram(source, numbers, null_policy)
     spark = df.sparkSession
     counts = dict(missing)
-    profile = [(*row[:-1], counts[row[0]]) for row in numeric.profile_rows(measures, quartiles)]
-    limits = [(m.column, m.min, m.max) for m in measures if m.count]
-    histogram = numeric.histogram(source, numbers, null_policy=null_policy, limits=limits) if limits else None
+    # Missing cells are counted on the whole table, also where the figures are those of a sample.
+    profile = [(*row[:-1], counts[row["column"]]) for row in figures.collect()]
     if categories:
         found, top = categorical.frequencies(source, categories, source_rows)
     else:
@@ -77,6 +76,7 @@ def full_profile(
 
     duplicates = table.duplicate_rows(source).first()["duplicate_rows"]
     if sampled:
+        source.unpersist()
         duplicates = int(duplicates / source_rows * rows + 0.5)
     size = table.memory_estimate(df).first()["memory_mb"] if memory else None
     overview = (
@@ -100,7 +100,7 @@ def full_profile(
             schema.TYPES_SCHEMA,
         ),
         numeric=small_table(spark, profile, numeric.PROFILE_SCHEMA),
-        histogram=_pinned_histogram(spark, histogram),
+        histogram=pinned(histogram),
         categorical=_with_missing(spark, found, categories, counts),
         top_values=top,
         missing=table.missing_table(df, rows, missing),
@@ -108,11 +108,6 @@ def full_profile(
     )
 
 
-def _pinned_histogram(spark, histogram: DataFrame | None) -> DataFrame:
-    rows = histogram.collect() if histogram is not None else []
-    return small_table(spark, rows, numeric.HISTOGRAM_SCHEMA)
-
-
 def _with_missing(spark, found: DataFrame, categories: list[str], counts: dict[str, int]) -> DataFrame:
     """The categorical profile with the whole table's missing counts, and a row for every column."""
     known = {r["column"]: r for r in found.collect()}

@@ -175,7 +175,7 @@ def recommendations(profile: Profile, facts: _Facts | None = None) -> DataFrame:
     skewed, numbers = f.skewed.count(), f.numbers.count()
     wide = f.categories.where(F.col("unique_count") > HIGH_CARDINALITY)
     cells = f.row["rows"] * f.row["cols"]
-    null_pct = 100 * f.row["missing_cells"] / cells if cells else 0.0
+    null_pct = f.row["missing_cells"] / cells * 100 if cells else 0.0
     duplicates = f.row["duplicate_rows"]
     missing = "address_missing_values" if null_pct > MISSING_RATE_PCT else "missing_rate_acceptable"
     rows = [

@@ -109,7 +109,7 @@ def frequencies(source: str, columns: list[str], prefix: str = "") -> dict[str,
         "abs(coalesce(-sum((c / n) * log2(c / n)) FILTER (WHERE value IS NOT NULL), 0)) AS entropy "
         f'FROM {p}counts k JOIN {p}totals t ON k."column" = t."column" GROUP BY 1',
         f"{p}top": f'SELECT k."column", CAST(row_number() OVER (PARTITION BY k."column" ORDER BY c DESC, value) '
-        "AS INTEGER) AS rank, value, c AS count, " + half("100.0 * c / rows", 2) + " AS pct "
+        "AS INTEGER) AS rank, value, c AS count, " + half("CAST(c AS DOUBLE) / rows * 100", 2) + " AS pct "
         f'FROM {p}counts k JOIN {p}totals t ON k."column" = t."column" WHERE value IS NOT NULL',
     }
 
@@ -135,7 +135,7 @@ def missing_ctes(columns: list[str]) -> dict[str, str]:
     ]
     return {
         "allmiss": union(rows),
-        "miss": 'SELECT "column", position, count, ' + half("100.0 * count / rows", 2) + " AS pct FROM allmiss "
+        "miss": 'SELECT "column", position, count, ' + half("CAST(count AS DOUBLE) / rows * 100", 2) + " AS pct FROM allmiss "
         "WHERE count > 0",
     }
 
@@ -215,7 +215,7 @@ def outlier_ctes() -> dict[str, str]:
         "outl": 'SELECT f."column", f.position, lower, upper, count(*) FILTER (WHERE x < lower OR x > upper) AS count, '
         'count(*) AS n FROM fenced f JOIN valid v ON v."column" = f."column" GROUP BY ALL',
         "outliers": "SELECT \"column\", position, 'IQR' AS method, count, "
-        + half("100.0 * count / n", 2)
+        + half("CAST(count AS DOUBLE) / n * 100", 2)
         + " AS pct, "
         + half("lower")
         + " AS lower_bound, "
@@ -393,7 +393,7 @@ def fact(section: str, code: str, value: str, when: str = "true", severity: str
 
 
 SKEWED = "n WHERE abs(skewness) > 1"
-NULL_PCT = "(100.0::DOUBLE * nulls / (rows * cols))"
+NULL_PCT = "(CAST(nulls AS DOUBLE) / (rows * cols) * 100)"
 
 
 def rules(parts: list[str]) -> str:
@@ -406,7 +406,7 @@ def rules(parts: list[str]) -> str:
 ISSUES = [
     rule("issue", "high_null_columns", "miss WHERE pct > 10", order="position"),
     fact("issue", "duplicate_rows", "dup", "dup > 0"),
-    fact("issue", "duplicate_pct", half("100.0 * dup / rows", 1), "dup > 0"),
+    fact("issue", "duplicate_pct", half("CAST(dup AS DOUBLE) / rows * 100", 1), "dup > 0"),
     rule("issue", "id_like_columns", "c WHERE unique_count > 0.9 * (SELECT rows FROM facts)"),
 ]
 FINDINGS = [
@@ -676,7 +676,7 @@ ORACLES: dict[str, str] = {
         {**numbers(GAPS_SQL, ["amount"]), **frequencies(GAPS_SQL, ["amount"], "c")},
         rounded(
             'SELECT g."column", \'numeric\' AS dtype, g.null_count, '
-            + half("100.0 * g.null_count / g.rows", 2)
+            + half("CAST(g.null_count AS DOUBLE) / g.rows * 100", 2)
             + ' AS null_pct, c.unique_count, num.* EXCLUDE ("column", null_count) FROM gone g '
             'JOIN num ON num."column" = g."column" JOIN ccat c ON c."column" = g."column"',
             ["null_pct", *FIGURES],
@@ -686,7 +686,7 @@ ORACLES: dict[str, str] = {
     "column_categorical": with_tables(
         frequencies(GAPS_SQL, ["tag"]),
         "SELECT t.*, " + half("entropy") + " AS entropy, 'categorical' AS dtype, null_count, "
-        + half("100.0 * null_count / rows", 2)
+        + half("CAST(null_count AS DOUBLE) / rows * 100", 2)
         + ' AS null_pct, unique_count FROM top t JOIN cat c ON c."column" = t."column" '
         'JOIN totals s ON s."column" = t."column" WHERE rank <= 20',
     ),
