@@ -39,13 +39,18 @@ def systematic_sample(
     hits = _hits(df, order_by, total, size)
     copies = hits.agg(F.max("_copies").alias("copies")).first()["copies"]
     if copies == 1:
-        return df.join(_offered(hits, size), _same(df, hits, order_by), "left_semi")
+        return df.join(_offered(hits, size), _same(order_by), "left_semi")
     if copies > tie_limit:
-        others = [c for c in df.columns if c not in order_by]
-        return _hits(df, order_by + others, total, size).select(*[column(c) for c in df.columns])
+        keys = order_by + [c for c in df.columns if c not in order_by]
+        found = _hits(df, keys, total, size)
+        return found.select(*[F.col(_key(keys.index(c))).alias(c) for c in df.columns])
     return _picked(df, hits, order_by, size)
 
 
+def _key(position: int) -> str:
+    return f"_key_{position}"
+
+
 def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
     """Sampled positions: the keys, the rows that hold them, and the place among those rows.
 
@@ -54,10 +59,11 @@ def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
     one row per sampled row. Only the row count of each partition reaches the driver.
     """
     checkpoint_root(df.sparkSession)
-    grouped = df.groupBy(*[column(c) for c in keys]).agg(F.count(F.lit(1)).alias("_copies"))
-    ordered = grouped.orderBy(*[column(c) for c in keys]).checkpoint()
+    names = [_key(i) for i in range(len(keys))]
+    grouped = df.groupBy(*[column(c).alias(n) for c, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_copies"))
+    ordered = grouped.orderBy(*names).checkpoint()
     numbered = ordered.withColumn("_id", F.monotonically_increasing_id()).select(
-        *[column(c) for c in keys],
+        *names,
         "_copies",
         F.shiftright("_id", _ROW_BITS).cast("int").alias("_part"),
         F.col("_id").bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_row"),
@@ -82,8 +88,8 @@ def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
     positions = _positions(F.col("_first"), F.col("_copies"), total, size)
     found = (
         placed.where(_may_hold(F.col("_first"), F.col("_copies"), total, size))
-        .select(*[column(c) for c in keys], "_copies", "_first", F.explode(positions).alias("_position"))
-        .select(*[column(c) for c in keys], "_copies", (F.col("_position") - F.col("_first")).alias("_offset"))
+        .select(*names, "_copies", "_first", F.explode(positions).alias("_position"))
+        .select(*names, "_copies", (F.col("_position") - F.col("_first")).alias("_offset"))
     )
     return found.checkpoint()
 
@@ -107,19 +113,19 @@ def _offered(hits: DataFrame, size: int) -> DataFrame:
     return F.broadcast(hits) if size <= _BROADCAST_ROWS else hits
 
 
-def _same(df: DataFrame, hits: DataFrame, keys: list[str]) -> Column:
+def _same(keys: list[str]) -> Column:
+    """A table row beside the hit that has its keys; nulls are equal to each other."""
     same = F.lit(True)
-    for key in keys:
-        same = same & df[key].eqNullSafe(hits[key])
+    for i, key in enumerate(keys):
+        same = same & column(key).eqNullSafe(F.col(_key(i)))
     return same
 
 
 def _picked(df: DataFrame, hits: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Rows of the sampled keys at the sampled places of their ties."""
-    tied = df.join(_offered(hits, size), _same(df, hits, keys), "left_semi")
+    tied = df.join(_offered(hits, size), _same(keys), "left_semi")
     others = [column(c) for c in df.columns if c not in keys]
     order = Window.partitionBy(*[column(c) for c in keys]).orderBy(*(others or [F.lit(0)]))
-    placed = tied.withColumn("_offset", (F.row_number().over(order) - 1).cast("long"))
-    wanted = hits.drop("_copies")
-    same = _same(placed, wanted, keys) & (placed["_offset"] == wanted["_offset"])
-    return placed.join(_offered(wanted, size), same, "left_semi").select(*[column(c) for c in df.columns])
+    placed = tied.withColumn("_place", (F.row_number().over(order) - 1).cast("long"))
+    wanted = _same(keys) & (F.col("_place") == F.col("_offset"))
+    return placed.join(_offered(hits, size), wanted, "left_semi").drop("_place")
