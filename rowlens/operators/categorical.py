@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.functions.cells import column, percent, round_half, value_text
-from rowlens.functions.small import pinned
+from rowlens.functions.small import pinned, small_table
 from rowlens.operators.schema import categorical_columns
 
 TOP_VALUES = 20
@@ -20,9 +20,14 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Counts are combined before the shuffle, so a value held by most rows costs one row per task.
     """
+    if not columns:
+        return small_table(df.sparkSession, [], "column string, value string, count long")
+    return _long_texts(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _long_texts(df: DataFrame, columns: list[str]) -> DataFrame:
     texts = df.select(*[value_text(df, c).alias(c) for c in columns])
-    long = texts.unpivot([], [column(c) for c in columns], "column", "value")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    return texts.unpivot([], [column(c) for c in columns], "column", "value")
 
 
 def _summary(counts: DataFrame) -> DataFrame:
@@ -53,9 +58,7 @@ def unique_count(df: DataFrame, columns: list[str] | None = None, approximate: b
     """Distinct non-missing values per column; exact unless ``approximate`` is asked for."""
     columns = df.columns if columns is None else columns
     if approximate:
-        texts = df.select(*[value_text(df, c).alias(c) for c in columns])
-        long = texts.unpivot([], [column(c) for c in columns], "column", "value")
-        return long.groupBy("column").agg(F.approx_count_distinct("value").alias("unique_count"))
+        return _long_texts(df, columns).groupBy("column").agg(F.approx_count_distinct("value").alias("unique_count"))
     return _summary(value_counts(df, columns)).select("column", "unique_count")
 
 

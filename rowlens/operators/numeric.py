@@ -107,12 +107,14 @@ def _edges(spark, limits: list[tuple], bins: int) -> DataFrame:
     return small_table(spark, rows, "column string, low double, high double, width double")
 
 
-def binned_powers(df: DataFrame, measures: list[Measure], bins: int, null_policy: str = "skip") -> DataFrame:
-    """Per column and bin: the count, and the sums of the 2nd to 4th powers around the mean.
+def binned_powers(df: DataFrame, measures: list[Measure], bins: int, null_policy: str = "skip") -> list:
+    """Rows per column and bin: the count, and the sums of the 2nd to 4th powers around the mean.
 
     With one bin this is all that the moments need; with more it gives the histogram as well.
     """
     known = [m for m in measures if m.count]
+    if not known:
+        return []
     edges = _edges(df.sparkSession, [(m.column, m.min, m.max) for m in known], bins)
     means = small_table(df.sparkSession, [(m.column, m.mean) for m in known], "column string, mean double")
     d = F.col("x") - F.col("mean")
@@ -128,11 +130,12 @@ def binned_powers(df: DataFrame, measures: list[Measure], bins: int, null_policy
             F.sum(F.col("d") * F.col("d") * F.col("d")).alias("p3"),
             F.sum(F.col("d") * F.col("d") * F.col("d") * F.col("d")).alias("p4"),
         )
+        .collect()
     )
 
 
 def moments(measures: list[Measure], powers: list) -> dict[str, Moments]:
-    """Population moments from the collected rows of :func:`binned_powers`.
+    """Population moments from the rows of :func:`binned_powers`.
 
     The deviation, skewness and excess kurtosis of a constant column are 0.
     """
@@ -196,7 +199,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, null_policy
     columns = numeric_columns(df) if columns is None else columns
     measures = measure(df, columns, null_policy)
     found = locate_quartiles(df, measures, null_policy)
-    shapes = moments(measures, binned_powers(df, measures, 1, null_policy).collect())
+    shapes = moments(measures, binned_powers(df, measures, 1, null_policy))
     return small_table(df.sparkSession, profile_rows(measures, found, shapes), PROFILE_SCHEMA)
 
 
@@ -227,7 +230,9 @@ def histogram(
 ) -> DataFrame:
     """Equal-width bins from min to max, empty ones kept; one bin where all values are equal."""
     columns = numeric_columns(df) if columns is None else columns
-    limits = extremes(df, columns, null_policy)
+    limits = extremes(df, columns, null_policy) if columns else []
+    if not limits:
+        return small_table(df.sparkSession, [], HISTOGRAM_SCHEMA)
     counts = (
         usable_numbers(df, columns, null_policy)
         # One row per column is broadcast.
@@ -265,10 +270,10 @@ def numeric_with_histogram(
 ) -> tuple[DataFrame, DataFrame, dict[str, Quartiles]]:
     """The numeric profile and the histogram in three scans: figures, quartiles, bins with powers."""
     spark = df.sparkSession
-    measures = measure(df, columns, null_policy) if columns else []
+    measures = measure(df, columns, null_policy)
     found = locate_quartiles(df, measures, null_policy)
     limits = [(m.column, m.min, m.max) for m in measures if m.count]
-    powers = binned_powers(df, measures, HISTOGRAM_BINS, null_policy).collect() if limits else []
+    powers = binned_powers(df, measures, HISTOGRAM_BINS, null_policy)
     profile = small_table(spark, profile_rows(measures, found, moments(measures, powers)), PROFILE_SCHEMA)
     counts = small_table(
         spark, [(r["column"], r["bin"], r["count"]) for r in powers], "column string, bin int, count long"
