@@ -7,15 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.functions.cells import column, fixed_text, number_text, raw_number, round_half, usable
+from rowlens.functions.cells import fixed_text, is_missing, number, number_text, round_half
 from rowlens.functions.small import small_table
 from rowlens.operators import ranks
+from rowlens.operators.passes import aggregate_each
 from rowlens.operators.schema import numeric_columns
 
 HISTOGRAM_BINS = 20
 QUARTERS = (0.25, 0.5, 0.75)
-# Columns handled by one aggregate. Sketches keep a hash aggregate up to 128 groups per task.
-COLUMNS_PER_PASS = 96
+# Columns per aggregate, for figures and for histograms, and intervals whose values are listed together.
+_BATCH = 4
+_HISTOGRAMS = 2
+_INTERVALS_PER_PASS = 64
 
 PROFILE_SCHEMA = (
     "column string, mean double, median double, std double, min double, max double, q25 double, "
@@ -56,103 +59,64 @@ class Quartiles:
     q75: float | None = None
 
 
-def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (column, x) of all cells: x is null where missing, NaN where not a number."""
-    wide = df.select(*[raw_number(df, c).alias(c) for c in columns])
-    return wide.unpivot([], [column(c) for c in columns], "column", "x")
-
-
-def usable_numbers(df: DataFrame, columns: list[str], null_policy: str) -> DataFrame:
-    """Rows (column, x) of the finite numbers only."""
-    long = long_numbers(df, columns).select("column", usable(F.col("x"), null_policy).alias("x"))
-    return long.where(F.col("x").isNotNull())
-
-
-def _passes(columns: list[str]) -> list[list[str]]:
-    return [columns[i : i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)]
-
-
 def measure(df: DataFrame, columns: list[str], null_policy: str = "skip") -> list[Measure]:
-    """Counts, means, extremes and quantile sketches of every column in one scan."""
-    x = usable(F.col("x"), null_policy)
-    fractions = [p + side * ranks.MARGIN for p in QUARTERS for side in (-1, 1)]
-    found = {}
-    for part in _passes(columns):
-        rows = (
-            long_numbers(df, part)
-            .groupBy("column")
-            .agg(
-                F.count(x).alias("count"),
-                F.count_if(F.col("x").isNull()).alias("null_count"),
-                F.avg(x).alias("mean"),
-                F.min(x).alias("min"),
-                F.max(x).alias("max"),
-                ranks.sketched_quantiles(x, fractions).alias("sketch"),
-            )
-            .collect()
-        )
-        found.update({r["column"]: Measure(**r.asDict()) for r in rows})
-    return [found.get(c) or Measure(c) for c in columns]
-
-
-def _bin_index(bins: int):
-    """Bin of x between low and high; a column of equal values has one bin."""
-    x, low, width = F.col("x"), F.col("low"), F.col("width")
-    place = F.least(F.floor(F.try_divide(x - low, width)), F.lit(bins - 1)).cast("int")
-    return F.when(width == 0, 0).otherwise(place)
-
-
-def _edges(spark, limits: list[tuple], bins: int) -> DataFrame:
-    rows = [(c, low, high, (high - low) / bins) for c, low, high in limits]
-    return small_table(spark, rows, "column string, low double, high double, width double")
+    """Counts, means and extremes of every column, then two values around each of its quarters.
 
+    The second scan sketches a random part of a large table. That only makes the enclosing values
+    less tight or, rarely, wrong, which the exact search that starts from them finds out.
+    """
+    values = {c: number(df, c, null_policy) for c in columns}
+    figures = [
+        [
+            F.count(F.lit(1)).alias("rows"),
+            F.count(x).alias("count"),
+            F.count_if(is_missing(df, c)).alias("null_count"),
+            F.avg(x).alias("mean"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+        ]
+        for c, x in values.items()
+    ]
+    facts = aggregate_each(df, figures, _BATCH)
+    rows = max((f["rows"] for f in facts), default=0)
+    share = 1.0 if rows <= ranks.SKETCH_ROWS else ranks.SKETCH_ROWS / rows
+    part = df if share == 1.0 else df.sample(share)
+    sketches = [
+        [ranks.sketched_quantiles(x, _around_quarters(f["count"], share)).alias("sketch")]
+        for x, f in zip(values.values(), facts)
+    ]
+    out = []
+    for c, f, s in zip(columns, facts, aggregate_each(part, sketches, _BATCH)):
+        sketch = s["sketch"] or [f["min"], f["max"]] * len(QUARTERS)
+        out.append(Measure(c, f["count"], f["null_count"], f["mean"], f["min"], f["max"], sketch))
+    return out
 
-def binned_powers(df: DataFrame, measures: list[Measure], bins: int, null_policy: str = "skip") -> list:
-    """Rows per column and bin: the count, and the sums of the 2nd to 4th powers around the mean.
 
-    With one bin this is all that the moments need; with more it gives the histogram as well.
-    """
-    known = [m for m in measures if m.count]
-    if not known:
-        return []
-    edges = _edges(df.sparkSession, [(m.column, m.min, m.max) for m in known], bins)
-    means = small_table(df.sparkSession, [(m.column, m.mean) for m in known], "column string, mean double")
-    d = F.col("x") - F.col("mean")
-    return (
-        usable_numbers(df, [m.column for m in known], null_policy)
-        # One row per column is broadcast.
-        .join(F.broadcast(edges.join(means, "column")), "column")
-        .select("column", _bin_index(bins).alias("bin"), d.alias("d"))
-        .groupBy("column", "bin")
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.sum(F.col("d") * F.col("d")).alias("p2"),
-            F.sum(F.col("d") * F.col("d") * F.col("d")).alias("p3"),
-            F.sum(F.col("d") * F.col("d") * F.col("d") * F.col("d")).alias("p4"),
-        )
-        .collect()
-    )
+def _around_quarters(count: int, share: float) -> list[float]:
+    """Fractions below and above each quarter, further off where fewer values are sketched."""
+    reach = ranks.MARGIN if share == 1.0 else ranks.MARGIN + 2 / max(count * share, 1.0) ** 0.5
+    return [min(max(p + side * reach, 0.0), 1.0) for p in QUARTERS for side in (-1, 1)]
 
 
-def moments(measures: list[Measure], powers: list) -> dict[str, Moments]:
-    """Population moments from the rows of :func:`binned_powers`.
+def moments(df: DataFrame, measures: list[Measure], null_policy: str = "skip") -> dict[str, Moments]:
+    """Population moments from sums of powers around the mean, in one scan.
 
     The deviation, skewness and excess kurtosis of a constant column are 0.
     """
-    sums = {m.column: [0.0, 0.0, 0.0] for m in measures}
-    for r in powers:
-        sums[r["column"]] = [total + r[p] for total, p in zip(sums[r["column"]], ("p2", "p3", "p4"))]
-    out = {}
-    for m in measures:
-        if not m.count:
-            out[m.column] = Moments()
-            continue
-        second, third, fourth = (total / m.count for total in sums[m.column])
-        std = second**0.5 if m.min < m.max else 0.0
-        if std == 0:
-            out[m.column] = Moments(0.0, 0.0, 0.0)
-        else:
+    out = {m.column: Moments() for m in measures}
+    out.update({m.column: Moments(0.0, 0.0, 0.0) for m in measures if m.count and m.min == m.max})
+    varied = [m for m in measures if m.count and m.min < m.max]
+    figures = []
+    for m in varied:
+        d = number(df, m.column, null_policy) - F.lit(m.mean)
+        figures.append([F.sum(d * d).alias("p2"), F.sum(d * d * d).alias("p3"), F.sum(d * d * d * d).alias("p4")])
+    for m, powers in zip(varied, aggregate_each(df, figures, _BATCH)):
+        second, third, fourth = (powers[p] / m.count for p in ("p2", "p3", "p4"))
+        std = second**0.5
+        if std > 0:
             out[m.column] = Moments(std, third / std / std / std, fourth / std / std / std / std - 3)
+        else:
+            out[m.column] = Moments(0.0, 0.0, 0.0)
     return out
 
 
@@ -170,11 +134,12 @@ def locate_quartiles(
             wanted[m.column] = (n // 4, (n - 1) // 2, n // 2, 3 * n // 4)
             for rank, quarter in zip(wanted[m.column], (0, 1, 1, 2)):
                 low, high = m.sketch[2 * quarter : 2 * quarter + 2]
-                intervals.append(ranks.first_interval(m.column, rank, n, low, high))
+                intervals.append(ranks.Interval(m.column, rank, low, high))
+    numbers = {c: number(df, c, null_policy) for c in wanted}
     values = {}
-    for part in _passes(list(wanted)):
-        long = usable_numbers(df, part, null_policy)
-        values.update(ranks.select_ranks(long, [i for i in intervals if i.column in part], candidate_limit))
+    for start in range(0, len(intervals), _INTERVALS_PER_PASS):
+        part = intervals[start : start + _INTERVALS_PER_PASS]
+        values.update(ranks.select_ranks(df, numbers, part, candidate_limit))
     out = {m.column: Quartiles() for m in measures}
     for name, (low, left, right, high) in wanted.items():
         median = (values[name, left] + values[name, right]) / 2
@@ -199,7 +164,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, null_policy
     columns = numeric_columns(df) if columns is None else columns
     measures = measure(df, columns, null_policy)
     found = locate_quartiles(df, measures, null_policy)
-    shapes = moments(measures, binned_powers(df, measures, 1, null_policy))
+    shapes = moments(df, measures, null_policy)
     return small_table(df.sparkSession, profile_rows(measures, found, shapes), PROFILE_SCHEMA)
 
 
@@ -212,14 +177,9 @@ def quartiles(df: DataFrame, columns: list[str] | None = None, null_policy: str
 
 def extremes(df: DataFrame, columns: list[str], null_policy: str = "skip") -> list[tuple]:
     """(column, min, max) of every column that has valid numbers."""
-    rows = (
-        usable_numbers(df, columns, null_policy)
-        .groupBy("column")
-        .agg(F.min("x").alias("min"), F.max("x").alias("max"))
-        .collect()
-    )
-    found = {r["column"]: (r["column"], r["min"], r["max"]) for r in rows}
-    return [found[c] for c in columns if c in found]
+    values = [number(df, c, null_policy) for c in columns]
+    rows = aggregate_each(df, [[F.min(x).alias("min"), F.max(x).alias("max")] for x in values], _BATCH)
+    return [(c, r["min"], r["max"]) for c, r in zip(columns, rows) if r["min"] is not None]
 
 
 def histogram(
@@ -227,38 +187,46 @@ def histogram(
     columns: list[str] | None = None,
     bins: int = HISTOGRAM_BINS,
     null_policy: str = "skip",
+    limits: list[tuple] | None = None,
 ) -> DataFrame:
-    """Equal-width bins from min to max, empty ones kept; one bin where all values are equal."""
+    """Equal-width bins from min to max, empty ones kept; one bin where all values are equal.
+
+    ``limits`` takes the (column, min, max) rows of a profile already at hand, and saves a scan.
+    """
     columns = numeric_columns(df) if columns is None else columns
-    limits = extremes(df, columns, null_policy) if columns else []
+    limits = extremes(df, columns, null_policy) if limits is None else limits
     if not limits:
         return small_table(df.sparkSession, [], HISTOGRAM_SCHEMA)
-    counts = (
-        usable_numbers(df, columns, null_policy)
-        # One row per column is broadcast.
-        .join(F.broadcast(_edges(df.sparkSession, limits, bins)), "column")
-        .groupBy("column", _bin_index(bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    return histogram_table(limits, counts, bins)
+    bin_columns, figures = [], []
+    for entry, (name, low, high) in enumerate(limits):
+        x, width = number(df, name, null_policy), (high - low) / bins
+        place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else x * 0
+        bin_columns.append(place.cast("int").alias(f"bin_{entry}"))
+        held = [F.count_if(F.col(f"bin_{entry}") == b) for b in range(bins if width else 1)]
+        figures.append([F.array(*held).alias("held")])
+    rows = aggregate_each(df.select(*bin_columns), figures, _HISTOGRAMS)
+    counts = [(c, b, n) for (c, _, _), r in zip(limits, rows) for b, n in enumerate(r["held"])]
+    table = small_table(df.sparkSession, counts, "column string, bin int, count long")
+    return _all_bins(limits, table, bins)
+
+
+def _edges(spark, limits: list[tuple], bins: int) -> DataFrame:
+    rows = [(c, low, high, (high - low) / bins) for c, low, high in limits]
+    return small_table(spark, rows, "column string, low double, high double, width double")
 
 
-def histogram_table(limits: list[tuple], counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """All bins of the columns in ``limits`` beside the counts of the bins that hold values."""
-    edges = _edges(counts.sparkSession, limits, bins)
+def _all_bins(limits: list[tuple], counts: DataFrame, bins: int) -> DataFrame:
+    """The bins with their edges and labels."""
     low, width = F.col("low"), F.col("width")
-    last = F.when(width == 0, 0).otherwise(bins - 1)
-    frame = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), last)))
     start = low + F.col("bin") * width
     stop = low + (F.col("bin") + 1) * width
     single = width == 0
-    # The counts hold at most one row per column and bin.
-    return frame.join(F.broadcast(counts), ["column", "bin"], "left").select(
+    return counts.join(F.broadcast(_edges(counts.sparkSession, limits, bins)), "column").select(
         "column",
         "bin",
         F.when(single, low).otherwise(round_half(start, 4)).alias("range_start"),
         F.when(single, F.col("high")).otherwise(round_half(stop, 4)).alias("range_end"),
-        F.coalesce("count", F.lit(0).cast("long")).alias("count"),
+        "count",
         F.when(single, number_text(low))
         .otherwise(F.concat(fixed_text(start, 2), F.lit("–"), fixed_text(stop, 2)))
         .alias("label"),
@@ -268,14 +236,10 @@ def histogram_table(limits: list[tuple], counts: DataFrame, bins: int = HISTOGRA
 def numeric_with_histogram(
     df: DataFrame, columns: list[str], null_policy: str = "skip"
 ) -> tuple[DataFrame, DataFrame, dict[str, Quartiles]]:
-    """The numeric profile and the histogram in three scans: figures, quartiles, bins with powers."""
-    spark = df.sparkSession
+    """The numeric profile, the histogram with the profile's limits, and the quartiles."""
     measures = measure(df, columns, null_policy)
     found = locate_quartiles(df, measures, null_policy)
+    rows = profile_rows(measures, found, moments(df, measures, null_policy))
     limits = [(m.column, m.min, m.max) for m in measures if m.count]
-    powers = binned_powers(df, measures, HISTOGRAM_BINS, null_policy)
-    profile = small_table(spark, profile_rows(measures, found, moments(measures, powers)), PROFILE_SCHEMA)
-    counts = small_table(
-        spark, [(r["column"], r["bin"], r["count"]) for r in powers], "column string, bin int, count long"
-    )
-    return profile, histogram_table(limits, counts), found
+    bins = histogram(df, columns, null_policy=null_policy, limits=limits)
+    return small_table(df.sparkSession, rows, PROFILE_SCHEMA), bins, found

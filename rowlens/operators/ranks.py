@@ -1,44 +1,52 @@
 """Exact order statistics of many columns at once, without sorting or shuffling the data.
 
 A mergeable quantile sketch gives, for each wanted rank, two data values that should enclose it.
-The values between them are then counted exactly, and the wanted one is read off. Where too many
-values lie between the two, the interval is sketched again first; each such pass shrinks it to a
-few thousandths. A rank that the sketch failed to enclose shows up in the counts and is searched
-for again on the proper side, so the answer never depends on the sketch being right.
-
-Rows that equal an end of the interval are counted apart, so that one value holding a large share
-of all rows cannot keep an interval from shrinking.
+Counting the rows below, at and between the two tells where the rank lies. If it lies between, the
+values there are counted one by one and the wanted one is read off; where that would be too many
+values, they are sketched again first, which shrinks the interval to a few thousandths. A rank that
+the sketch failed to enclose shows up in the counts and is searched for on the proper side, so the
+answer never depends on the sketch being right.
+
+Rows that equal an end of the interval are never listed, so one value holding a large share of all
+rows neither crosses a shuffle nor keeps an interval from shrinking.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.functions.small import small_table
+from rowlens.operators.passes import aggregate_each
 
 SKETCH_K = 8192
 # Rank error of the sketch, and the margin taken on either side of a wanted rank.
 SKETCH_ERROR = 2.296 / SKETCH_K**0.9021
 MARGIN = 2.5 * SKETCH_ERROR
-# Most distinct values that one rank's interval may hold when they are listed and ordered.
+# Rows sketched for the first intervals of a table.
+SKETCH_ROWS = 1_000_000
+# Most rows between the ends of an interval whose values are listed and ordered in one task.
 CANDIDATE_LIMIT = 500_000
 
 _GRID = 1024
-_FLOOR, _CEILING = float("-inf"), float("inf")
+_LOWEST, _HIGHEST = float("-inf"), float("inf")
+# Intervals per aggregate.
+_BATCH = 8
 
 
 @dataclass(frozen=True)
 class Interval:
-    """Closed interval thought to hold the value of one rank (0-based) of one column."""
+    """Two values thought to enclose the value of one rank (0-based) of one column."""
 
     column: str
     rank: int
     low: float
     high: float
-    between: float  # estimated rows strictly inside
+    inner_rank: int = 0  # rank among the rows strictly between low and high
 
 
 def sketched_quantiles(x: Column, fractions: list[float]) -> Column:
@@ -48,103 +56,104 @@ def sketched_quantiles(x: Column, fractions: list[float]) -> Column:
     return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, points))
 
 
-def first_interval(column: str, rank: int, rows: int, low: float, high: float) -> Interval:
-    between = 0.0 if low == high else 2 * (MARGIN + SKETCH_ERROR) * rows
-    return Interval(column, rank, low, high, between)
-
-
 def select_ranks(
-    long: DataFrame, intervals: list[Interval], candidate_limit: int = CANDIDATE_LIMIT
+    df: DataFrame,
+    values: dict[str, Column],
+    intervals: list[Interval],
+    candidate_limit: int = CANDIDATE_LIMIT,
 ) -> dict[tuple[str, int], float]:
-    """Value at every wanted rank. ``long`` has columns (column, x) with no null in x."""
+    """Value at every wanted rank. ``values`` gives each column's numbers, null where it has none."""
     found: dict[tuple[str, int], float] = {}
-    open_intervals = list({(i.column, i.rank): i for i in intervals}.values())
-    while open_intervals:
-        wide = [i for i in open_intervals if i.between > candidate_limit]
-        narrow = [i for i in open_intervals if i.between <= candidate_limit]
-        open_intervals = []
-        if wide:
-            open_intervals += _tighten(long, wide)
-        if narrow:
-            values, missed = _pick(long, narrow)
-            found.update(values)
-            open_intervals += missed
+    undecided = list({(i.column, i.rank): i for i in intervals}.values())
+    while undecided:
+        many, few = [], []
+        elsewhere = []
+        for i, counts in zip(undecided, _counted(df, values, undecided)):
+            position = i.rank - counts["below"]
+            if position < 0:
+                elsewhere.append(replace(i, low=_LOWEST, high=i.low))
+            elif position < counts["at_low"]:
+                found[i.column, i.rank] = i.low
+            elif position < counts["at_low"] + counts["inner"]:
+                inside = replace(i, inner_rank=position - counts["at_low"])
+                (few if counts["inner"] <= candidate_limit else many).append((inside, counts["inner"]))
+            elif position < counts["at_low"] + counts["inner"] + counts["at_high"]:
+                found[i.column, i.rank] = i.high
+            else:
+                elsewhere.append(replace(i, low=i.high, high=_HIGHEST))
+        found.update(_listed(df, values, [i for i, _ in few]))
+        undecided = elsewhere + _shrunk(df, values, many)
     return found
 
 
-def _against(long: DataFrame, intervals: list[Interval]) -> DataFrame:
-    """Each row beside the intervals it lies in or below. One short row per interval is broadcast."""
-    rows = [(i.column, i.rank, i.low, i.high) for i in intervals]
-    wanted = small_table(long.sparkSession, rows, "column string, rank long, low double, high double")
-    return long.join(F.broadcast(wanted), "column").where(F.col("x") <= F.col("high"))
+def _inside(values: dict[str, Column], i: Interval) -> Column:
+    x = values[i.column]
+    return (x > F.lit(i.low)) & (x < F.lit(i.high))
 
 
-def _pick(long: DataFrame, intervals: list[Interval]):
-    """Count every value inside the intervals and read off the wanted ranks."""
-    listed = F.when(F.col("x") >= F.col("low"), F.col("x"))
+def _counted(df: DataFrame, values: dict[str, Column], intervals: list[Interval]) -> list:
+    figures = []
+    for i in intervals:
+        x, low, high = values[i.column], F.lit(i.low), F.lit(i.high)
+        figures.append(
+            [
+                F.count_if(x < low).alias("below"),
+                F.count_if(x == low).alias("at_low"),
+                F.count_if(_inside(values, i)).alias("inner"),
+                F.count_if((x == high) & (x > low)).alias("at_high"),
+            ]
+        )
+    return aggregate_each(df, figures, _BATCH)
+
+
+def _shrunk(df: DataFrame, values: dict[str, Column], intervals: list[tuple[Interval, int]]) -> list[Interval]:
+    """Each interval closed in on its rank by a sketch of the values between its ends."""
+    fractions = [g / _GRID for g in range(_GRID + 1)]
+    figures = [
+        [sketched_quantiles(F.when(_inside(values, i), values[i.column]), fractions).alias("grid")]
+        for i, _ in intervals
+    ]
+    out = []
+    for (i, inner), row in zip(intervals, aggregate_each(df, figures, _BATCH)):
+        start = int((i.inner_rank / inner - MARGIN) * _GRID) - 1
+        stop = int(((i.inner_rank + 1) / inner + MARGIN) * _GRID) + 2
+        low = row["grid"][start] if start >= 0 else i.low
+        high = row["grid"][stop] if stop <= _GRID else i.high
+        out.append(replace(i, low=low, high=high))
+    return out
+
+
+def _listed(df: DataFrame, values: dict[str, Column], intervals: list[Interval]) -> dict[tuple[str, int], float]:
+    """Count the values between the ends of each interval and read off the wanted one.
+
+    Only rows with a cell in an interval are brought into long form.
+    """
+    if not intervals:
+        return {}
+    names = sorted({i.column for i in intervals})
+    cells = df.where(reduce(or_, [_inside(values, i) for i in intervals])).select(
+        *[values[c].alias(f"v{n}") for n, c in enumerate(names)]
+    )
+    long = cells.unpivot([], [f"v{n}" for n in range(len(names))], "cell", "x")
+    rows = [(f"v{names.index(i.column)}", i.rank, i.low, i.high, i.inner_rank) for i in intervals]
+    wanted = small_table(df.sparkSession, rows, "cell string, rank long, low double, high double, inner_rank long")
     counts = (
-        _against(long, intervals)
-        .groupBy("column", "rank", listed.alias("value"))
+        # One short row per interval is broadcast.
+        long.join(F.broadcast(wanted), "cell")
+        .where((F.col("x") > F.col("low")) & (F.col("x") < F.col("high")))
+        .groupBy("cell", "rank", "inner_rank", F.col("x").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upward = (
-        Window.partitionBy("column", "rank")
-        .orderBy(F.col("value").asc_nulls_first())
+        Window.partitionBy("cell", "rank", "inner_rank")
+        .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    reached = F.col("reached")
     hits = (
         counts.withColumn("reached", F.sum("n").over(upward))
-        .where((F.col("rank") < F.col("reached")) & (F.col("rank") >= F.col("reached") - F.col("n")))
-        .select("column", "rank", "value")
-        .collect()
-    )
-    seen = {(h["column"], h["rank"]): h["value"] for h in hits}
-    values, missed = {}, []
-    for i in intervals:
-        key = (i.column, i.rank)
-        if seen.get(key) is not None:
-            values[key] = seen[key]
-        elif key in seen:
-            missed.append(replace(i, low=_FLOOR, high=i.low, between=_CEILING))
-        else:
-            missed.append(replace(i, low=i.high, high=_CEILING, between=_CEILING))
-    return values, missed
-
-
-def _tighten(long: DataFrame, intervals: list[Interval]) -> list[Interval]:
-    """Shrink each interval around its rank with a sketch of the values strictly inside."""
-    x, low, high = F.col("x"), F.col("low"), F.col("high")
-    inside = (x > low) & (x < high)
-    rows = (
-        _against(long, intervals)
-        .groupBy("column", "rank")
-        .agg(
-            F.count_if(x < low).alias("below"),
-            F.count_if(x == low).alias("at_low"),
-            F.count_if(inside).alias("inner"),
-            F.count_if((x == high) & (x > low)).alias("at_high"),
-            sketched_quantiles(F.when(inside, x), [i / _GRID for i in range(_GRID + 1)]).alias("grid"),
-        )
+        .where((F.col("inner_rank") < reached) & (F.col("inner_rank") >= reached - F.col("n")))
+        .select("cell", "rank", "value")
         .collect()
     )
-    seen = {(r["column"], r["rank"]): r for r in rows}
-    return [_shrunk(i, seen[(i.column, i.rank)]) for i in intervals]
-
-
-def _shrunk(i: Interval, r) -> Interval:
-    position = i.rank - r["below"]
-    if position < 0:
-        return replace(i, low=_FLOOR, high=i.low, between=_CEILING)
-    if position < r["at_low"]:
-        return replace(i, high=i.low, between=0.0)
-    position -= r["at_low"]
-    if position >= r["inner"]:
-        if position < r["inner"] + r["at_high"]:
-            return replace(i, low=i.high, between=0.0)
-        return replace(i, low=i.high, high=_CEILING, between=_CEILING)
-    start = int((position / r["inner"] - MARGIN) * _GRID) - 1
-    stop = int(((position + 1) / r["inner"] + MARGIN) * _GRID) + 2
-    low = r["grid"][start] if start >= 0 else i.low
-    high = r["grid"][stop] if stop <= _GRID else i.high
-    between = r["inner"] * ((stop - start) / _GRID + 2 * SKETCH_ERROR)
-    return replace(i, low=low, high=high, between=0.0 if low == high else min(between, r["inner"]))
+    return {(names[int(h["cell"][1:])], h["rank"]): h["value"] for h in hits}
