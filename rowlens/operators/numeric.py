@@ -40,7 +40,7 @@ class Measure:
     mean: float | None = None
     min: float | None = None
     max: float | None = None
-    sketch: list[float] | None = None  # two enclosing values per quarter
+    sketch: list[float] | None = None  # two enclosing values per quarter, for large tables
 
 
 @dataclass(frozen=True)
@@ -60,9 +60,9 @@ class Quartiles:
 
 
 def measure(df: DataFrame, columns: list[str], null_policy: str = "skip") -> list[Measure]:
-    """Counts, means and extremes of every column, then two values around each of its quarters.
+    """Counts, means and extremes of every column; for a large table two values around each quarter.
 
-    The second scan sketches a random part of a large table. That only makes the enclosing values
+    The second scan, for the latter, sketches a random part of a large table. That only makes the enclosing values
     less tight or, rarely, wrong, which the exact search that starts from them finds out.
     """
     values = {c: number(df, c, null_policy) for c in columns}
@@ -79,6 +79,10 @@ def measure(df: DataFrame, columns: list[str], null_policy: str = "skip") -> lis
     ]
     facts = aggregate_each(df, figures, _BATCH)
     rows = max((f["rows"] for f in facts), default=0)
+    if rows <= ranks.WHOLE_ROWS:
+        return [
+            Measure(c, f["count"], f["null_count"], f["mean"], f["min"], f["max"]) for c, f in zip(columns, facts)
+        ]
     share = 1.0 if rows <= ranks.SKETCH_ROWS else ranks.SKETCH_ROWS / rows
     part = df if share == 1.0 else df.sample(share)
     sketches = [
@@ -127,16 +131,20 @@ def locate_quartiles(
     candidate_limit: int = ranks.CANDIDATE_LIMIT,
 ) -> dict[str, Quartiles]:
     """Exact quartiles: the values at 0-based ranks floor(n/4) and floor(3n/4), and the median."""
-    intervals, wanted = [], {}
+    intervals, listed, wanted = [], [], {}
     for m in measures:
         if m.count:
             n = m.count
             wanted[m.column] = (n // 4, (n - 1) // 2, n // 2, 3 * n // 4)
             for rank, quarter in zip(wanted[m.column], (0, 1, 1, 2)):
-                low, high = m.sketch[2 * quarter : 2 * quarter + 2]
-                intervals.append(ranks.Interval(m.column, rank, low, high))
+                if m.sketch:
+                    intervals.append(ranks.Interval(m.column, rank, *m.sketch[2 * quarter : 2 * quarter + 2]))
+                else:
+                    listed.append((m.column, rank))
     numbers = {c: number(df, c, null_policy) for c in wanted}
     values = {}
+    if listed:
+        values.update(ranks.select_small(df, {c: numbers[c] for c, _ in listed}, listed))
     for start in range(0, len(intervals), _INTERVALS_PER_PASS):
         part = intervals[start : start + _INTERVALS_PER_PASS]
         values.update(ranks.select_ranks(df, numbers, part, candidate_limit))
@@ -200,8 +208,9 @@ def histogram(
     bin_columns, figures = [], []
     for entry, (name, low, high) in enumerate(limits):
         x, width = number(df, name, null_policy), (high - low) / bins
-        place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else x * 0
-        bin_columns.append(place.cast("int").alias(f"bin_{entry}"))
+        # least() would take a missing cell for the last bin.
+        place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else F.lit(0)
+        bin_columns.append(F.when(x.isNotNull(), place.cast("int")).alias(f"bin_{entry}"))
         held = [F.count_if(F.col(f"bin_{entry}") == b) for b in range(bins if width else 1)]
         figures.append([F.array(*held).alias("held")])
     rows = aggregate_each(df.select(*bin_columns), figures, _HISTOGRAMS)

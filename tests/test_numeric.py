@@ -27,8 +27,9 @@ def test_quartiles_of_small_tables(one_column, n):
 
 @pytest.mark.parametrize("limit", [1, 50, ranks.CANDIDATE_LIMIT])
 @pytest.mark.parametrize("shape", ["uniform", "skewed", "hot", "two"])
-def test_quartiles_do_not_depend_on_the_sketch(spark, shape, limit):
+def test_quartiles_do_not_depend_on_the_sketch(spark, monkeypatch, shape, limit):
     """Also when every interval has to be sketched again, and where one value holds a third of all rows."""
+    monkeypatch.setattr(ranks, "WHOLE_ROWS", 1000)
     expression = {
         "uniform": "double(hash(id))",
         "skewed": "exp(20 * (pmod(hash(id), 100003) / 100003D))",
@@ -52,6 +53,7 @@ def test_a_wrong_interval_is_found_out(spark):
 def test_a_sampled_sketch_gives_exact_quartiles(spark, monkeypatch):
     """Also for a column that has few values in the sample, or none."""
     monkeypatch.setattr(ranks, "SKETCH_ROWS", 200)
+    monkeypatch.setattr(ranks, "WHOLE_ROWS", 200)
     df = spark.range(30_000).selectExpr(
         "double(pmod(hash(id), 9973)) AS x", "IF(id % 500 = 0, double(id), NULL) AS rare", "IF(id = 7, 1D, NULL) AS one"
     )
@@ -113,6 +115,13 @@ def test_histogram_keeps_empty_bins_and_every_value(spark):
     assert bins[0]["label"] == "0.00–1.00" and bins[19]["range_end"] == 20.0
 
 
+def test_histogram_leaves_missing_cells_out(one_column):
+    values = [0.0, 10.0, 10.0, None, float("nan")]
+    counts = [b["count"] for b in numeric.histogram(one_column(values)).orderBy("bin").collect()]
+    assert counts == [1] + [0] * 18 + [2]
+    assert [b["count"] for b in numeric.histogram(one_column([3.0, 3.0, None])).collect()] == [2]
+
+
 def test_many_columns_and_odd_names(spark):
     names = [f"c.{i}" for i in range(70)]
     df = spark.range(9).select(*[(F.col("id") + i).alias(n) for i, n in enumerate(names)])
