@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import simhash, winnow
+from rowlens.llm import mixing, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), narrow=True)
+    taken = F.col("size") * F.size("takes")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -29,7 +35,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_winnowing": op9_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op9_winnowing": op9_winnowing}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
@@ -52,4 +58,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES = {"op9_winnowing": _OP9}
+# Targets by filling the sources in order of size over weight; then whole rounds, and of the last the places of the
+# permutation whose middle lies within what is left.
+_OP4 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS place
+           FROM documents),
+     s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+     w AS (SELECT source, source_size, 3 * source_size AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+     f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS rate,
+                  source_size / weight AS fill
+           FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     r AS (SELECT coalesce(arg_min(rate, fill) FILTER (cap >= rate * weight), 0) AS rate FROM f),
+     t AS (SELECT source, source_size, least(cap::DOUBLE, r.rate * weight) AS target FROM f, r),
+     p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rounds FROM t),
+     g AS (SELECT source, place, words, sum(words) OVER (PARTITION BY source ORDER BY place) - words AS before
+           FROM (SELECT source, place, sum(size) AS words FROM d GROUP BY ALL))
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+       (size * (rounds + CASE WHEN rounds < 3 AND before + words / 2 <= target - rounds * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+       JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.place = g.place
+"""
+
+ORACLES = {"op4_mixing": _OP4, "op9_winnowing": _OP9}
