@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import mixing, simhash, winnow
+from rowlens.llm import hilbert, mixing, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = (F.octet_length(text) + 16).cast("long").alias("size")
+    sharded = hilbert.shard(docs, columns=["doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32")])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,7 +43,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op9_winnowing": op9_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op9_winnowing": op9_winnowing}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
