@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,19 +88,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+# Bytes of a word that are hashed together with those of all others; a longer word is hashed alone.
+_SHORT = 64
+
+
 def hash_words(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a polynomial over all words at once, byte by byte, then mixed."""
-    h = (ends - starts).astype(np.uint64)
     length = ends - starts
-    order = np.argsort(-length, kind="stable")
-    at, left, h = starts[order], length[order], h[order]
-    active = len(at)
-    step = 0
+    h = length.astype(np.uint64)
+    order = np.argsort(-np.minimum(length, _SHORT + 1), kind="stable")
+    for i in order[: int(np.count_nonzero(length > _SHORT))]:
+        h[i] = xxhash.xxh3_64_intdigest(codes[starts[i] : ends[i]].tobytes())
+    order = order[int(np.count_nonzero(length > _SHORT)) :]
+    at, left, own = starts[order], -length[order], h[order]
+    active, step = len(at), 0
     while active:
-        h[:active] = (h[:active] + codes[at[:active] + step]) * _ODD
+        own[:active] = (own[:active] + codes[at[:active] + step]) * _ODD
+        own[:active] ^= own[:active] >> np.uint64(29)
         step += 1
-        active = int(np.searchsorted(-left[:active], -step, "left"))
-        h[:active] ^= h[:active] >> np.uint64(29)
-    out = np.empty_like(h)
-    out[order] = mix(h)
-    return out
+        active = int(np.searchsorted(left[:active], -step, "left"))
+    h[order] = own
+    return mix(h)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import hilbert, mixing, simhash, winnow
+from rowlens.llm import hilbert, mixing, quality, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out().alias("held_out"), quality.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), narrow=True)
     taken = F.col("size") * F.size("takes")
@@ -43,7 +50,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op9_winnowing": op9_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op9_winnowing": op9_winnowing}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
