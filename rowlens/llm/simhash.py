@@ -79,9 +79,8 @@ def tiles(distinct: DataFrame) -> DataFrame:
     """(code, block, data): fingerprints `fp` packed into blocks of at most TILE with equal population counts."""
     parts = [F.bit_count(F.shiftrightunsigned("fp", 16 * (PARTS - 1 - i)).bitwiseAND(F.lit(0xFFFF))) for i in range(PARTS)]
     code = sum((p.cast("long") * F.lit(1 << (8 * (PARTS - 1 - i))) for i, p in enumerate(parts)), F.lit(0).cast("long"))
-    # Sixteen ways for each code: a code that holds a large share of all fingerprints is still read by many tasks.
-    coded = distinct.select(code.alias("code"), F.pmod(F.xxhash64("fp"), F.lit(16)).alias("salt"), "fp")
-    coded = coded.repartition("code", "salt").sortWithinPartitions("code", "fp").select("code", "fp")
+    # A code goes to one task, so that its blocks are full; the task streams them and holds one at a time.
+    coded = distinct.select(code.alias("code"), "fp").repartition("code").sortWithinPartitions("code", "fp")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code_of, held = None, np.empty(0, np.int64)
