@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import hilbert, mixing, quality, simhash, winnow
+from rowlens.llm import hilbert, mixing, nearest, quality, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), narrow=True)
     taken = F.col("size") * F.size("takes")
@@ -50,7 +54,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op9_winnowing": op9_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op9_winnowing": op9_winnowing}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
