@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import hilbert, mixing, nearest, quality, simhash, winnow
+from rowlens.llm import hilbert, mixing, nearest, ngrams, quality, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op8_bloom_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.score(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", ngrams.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -54,7 +59,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op9_winnowing": op9_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op8_bloom_ngrams": op8_bloom_ngrams, "op9_winnowing": op9_winnowing}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
