@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import hilbert, mixing, nearest, ngrams, quality, simhash, winnow
+from rowlens.llm import hilbert, lines, mixing, nearest, ngrams, quality, simhash, surrogates, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(_table(spark, sf_dir, "documents"))
+
+
 def op8_bloom_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngrams.score(_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", ngrams.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -59,7 +63,11 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op8_bloom_ngrams": op8_bloom_ngrams, "op9_winnowing": op9_winnowing}
+def op10_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op6_surrogates": op6_surrogates, "op8_bloom_ngrams": op8_bloom_ngrams, "op9_winnowing": op9_winnowing, "op10_boilerplate": op10_boilerplate}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
@@ -104,4 +112,18 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
        JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.place = g.place
 """
 
-ORACLES = {"op4_mixing": _OP4, "op9_winnowing": _OP9}
+_OP10 = rf"""
+WITH s AS (SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(coalesce(url, ''), '{lines.HOST}', 1)), '') AS host,
+                  list_filter(list_transform(regexp_split_to_array(coalesce(html, ''), '{lines.BREAKS}'),
+                              lambda x: trim(regexp_replace(regexp_replace(x, '{lines.TAGS}', '', 'g'), '[ \t\n\f\r]+', ' ', 'g'))), lambda x: x <> '') AS w
+           FROM pages),
+     t AS (SELECT host, count(*) AS pages FROM s WHERE host IS NOT NULL GROUP BY host),
+     n AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(w)) AS line FROM s WHERE host IS NOT NULL) GROUP BY ALL),
+     f AS (SELECT host, list(line) AS frequent FROM n JOIN t USING (host) WHERE pages >= 5 AND n / pages > 0.3 GROUP BY host),
+     k AS (SELECT page_id, s.host AS host, w, list_filter(w, lambda x: NOT coalesce(list_contains(frequent, x), false)) AS kept
+           FROM s LEFT JOIN f ON s.host = f.host)
+SELECT page_id, host, len(w)::BIGINT AS n_lines, (len(w) - len(kept))::BIGINT AS n_dropped,
+       coalesce(array_to_string(kept, chr(10)), '') AS text FROM k
+"""
+
+ORACLES = {"op10_boilerplate": _OP10, "op4_mixing": _OP4, "op9_winnowing": _OP9}
