@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import hilbert, lines, mixing, nearest, ngrams, quality, simhash, surrogates, winnow
+from rowlens.llm import chunks, hilbert, lines, mixing, nearest, ngrams, quality, simhash, surrogates, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(_table(spark, sf_dir, "documents"))
 
 
+def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.repeats(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("first_key", "first_doc_id")
+
+
 def op8_bloom_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngrams.score(_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", ngrams.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -67,7 +72,7 @@ def op10_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op6_surrogates": op6_surrogates, "op8_bloom_ngrams": op8_bloom_ngrams, "op9_winnowing": op9_winnowing, "op10_boilerplate": op10_boilerplate}
+QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op6_surrogates": op6_surrogates, "op7_chunks": op7_chunks, "op8_bloom_ngrams": op8_bloom_ngrams, "op9_winnowing": op9_winnowing, "op10_boilerplate": op10_boilerplate}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
