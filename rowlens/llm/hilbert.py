@@ -140,7 +140,7 @@ def shard(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS, key: str = "d
     own = ("__curve", "__key", "__read", "__at")
     cells = docs.select(*(F.lit(0) if d is None else F.col(d) for d in dimensions))
     index = curve_index(bins(cells, dimensions, bits), bits)
-    placed = docs.withColumns({own[0]: index, own[1]: F.col(key), own[2]: F.monotonically_increasing_id()}).select(*columns, *own[:3])
+    placed = docs.select(*columns, index.alias(own[0]), F.col(key).alias(own[1]), F.monotonically_increasing_id().alias(own[2]))
     ordered = placed.repartitionByRange(F.col(own[0]), F.col(own[1]), F.col(own[2])).sortWithinPartitions(*own[:3])
     ordered = save(ordered.drop(own[1], own[2]).withColumn(own[3], F.monotonically_increasing_id()), "ordered")
     part = F.shiftright(own[3], 33)

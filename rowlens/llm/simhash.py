@@ -12,116 +12,138 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlens.llm.common import BLANKS, save
+from rowlens.llm.common import mix, save
 from rowlens.llm.components import components
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 
-# A tile holds fingerprints with the same population counts of these four parts; a part has 16 bits.
-PARTS = 4
+# Where a stage wants near-duplicates of similarity 0.8: shingles of five words, and 256 bits of which a fifth may
+# differ. 64 bits could not tell that from chance: one in four million unrelated pairs has 12 differing bits or fewer.
+STAGE_WORDS = 5
+STAGE_LANES = 4
+STAGE_RADIUS = 51
+
+# A tile holds fingerprints with the same population counts of all parts.
 TILE = 1024
 
 # Shingle hashes summed at once, so that a very long document needs no more memory than a short one.
 _HASHES = 1 << 16
 
+_LANE = 0x9E3779B97F4A7C15
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, lanes: int = 1) -> bytes:
     """SimHash of the XXH64 (seed 42) of all shingles, repeats included: a bit is 1 if set in over half of them.
 
     A-Z count as a-z; words end at space and tab to carriage return. Fewer words than a shingle has are one
-    shingle; null and text without words give 0.
+    shingle; null and text without words give 0. A lane has 64 bits, big-endian; the first is that of the hashes
+    themselves, further ones mix them anew.
     """
     tokens = (text or "").encode().translate(_LOWER).split()
     if not tokens:
-        return 0
+        return bytes(8 * lanes)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
+    total = np.zeros(64 * lanes, np.int64)
     for i in range(0, len(stops), _HASHES):
-        part = [digest(joined[a:b], 42) for a, b in zip(starts[i : i + _HASHES], stops[i : i + _HASHES])]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        part = np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : i + _HASHES], stops[i : i + _HASHES])], "<u8")
+        each = np.stack([part, *(mix(part + np.uint64(k * _LANE & 0xFFFFFFFFFFFFFFFF)) for k in range(1, lanes))], axis=1)
+        bits = np.unpackbits(each.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.uint32)
-    return sum(1 << int(j) for j in np.flatnonzero(2 * total > len(stops)))
+    return np.packbits(2 * total > len(stops), bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, text_hash, fp) of every row; fp is the fingerprint as a signed long, text_hash tells rows of one key apart."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
+    """(key, text_hash, fp) of every row; fp is the fingerprint's bytes, text_hash tells rows of one key apart."""
     narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     narrow = narrow.select("key", F.xxhash64("text").alias("text_hash"), "text")
-    schema = T.StructType([*narrow.schema.fields[:2], T.StructField("fp", T.LongType())])
+    schema = T.StructType([*narrow.schema.fields[:2], T.StructField("fp", T.BinaryType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.uint64, batch.num_rows)
-            columns = [batch.column(0), batch.column(1), pa.array(found.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "text_hash", "fp"])
+            found = pa.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["key", "text_hash", "fp"])
 
     return narrow.mapInArrow(hashed, schema)
 
 
-def _offsets(radius: int) -> list[int]:
+def _offsets(radius: int, parts: int) -> list[int]:
     """Differences of tile codes to visit: count vectors within `radius`, one of each pair of opposites.
 
     Two fingerprints that differ in r bits have counts whose differences sum to r at most, so all other
-    pairs of tiles are skipped. A code holds eight bits for each part.
+    pairs of tiles are skipped. A code holds 16 bits for each part.
     """
-    near = [d for d in itertools.product(range(-radius, radius + 1), repeat=PARTS) if sum(map(abs, d)) <= radius]
-    return sorted(sum(x << (8 * (PARTS - 1 - i)) for i, x in enumerate(d)) for d in near if d >= (0,) * PARTS)
+    near = [d for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius]
+    return sorted(sum(x << (16 * (parts - 1 - i)) for i, x in enumerate(d)) for d in near if d >= (0,) * parts)
+
+
+def _parts(lanes: int, radius: int) -> int:
+    """Finer parts skip more tiles but send a tile to more others: four parts for a small radius, else the whole."""
+    return 4 if lanes == 1 and radius <= 3 else 1
 
 
-def tiles(distinct: DataFrame) -> DataFrame:
-    """(code, block, data): fingerprints `fp` packed into blocks of at most TILE with equal population counts."""
-    parts = [F.bit_count(F.shiftrightunsigned("fp", 16 * (PARTS - 1 - i)).bitwiseAND(F.lit(0xFFFF))) for i in range(PARTS)]
-    code = sum((p.cast("long") * F.lit(1 << (8 * (PARTS - 1 - i))) for i, p in enumerate(parts)), F.lit(0).cast("long"))
+def tiles(classes: DataFrame, lanes: int, parts: int) -> DataFrame:
+    """(code, block, ids, data): fingerprints `classes(id, fp)` packed into blocks of at most TILE with equal counts."""
+    size = 8 * lanes // parts
+    masks = np.array([[1 << (16 * (parts - 1 - i // size)) if i // size < parts else 0 for i in range(8 * lanes)]])
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * lanes)
+            code = (np.bitwise_count(raw).astype(np.int64) * masks).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], names=["code", "id", "fp"])
+
     # A code goes to one task, so that its blocks are full; the task streams them and holds one at a time.
-    coded = distinct.select(code.alias("code"), "fp").repartition("code").sortWithinPartitions("code", "fp")
+    dealt = classes.select("id", "fp").mapInArrow(coded, "code long, id long, fp binary").repartition("code").sortWithinPartitions("code", "id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code_of, held = None, np.empty(0, np.int64)
-        rows: list[tuple[int, bytes]] = []
-        for batch in batches:
-            codes, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if codes[a] != code_of and len(held):
-                    rows.append((code_of, held.tobytes()))
-                    held = held[:0]
-                code_of, held = int(codes[a]), np.concatenate([held, fps[a:b]])
-                while len(held) >= TILE:
-                    rows.append((code_of, held[:TILE].tobytes()))
-                    held = held[TILE:]
-            if len(rows) >= 256:
-                yield _tile_batch(rows)
-                rows = []
-        if len(held):
-            rows.append((code_of, held.tobytes()))
-        if rows:
-            yield _tile_batch(rows)
+        held: list[tuple[int, bytes]] = []
+        code = None
+        rows: list[tuple[int, int, bytes, bytes]] = []
+
+        def close() -> None:
+            ids = np.array([i for i, _ in held], np.int64)
+            rows.append((code, int(ids[0]), ids.tobytes(), b"".join(d for _, d in held)))
+            held.clear()
 
-    return coded.mapInArrow(packed, "code long, block long, data binary")
+        def batch_of() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["code", "block", "ids", "data"])
+            rows.clear()
+            return out
 
+        for batch in batches:
+            for c, i, d in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and (c != code or len(held) == TILE):
+                    close()
+                    if len(rows) == 256:
+                        yield batch_of()
+                code = c
+                held.append((i, d))
+        if held:
+            close()
+        if rows:
+            yield batch_of()
 
-def _tile_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    # A block goes by its first fingerprint, which no other block has.
-    first = [int(np.frombuffer(d, np.int64, 1)[0]) for _, d in rows]
-    columns = [pa.array([c for c, _ in rows], pa.int64()), pa.array(first, pa.int64()), pa.array([d for _, d in rows], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["code", "block", "data"])
+    # A block goes by its first id, which no other block has.
+    return dealt.mapInArrow(packed, "code long, block long, ids binary, data binary")
 
 
 def near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs that differ in `radius` bits or fewer."""
-    step = max(1, (1 << 17) // max(1, len(right)))
+    """Positions of all pairs of rows, one 64-bit lane a column, that differ in `radius` bits or fewer."""
+    step = max(1, (1 << 16) // max(1, len(right)))
     found = []
+    lanes = [np.ascontiguousarray(right[:, k]) for k in range(right.shape[1])]
     for i in range(0, len(left), step):
-        a, b = np.nonzero(np.bitwise_count(left[i : i + step, None] ^ right[None, :]) <= radius)
+        differ = np.bitwise_count(left[i : i + step, :1] ^ lanes[0][None, :]).astype(np.uint16 if len(lanes) > 3 else np.uint8)
+        for k in range(1, len(lanes)):
+            differ += np.bitwise_count(left[i : i + step, k : k + 1] ^ lanes[k][None, :])
+        a, b = np.nonzero(differ <= radius)
         if len(a):
             found.append((a + i, b))
     if not found:
@@ -149,27 +171,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[root[moved]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) of fingerprints `fp`: enough pairs within `radius` bits that components equal those of all such pairs.
+def links(classes: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
+    """(a, b) of ids of `classes(id, fp)`: enough pairs within `radius` bits that components equal those of all such pairs.
 
     Tiles whose population counts differ by more than the radius never meet; the others are compared bit for
     bit. What a pair of blocks finds leaves its task as a spanning forest, not as all its pairs.
     """
-    blocks = save(tiles(distinct), "tiles")
-    moves = F.explode(F.array([F.lit(d).cast("long") for d in _offsets(radius)]))
-    left = blocks.select(F.col("block").alias("left_block"), F.col("data").alias("left"), F.col("code").alias("from"), moves.alias("move"))
-    left = left.select("left_block", "left", "move", (F.col("from") + F.col("move")).alias("code"))
-    pairs = left.join(blocks, "code").where("move <> 0 or left_block <= block").select("left", F.col("data").alias("right"))
+    parts = _parts(lanes, radius)
+    blocks = save(tiles(classes, lanes, parts), "tiles")
+    moves = F.explode(F.array([F.lit(d).cast("long") for d in _offsets(radius, parts)]))
+    left = blocks.select(F.col("block").alias("left_block"), F.col("ids").alias("left_ids"), F.col("data").alias("left"), F.col("code").alias("from"), moves.alias("move"))
+    left = left.select("left_block", "left_ids", "left", "move", (F.col("from") + F.col("move")).alias("code"))
+    pairs = left.join(blocks, "code").where("move <> 0 or left_block <= block").select("left_ids", "left", "ids", "data")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x, y in zip(batch.column(0), batch.column(1)):
-                a, b = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                i, j = near(a.view(np.uint64), b.view(np.uint64), radius)
-                differ = a[i] != b[j]
-                if differ.any():
-                    found.append(forest(a[i[differ]], b[j[differ]]))
+            for row in zip(*batch.columns):
+                ids = [np.frombuffer(row[i].as_buffer(), np.int64) for i in (0, 2)]
+                data = [np.frombuffer(row[i].as_buffer(), np.uint64).reshape(-1, lanes) for i in (1, 3)]
+                i, j = near(data[0], data[1], radius)
+                a, b = ids[0][i], ids[1][j]
+                if (a != b).any():
+                    found.append(forest(a[a != b], b[a != b]))
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -177,7 +201,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     """(key, text_hash, fp, component, kept_hash): the near-duplicate group of every row.
 
     Rows whose fingerprints differ in `radius` bits or fewer are linked; component is the smallest key
@@ -186,23 +210,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     tiles. A row without a key is compared like any other but never names a group unless all of it lack one:
     then component is null. An empty table gives an empty result. Further columns are not read.
     """
-    rows = save(fingerprints(docs, key, text, words), "fingerprints")
+    rows = save(fingerprints(docs, key, text, words, lanes), "fingerprints")
     least = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "text_hash")))
     classes = rows.groupBy("fp").agg(least.alias("least"), F.min("text_hash").alias("any_hash"))
-    classes = save(classes, "classes")
-    roots = components(links(classes.select("fp"), radius)).select(F.col("vertex").alias("fp"), "root")
-    rooted = save(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    # One lane is its own name; more are named by a hash.
+    name = F.conv(F.hex("fp"), 16, -10).cast("long") if lanes == 1 else F.xxhash64("fp")
+    classes = save(classes.withColumn("id", name), "classes")
+    roots = components(links(classes, radius, lanes)).select(F.col("vertex").alias("id"), "root")
+    rooted = save(classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("least").alias("least"), F.min("any_hash").alias("any_hash"))
     named = rooted.select("fp", "root").join(groups, "root").select("fp", F.col("least.key").alias("component"), F.coalesce("least.text_hash", "any_hash").alias("kept_hash"))
     return rows.join(named, "fp").select(F.col("key").alias(key), "text_hash", "fp", "component", "kept_hash")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, lanes: int = STAGE_LANES) -> DataFrame:
     """The rows of `docs` with one row left of each near-duplicate group, all columns as they were.
 
     Stays: the row with the group's smallest key (of several, the least hash of the text; of repeated rows, any one).
     """
-    groups = near_duplicates(docs, key, text, words, radius)
+    groups = near_duplicates(docs, key, text, words, radius, lanes)
     kept = groups.where(F.col(key).eqNullSafe(F.col("component")) & (F.col("text_hash") == F.col("kept_hash")))
     kept = save(kept.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "kept")
     held = docs.withColumns({"__row_key": F.col(key), "__row_hash": F.xxhash64(F.col(text).cast("string"))})
@@ -211,5 +237,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
 
 def hexadecimal(fp: str = "fp"):
-    """A fingerprint as 16 lower-case hexadecimal digits."""
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+    """A fingerprint of one lane as 16 lower-case hexadecimal digits."""
+    return F.lower(F.hex(fp))
