@@ -36,6 +36,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     while reach < WINDOW:
         more = h.copy()
         more[reach:] += h[:-reach] << np.uint32(reach)
+        # Nothing is taken over from the row before.
+        heads = (offsets[1:-1, None] + np.arange(reach)).ravel()
+        heads = heads[heads < len(data)]
+        more[heads] = h[heads]
         h, reach = more, reach * 2
     # The bits that all 16 bytes reach and no byte further back would.
     found = np.flatnonzero((h >> np.uint32(WINDOW - CUT_BITS - 1)) & np.uint32((1 << CUT_BITS) - 1) == 0) + 1
