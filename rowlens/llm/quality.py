@@ -73,9 +73,9 @@ def features(texts: pa.Array, metadata: Sequence[pa.Array]) -> Iterator[tuple[in
         signed = np.append(0, np.cumsum(_KIND[3][data]))
         with_sign = (signed[ends] > signed[starts]) if len(starts) else np.zeros(0, bool)
         line = np.append(0, np.cumsum(_KIND[5][data]))[starts] if len(starts) else starts
-        place = np.arange(len(starts)) - (np.searchsorted(line, line) if len(line) else 0)
-        key = line * rows + row
-        edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        begins = np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1]))[: len(line)]
+        edges = np.flatnonzero(begins)
+        place = np.arange(len(starts)) - np.repeat(edges, np.diff(np.append(edges, len(starts))))
         lines = np.add.reduceat(mix(hashes + place.astype(np.uint64)), edges) if len(edges) else hashes
         lg, _, ln = _distinct(row[edges], lines)
         n_lines, repeated = np.bincount(row[edges], minlength=rows), np.bincount(lg, ln - 1, rows)
