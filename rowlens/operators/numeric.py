@@ -40,7 +40,7 @@ class Measure:
     mean: float | None = None
     min: float | None = None
     max: float | None = None
-    sketch: list[float] | None = None  # two enclosing values per quarter, for large tables
+    sketch: list[float] | None = None  # two enclosing values per quarter
 
 
 @dataclass(frozen=True)
@@ -60,46 +60,26 @@ class Quartiles:
 
 
 def measure(df: DataFrame, columns: list[str], null_policy: str = "skip") -> list[Measure]:
-    """Counts, means and extremes of every column; for a large table two values around each quarter.
+    """Counts, means, extremes and two values around each quarter, of every column in one scan of all rows.
 
-    The second scan, for the latter, sketches a random part of a large table. That only makes the enclosing values
-    less tight or, rarely, wrong, which the exact search that starts from them finds out.
+    The enclosing values come from a mergeable sketch. They make the exact search that starts from them short; where one
+    is wrong, the search finds that out.
     """
-    values = {c: number(df, c, null_policy) for c in columns}
-    figures = [
-        [
-            F.count(F.lit(1)).alias("rows"),
-            F.count(x).alias("count"),
-            F.count_if(is_missing(df, c)).alias("null_count"),
-            F.avg(x).alias("mean"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-        ]
-        for c, x in values.items()
-    ]
-    facts = aggregate_each(df, figures, _BATCH)
-    rows = max((f["rows"] for f in facts), default=0)
-    if rows <= ranks.WHOLE_ROWS:
-        return [
-            Measure(c, f["count"], f["null_count"], f["mean"], f["min"], f["max"]) for c, f in zip(columns, facts)
-        ]
-    share = 1.0 if rows <= ranks.SKETCH_ROWS else ranks.SKETCH_ROWS / rows
-    part = df if share == 1.0 else df.sample(share)
-    sketches = [
-        [ranks.sketched_quantiles(x, _around_quarters(f["count"], share)).alias("sketch")]
-        for x, f in zip(values.values(), facts)
-    ]
-    out = []
-    for c, f, s in zip(columns, facts, aggregate_each(part, sketches, _BATCH)):
-        sketch = s["sketch"] or [f["min"], f["max"]] * len(QUARTERS)
-        out.append(Measure(c, f["count"], f["null_count"], f["mean"], f["min"], f["max"], sketch))
-    return out
-
-
-def _around_quarters(count: int, share: float) -> list[float]:
-    """Fractions below and above each quarter, further off where fewer values are sketched."""
-    reach = ranks.MARGIN if share == 1.0 else ranks.MARGIN + 2 / max(count * share, 1.0) ** 0.5
-    return [min(max(p + side * reach, 0.0), 1.0) for p in QUARTERS for side in (-1, 1)]
+    around = [min(max(p + side * ranks.MARGIN, 0.0), 1.0) for p in QUARTERS for side in (-1, 1)]
+    figures = []
+    for c in columns:
+        x = number(df, c, null_policy)
+        figures.append(
+            [
+                F.count(x).alias("count"),
+                F.count_if(is_missing(df, c)).alias("null_count"),
+                F.avg(x).alias("mean"),
+                F.min(x).alias("min"),
+                F.max(x).alias("max"),
+                ranks.sketched_quantiles(x, around).alias("sketch"),
+            ]
+        )
+    return [Measure(c, *f[1:]) for c, f in zip(columns, aggregate_each(df, figures, _BATCH))]
 
 
 def moments(df: DataFrame, measures: list[Measure], null_policy: str = "skip") -> dict[str, Moments]:
@@ -131,20 +111,15 @@ def locate_quartiles(
     candidate_limit: int = ranks.CANDIDATE_LIMIT,
 ) -> dict[str, Quartiles]:
     """Exact quartiles: the values at 0-based ranks floor(n/4) and floor(3n/4), and the median."""
-    intervals, listed, wanted = [], [], {}
+    intervals, wanted = [], {}
     for m in measures:
         if m.count:
             n = m.count
             wanted[m.column] = (n // 4, (n - 1) // 2, n // 2, 3 * n // 4)
             for rank, quarter in zip(wanted[m.column], (0, 1, 1, 2)):
-                if m.sketch:
-                    intervals.append(ranks.Interval(m.column, rank, *m.sketch[2 * quarter : 2 * quarter + 2]))
-                else:
-                    listed.append((m.column, rank))
+                intervals.append(ranks.Interval(m.column, rank, *m.sketch[2 * quarter : 2 * quarter + 2]))
     numbers = {c: number(df, c, null_policy) for c in wanted}
     values = {}
-    if listed:
-        values.update(ranks.select_small(df, {c: numbers[c] for c, _ in listed}, listed))
     for start in range(0, len(intervals), _INTERVALS_PER_PASS):
         part = intervals[start : start + _INTERVALS_PER_PASS]
         values.update(ranks.select_ranks(df, numbers, part, candidate_limit))

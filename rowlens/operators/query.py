@@ -15,8 +15,6 @@ from rowlens.functions.cells import NUMBER_PATTERN, column, data_type, is_missin
 COMPARISONS = ("gt", "gte", "lt", "lte")
 OPERATORS = ("eq", "neq", *COMPARISONS, "contains", "not_contains", "is_null", "not_null")
 AGGREGATIONS = ("count", "sum", "mean", "min", "max")
-DEFAULT_LIMIT = 500
-LARGEST_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -48,17 +46,17 @@ def _text_literal(value) -> str:
     return "" if value is None else str(value)
 
 
-def _equals(df: DataFrame, f: Filter) -> Column:
-    """Equality that is null or false on null. The cell is left uncast, so that it can be pushed down."""
-    cell, dtype = column(f.column), data_type(df, f.column)
+def _literal(df: DataFrame, f: Filter) -> Column | None:
+    """The filter value in the column's own type, so that the cell is compared as it is; None where nothing equals it."""
+    dtype = data_type(df, f.column)
     if isinstance(dtype, T.NumericType):
         value = _number_literal(f.value)
-        return F.lit(False) if value is None else cell == F.lit(value)
-    if _is_temporal(dtype):
-        return cell == _moment(f, dtype)
-    if is_text(dtype):
-        return cell == F.lit(_text_literal(f.value))
-    return cell.cast("string") == F.lit(_text_literal(f.value))
+        if value is None:
+            return None
+        return F.lit(value).cast(dtype) if isinstance(dtype, (T.FloatType, T.DoubleType)) else F.lit(value)
+    if isinstance(dtype, T.BooleanType):
+        return {"true": F.lit(True), "false": F.lit(False)}.get(_text_literal(f.value))
+    return _moment(f, dtype) if _is_temporal(dtype) else F.lit(_text_literal(f.value))
 
 
 def _moment(f: Filter, dtype: T.DataType) -> Column:
@@ -107,10 +105,11 @@ def condition(df: DataFrame, f: Filter, null_policy: str = "skip") -> Column:
         return is_missing(df, f.column)
     if f.operator == "not_null":
         return ~is_missing(df, f.column)
-    if f.operator == "eq":
-        return _equals(df, f)
-    if f.operator == "neq":
-        return ~F.coalesce(_equals(df, f), F.lit(False))
+    if f.operator in ("eq", "neq"):
+        value = _literal(df, f)
+        if value is None:
+            return F.lit(f.operator == "neq")
+        return cell == value if f.operator == "eq" else ~cell.eqNullSafe(value)
     if f.operator in COMPARISONS:
         return _compared(df, f, null_policy)
     holds = F.lower(cell.cast("string")).contains(F.lower(F.lit(_text_literal(f.value))))
@@ -166,10 +165,13 @@ def sort_rows(df: DataFrame, sort_by: str, sort_dir: str = "asc", locale: bool =
     return df.orderBy(first, *[column(c).asc_nulls_last() for c in df.columns if c != sort_by])
 
 
-def limit_rows(df: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def limit_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """The first rows; all of them without a limit."""
+    if limit is None:
+        return df
     if limit < 0:
         raise ValueError("limit must not be negative")
-    return df.limit(min(limit, LARGEST_LIMIT))
+    return df.limit(limit)
 
 
 @dataclass(frozen=True)
@@ -195,11 +197,11 @@ def run_query(
     agg_column: str | None = None,
     sort_by: str | None = None,
     sort_dir: str = "asc",
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = None,
     null_policy: str = "skip",
     locale: bool = False,
 ) -> QueryResult:
-    """Filter, group, sort and limit, in this order."""
+    """Filter, group, sort and limit, in this order; without a limit all rows are returned."""
     result = apply_filters(df, filters or [], null_policy)
     if group_by is not None:
         result = aggregate(result, group_by, aggregation, agg_column, null_policy)

@@ -27,14 +27,9 @@ SKETCH_K = 8192
 # Rank error of the sketch, and the margin taken on either side of a wanted rank.
 SKETCH_ERROR = 2.296 / SKETCH_K**0.9021
 MARGIN = 2.5 * SKETCH_ERROR
-# Rows sketched for the first intervals of a table.
-SKETCH_ROWS = 1_000_000
 # Most rows between the ends of an interval whose values are listed and ordered in one task.
 CANDIDATE_LIMIT = 500_000
 
-# Tables up to this many rows have all their values listed, without sketches and intervals.
-WHOLE_ROWS = 200_000
-
 _GRID = 1024
 _LOWEST, _HIGHEST = float("-inf"), float("inf")
 # Intervals per aggregate.
@@ -89,30 +84,6 @@ def select_ranks(
     return found
 
 
-def select_small(df: DataFrame, values: dict[str, Column], ranks: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
-    """Value at every wanted (column, rank) of a table of at most ``WHOLE_ROWS`` rows.
-
-    Equal values are combined first; one task orders the distinct values of one column.
-    """
-    names = list(values)
-    cells = df.select(*[x.alias(f"v{n}") for n, x in enumerate(values.values())])
-    long = cells.unpivot([], [f"v{n}" for n in range(len(names))], "cell", "x").where(F.col("x").isNotNull())
-    counts = long.groupBy("cell", F.col("x").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upward = Window.partitionBy("cell").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = [(f"v{names.index(c)}", rank) for c, rank in sorted(set(ranks))]
-    wanted = small_table(df.sparkSession, rows, "cell string, rank long")
-    reached = F.col("reached")
-    hits = (
-        counts.withColumn("reached", F.sum("n").over(upward))
-        # One short row per wanted rank is broadcast.
-        .join(F.broadcast(wanted), "cell")
-        .where((F.col("rank") < reached) & (F.col("rank") >= reached - F.col("n")))
-        .select("cell", "rank", "value")
-        .collect()
-    )
-    return {(names[int(h["cell"][1:])], h["rank"]): h["value"] for h in hits}
-
-
 def _inside(values: dict[str, Column], i: Interval) -> Column:
     x = values[i.column]
     return (x > F.lit(i.low)) & (x < F.lit(i.high))

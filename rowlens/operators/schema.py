@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlens.functions.cells import NUMBER_PATTERN, column, is_missing, is_text
 from rowlens.functions.small import small_table
+from rowlens.operators.passes import aggregate_each
 
 # Fixed values of the inference rule.
-INFERENCE_ROWS = 1000
 BOOLEAN_SHARE = 0.9
 NUMERIC_SHARE = 0.8
 BOOLEAN_WORDS = ("true", "false")
@@ -20,6 +20,9 @@ DATE_TIME_PATTERN = (
 
 TYPES_SCHEMA = "position int, column string, spark_type string, semantic_type string"
 
+# Text columns judged by one aggregate.
+_BATCH = 8
+
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 
@@ -40,41 +43,34 @@ def _declared_type(dtype: T.DataType) -> str | None:
     return None if is_text(dtype) else "categorical"
 
 
-def semantic_types(
-    df: DataFrame,
-    order_by: list[str] | None = None,
-    boolean_words: tuple[str, ...] = BOOLEAN_WORDS,
-) -> dict[str, str]:
+def semantic_types(df: DataFrame, boolean_words: tuple[str, ...] = BOOLEAN_WORDS) -> dict[str, str]:
     """Semantic type of every column, in table order.
 
-    Typed columns follow their declared type. Text columns are judged on the first 1000 rows;
-    pass ``order_by`` to say which rows come first, otherwise they are arbitrary. Text of full ISO
-    date-times is of type date.
+    Typed columns follow their declared type. Text columns are judged by the shares of all their cells, in one
+    scan. Text of full ISO date-times is of type date.
     """
     check_scalar_columns(df)
     found = {f.name: _declared_type(f.dataType) for f in df.schema.fields}
     texts = [name for name, kind in found.items() if kind is None]
-    if texts:
-        first = df.orderBy(*[column(c) for c in order_by]) if order_by else df
-        first = first.limit(INFERENCE_ROWS)
-        shares = []
-        for position, name in enumerate(texts):
-            cell, present = column(name), ~is_missing(df, name)
-            shares += [
-                F.count_if(present).alias(f"present_{position}"),
-                F.count_if(present & cell.rlike(NUMBER_PATTERN)).alias(f"numbers_{position}"),
-                F.count_if(present & cell.isin(*boolean_words)).alias(f"words_{position}"),
-                F.count_if(present & cell.rlike(DATE_TIME_PATTERN)).alias(f"dates_{position}"),
-            ]
-        counts = first.agg(*shares).first()
-        for position, name in enumerate(texts):
-            found[name] = _judged_type(
-                *(counts[f"{what}_{position}"] for what in ("present", "numbers", "words", "dates"))
-            )
+    for name, counts in zip(texts, aggregate_each(df, [shares(df, c, boolean_words) for c in texts], _BATCH)):
+        found[name] = judged_type(counts)
     return found
 
 
-def _judged_type(present: int, numbers: int, words: int, dates: int) -> str:
+def shares(df: DataFrame, name: str, boolean_words: tuple[str, ...] = BOOLEAN_WORDS) -> list[Column]:
+    """Counts of a text column's present cells, and of those that are numbers, booleans or date-times."""
+    cell, present = column(name), ~is_missing(df, name)
+    return [
+        F.count_if(present).alias("present"),
+        F.count_if(present & cell.rlike(NUMBER_PATTERN)).alias("numbers"),
+        F.count_if(present & cell.isin(*boolean_words)).alias("words"),
+        F.count_if(present & cell.rlike(DATE_TIME_PATTERN)).alias("dates"),
+    ]
+
+
+def judged_type(counts: Row) -> str:
+    """Semantic type that the shares of a text column stand for."""
+    present, numbers, words, dates = (counts[c] for c in ("present", "numbers", "words", "dates"))
     if present == 0:
         return "categorical"
     if words / present > BOOLEAN_SHARE:
@@ -84,9 +80,9 @@ def _judged_type(present: int, numbers: int, words: int, dates: int) -> str:
     return "date" if dates / present > NUMERIC_SHARE else "categorical"
 
 
-def infer_types(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+def infer_types(df: DataFrame) -> DataFrame:
     """One row per column: position, column, spark_type, semantic_type."""
-    kinds = semantic_types(df, order_by)
+    kinds = semantic_types(df)
     rows = [(i, f.name, f.dataType.simpleString(), kinds[f.name]) for i, f in enumerate(df.schema.fields)]
     return small_table(df.sparkSession, rows, TYPES_SCHEMA)
 

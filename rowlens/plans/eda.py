@@ -51,7 +51,7 @@ def full_profile(
     systematic sample of that size in the order of ``order_by``. Row and missing counts stay those
     of the whole table, and the duplicates of the sample are scaled up to it.
     """
-    types = schema.semantic_types(df, order_by)
+    types = schema.semantic_types(df)
     numbers = schema.numeric_columns(df, types)
     categories = schema.categorical_columns(df, types)
     rows, missing = table.count_missing(df)
@@ -123,7 +123,8 @@ def profile_metrics(profile: Profile) -> DataFrame:
     overview = profile.overview.select(
         F.lit(None).cast("string").alias("column"),
         F.expr(
-            "stack(5, 'rows', double(rows), 'cols', double(cols), "
+            "stack(8, 'rows', double(rows), 'cols', double(cols), "
+            "'memory_mb', memory_mb, 'was_sampled', double(int(was_sampled)), 'sample_size', double(sample_size), "
             "'numeric_columns', double(numeric_columns), "
             "'categorical_columns', double(categorical_columns), "
             "'duplicate_rows', double(duplicate_rows)) as (metric, value)"

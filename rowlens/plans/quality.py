@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rowlens.functions.cells import round_half
 from rowlens.functions.labels import fitness
-from rowlens.functions.small import pinned
+from rowlens.functions.small import pinned, small_table
+from rowlens.operators import table
 from rowlens.plans.eda import Profile
 
 # Fixed values of the rules; shares of columns in percent, of rows as fractions.
@@ -29,7 +30,6 @@ DUPLICATE_WARNING_SHARE = 0.01
 DUPLICATE_CRITICAL_SHARE = 0.05
 HIGH_CARDINALITY = 100
 DOMINANT_PCT = 90
-NAMED_COLUMNS = 3
 
 
 def quality_score(profile: Profile) -> DataFrame:
@@ -37,7 +37,19 @@ def quality_score(profile: Profile) -> DataFrame:
 
     The score of a table without rows is null.
     """
-    facts = profile.overview.withColumnRenamed("missing_cells", "null_count")
+    return _scored(profile.overview)
+
+
+def table_score(df: DataFrame) -> DataFrame:
+    """The quality score of a table that is not profiled: only rows, missing cells and duplicates are counted."""
+    rows, missing = table.count_missing(df)
+    duplicates = table.duplicate_rows(df).first()["duplicate_rows"]
+    facts = [(rows, len(df.columns), duplicates, sum(n for _, n in missing))]
+    return _scored(small_table(df.sparkSession, facts, "rows long, cols long, duplicate_rows long, missing_cells long"))
+
+
+def _scored(overview: DataFrame) -> DataFrame:
+    facts = overview.withColumnRenamed("missing_cells", "null_count")
     null_pct = F.try_divide(F.col("null_count").cast("double"), (F.col("rows") * F.col("cols")).cast("double")) * 100
     duplicate_share = F.try_divide(F.col("duplicate_rows").cast("double"), F.col("rows").cast("double"))
     raw = F.lit(100.0) - null_pct * SCORE_NULL_WEIGHT - duplicate_share * SCORE_DUPLICATE_WEIGHT
@@ -66,11 +78,9 @@ class _Facts:
         self.row = profile.overview.first()
 
 
-def _rule(section: str, rule: str, found: DataFrame, severity: Column | None = None, named: int | None = None):
-    """One row if the rule found columns: how many, and which; only the first ``named`` are named."""
+def _rule(section: str, rule: str, found: DataFrame, severity: Column | None = None):
+    """One row if the rule found columns: how many, and which."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda c: c["column"])
-    if named is not None:
-        listed = F.slice(listed, 1, named)
     label = F.lit(None).cast("string") if severity is None else severity
     return (
         found.agg(
@@ -134,7 +144,7 @@ def findings(profile: Profile, facts: _Facts | None = None) -> DataFrame:
                 F.array().cast("array<string>").alias("affected_columns"),
             ),
             _fact(f, "finding", "categorical_columns", F.col("categorical_columns")),
-            _rule("finding", "skewed_columns", f.skewed, named=NAMED_COLUMNS),
+            _rule("finding", "skewed_columns", f.skewed),
             _rule("finding", "constant_columns", f.numbers.where(F.col("std") == 0)),
             _rule("finding", "mostly_null_columns", f.missing.where(F.col("pct") > MOSTLY_NULL_PCT)),
             widest.select(
@@ -188,7 +198,7 @@ def recommendations(profile: Profile, facts: _Facts | None = None) -> DataFrame:
     ]
     fixed = [_fact(f, "recommendation", r[0], F.lit(float(r[1]))) for r in rows if r is not None]
     found = [
-        _rule("recommendation", "transform_skewed", f.skewed, named=NAMED_COLUMNS),
+        _rule("recommendation", "transform_skewed", f.skewed),
         _rule("recommendation", "encode_high_cardinality", wide),
     ]
     return _all(fixed + found)

@@ -12,14 +12,6 @@ from rowlens.operators import correlation, outliers
 from rowlens.plans import quality
 from rowlens.plans.eda import Profile
 
-# Rows shown in the short form of each table.
-SHOWN_MISSING = 8
-SHOWN_NUMERIC = 12
-SHOWN_CATEGORICAL = 14
-SHOWN_OUTLIERS = 14
-SHOWN_CORRELATIONS = 12
-LISTED_CORRELATIONS = 10
-
 BUNDLE_PARTS = (
     "overview",
     "numeric",

@@ -6,7 +6,7 @@ number, moments by their formulas, frequencies by grouping.
 
 from __future__ import annotations
 
-from rowlens.registry.tables import GAPS, GAPS_CATEGORICAL, GAPS_NUMERIC, MIXED_CELL, TABLES, TEXT_CELLS, select
+from rowlens.registry.tables import GAPS, GAPS_CATEGORICAL, GAPS_NUMERIC, MIXED_CELL, MIXED_FILE, TABLES, TEXT_CELLS, select
 
 PLACES = 4
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -225,6 +225,10 @@ def outlier_ctes() -> dict[str, str]:
 
 
 OUTLIER_COLUMNS = '"column", method, count, pct, lower_bound, upper_bound'
+OUTLIER_SEVERITY = (
+    f"SELECT {OUTLIER_COLUMNS}, CASE WHEN pct > 10 THEN 'High' WHEN pct > 3 THEN 'Moderate' ELSE 'Low' END "
+    "AS severity FROM outliers"
+)
 
 
 def outliers(tail: str) -> str:
@@ -304,7 +308,7 @@ def infer_types() -> str:
             )
     rows.append(f"SELECT {len(TEXT_CELLS) - 1}, 'active', 'boolean'")
     return with_tables(
-        {"first": select(TEXT_CELLS, "events") + " ORDER BY event_id LIMIT 1000"}, union(rows)
+        {"first": select(TEXT_CELLS, "events")}, union(rows)
     )
 
 
@@ -375,10 +379,8 @@ def quality_ctes() -> dict[str, str]:
     }
 
 
-def rule(section: str, code: str, source: str, severity: str = "CAST(NULL AS VARCHAR)", order="p", names="", least=1):
+def rule(section: str, code: str, source: str, severity: str = "CAST(NULL AS VARCHAR)", order="p", least=1):
     listed = f"string_agg(\"column\", ',' ORDER BY {order})"
-    if names:
-        listed = f"array_to_string(list_slice(list(\"column\" ORDER BY {order}), 1, {names}), ',')"
     return (
         f"SELECT '{section}' AS section, '{code}' AS rule, {severity} AS severity, CAST(count(*) AS DOUBLE) AS value, "
         f"{listed} AS affected_columns FROM {source} HAVING count(*) >= {least}"
@@ -414,7 +416,7 @@ FINDINGS = [
     fact("finding", "columns", "cols"),
     fact("finding", "numeric_columns", "(SELECT count(*) FROM n)"),
     fact("finding", "categorical_columns", "(SELECT count(*) FROM c)"),
-    rule("finding", "skewed_columns", SKEWED, names="3"),
+    rule("finding", "skewed_columns", SKEWED),
     rule("finding", "constant_columns", "n WHERE std = 0"),
     rule("finding", "mostly_null_columns", "miss WHERE pct > 50", order="position"),
     "SELECT * FROM (SELECT 'finding' AS section, 'widest_range' AS rule, CAST(NULL AS VARCHAR) AS severity, "
@@ -444,7 +446,7 @@ INSIGHTS = [
 RECOMMENDATIONS = [
     fact("recommendation", "address_missing_values", "(SELECT count(*) FROM miss)", f"{NULL_PCT} > 5"),
     fact("recommendation", "missing_rate_acceptable", "(SELECT count(*) FROM miss)", f"{NULL_PCT} <= 5"),
-    rule("recommendation", "transform_skewed", SKEWED, names="3"),
+    rule("recommendation", "transform_skewed", SKEWED),
     fact("recommendation", "distributions_symmetric", "0", f"NOT EXISTS (SELECT 1 FROM {SKEWED})"),
     fact("recommendation", "remove_duplicates", "dup", "dup > 0"),
     fact("recommendation", "no_duplicates", "0", "dup = 0"),
@@ -556,6 +558,29 @@ SAMPLED = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_dis
 SAMPLED_ALL = ", ".join([*SAMPLED, "l_returnflag"])
 SAMPLE_SQL = systematic_sample(SAMPLED_ALL, "lineitem", SAMPLED_ALL)
 
+ORDERS_MEMORY = memory(
+    "orders",
+    {
+        "o_orderkey": json_int("o_orderkey"),
+        "o_custkey": json_int("o_custkey"),
+        "o_orderstatus": json_text("o_orderstatus"),
+        "o_totalprice": json_double("o_totalprice"),
+        "o_orderdate": "26",
+        "o_orderpriority": json_text("o_orderpriority"),
+    },
+)
+LINEITEM_MEMORY = memory(
+    "lineitem",
+    {
+        "l_orderkey": json_int("l_orderkey"),
+        "l_linenumber": json_int("l_linenumber"),
+        "l_quantity": json_double("l_quantity"),
+        "l_extendedprice": json_double("l_extendedprice"),
+        "l_discount": json_double("l_discount"),
+        "l_returnflag": json_text("l_returnflag"),
+    },
+)
+
 FULL_QUERY = (
     f"SELECT kind, count(*) AS count, {half('avg(amount)')} AS mean_amount FROM ({KEYED_GAPS_SQL}) "
     "WHERE amount >= 5 AND coalesce(NOT contains(lower(tag), 'sign'), true) AND kind IS DISTINCT FROM 'view' "
@@ -564,11 +589,12 @@ FULL_QUERY = (
 GAP_ORDER = ", ".join(f"{c} ASC NULLS LAST" for c in ["event_id", *[g for g in GAP_COLUMNS if g != "amount"]])
 
 ORACLES: dict[str, str] = {
-    "scan_csv": "SELECT CAST(event_id AS DOUBLE) AS event_id, "
+    "scan_csv": "SELECT event_id, "
     + ", ".join("nullif(tag, '') AS tag" if c == "tag" else c for c in GAP_COLUMNS)
     + ", props FROM ("
     + select([("event_id", "event_id"), *GAPS, ("props", "props")], "events")
     + ")",
+    "scan_csv_mixed": select([(n, "CAST(event_id + 0.5 AS DOUBLE)" if n == "half" else sql) for n, sql in MIXED_FILE], "events"),
     "ingest_roundtrip": KEYED_GAPS_SQL,
     "export_bundle": export_bundle(),
     "report_overview": report_overview(),
@@ -635,19 +661,19 @@ ORACLES: dict[str, str] = {
         "SELECT * FROM orders", ["o_orderstatus", "o_orderpriority"], "column unique_count null_count entropy"
     ),
     "correlation_pairs": correlation_pairs("SELECT * FROM lineitem", LINEITEM_NUMERIC),
+    "strong_pairs": "SELECT count(*) AS pairs, count(*) FILTER (WHERE abs(value) >= 0.7) AS strong_pairs "
+    f"FROM ({correlation_pairs('SELECT * FROM lineitem', LINEITEM_NUMERIC)})",
     "correlation_pairs_gaps": correlation_pairs(GAPS_SQL, GAPS_NUMERIC),
     "correlation_matrix": correlation_matrix(GAPS_SQL, GAPS_NUMERIC),
     "correlation_report": with_tables(
         {"src": "SELECT * FROM lineitem", **correlation_ctes(LINEITEM_NUMERIC)},
         "SELECT col1, col2, value, CASE WHEN abs(value) >= 0.7 THEN 'Strong' WHEN abs(value) >= 0.4 THEN 'Moderate' "
         "ELSE 'Weak' END AS strength, CASE WHEN value > 0 THEN 'Positive' ELSE 'Negative' END AS direction "
-        f"FROM (SELECT *, {half('r')} AS value FROM corr) ORDER BY abs(value) DESC, col1, col2 LIMIT 10",
+        f"FROM (SELECT *, {half('r')} AS value FROM corr) ORDER BY abs(value) DESC, col1, col2",
     ),
     "outliers": outliers(f"SELECT {OUTLIER_COLUMNS} FROM outliers"),
-    "outlier_severity": outliers(
-        f"SELECT {OUTLIER_COLUMNS}, CASE WHEN pct > 10 THEN 'High' WHEN pct > 3 THEN 'Moderate' ELSE 'Low' END "
-        "AS severity FROM outliers"
-    ),
+    "report_outliers": outliers(OUTLIER_SEVERITY),
+    "outlier_severity": outliers(OUTLIER_SEVERITY),
     "outlier_total": outlier_total(),
     "duplicate_rows": duplicates("text, lang", "SELECT * FROM documents"),
     "duplicate_rows_gaps": duplicates(", ".join(GAP_COLUMNS), GAPS_SQL),
@@ -661,17 +687,7 @@ ORACLES: dict[str, str] = {
             "n_chars": json_int("n_chars"),
         },
     ),
-    "memory_estimate_orders": memory(
-        "orders",
-        {
-            "o_orderkey": json_int("o_orderkey"),
-            "o_custkey": json_int("o_custkey"),
-            "o_orderstatus": json_text("o_orderstatus"),
-            "o_totalprice": json_double("o_totalprice"),
-            "o_orderdate": "26",
-            "o_orderpriority": json_text("o_orderpriority"),
-        },
-    ),
+    "memory_estimate_orders": ORDERS_MEMORY,
     "column_numeric": with_tables(
         {**numbers(GAPS_SQL, ["amount"]), **frequencies(GAPS_SQL, ["amount"], "c")},
         rounded(
@@ -698,18 +714,26 @@ ORACLES: dict[str, str] = {
         ORDERS_OTHERS,
         {
             "rows": "(SELECT count(*) FROM orders)",
+            "memory_mb": f"(SELECT memory_mb FROM ({ORDERS_MEMORY}))",
+            "was_sampled": "0",
+            "sample_size": "(SELECT count(*) FROM orders)",
             "cols": "6",
             "numeric_columns": "3",
             "categorical_columns": "3",
             "duplicate_rows": "(SELECT count(*) FROM orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders))",
         },
     ),
+    "full_eda_histogram": histogram("SELECT * FROM orders", ORDERS_NUMERIC),
+    "full_eda_top_values": top_values("SELECT * FROM orders", ORDERS_OTHERS),
     "eda_sampled": metrics(
         SAMPLE_SQL,
         SAMPLED,
         ["l_returnflag"],
         {
             "rows": "(SELECT count(*) FROM lineitem)",
+            "memory_mb": f"(SELECT memory_mb FROM ({LINEITEM_MEMORY}))",
+            "was_sampled": "CASE WHEN (SELECT count(*) FROM lineitem) > 50000 THEN 1 ELSE 0 END",
+            "sample_size": "least((SELECT count(*) FROM lineitem), 50000)",
             "cols": "6",
             "numeric_columns": "5",
             "categorical_columns": "1",
@@ -717,7 +741,7 @@ ORACLES: dict[str, str] = {
             "(SELECT DISTINCT * FROM src))) / (SELECT count(*) FROM src) * (SELECT count(*) FROM lineitem) + 0.5)",
         },
     ),
-    "query_sort": f"SELECT * FROM ({KEYED_GAPS_SQL}) ORDER BY amount DESC NULLS LAST, {GAP_ORDER} LIMIT 1000",
+    "query_sort": f"SELECT * FROM ({KEYED_GAPS_SQL}) ORDER BY amount DESC NULLS LAST, {GAP_ORDER}",
     "query_limit": f"SELECT *, count(*) OVER () AS total_count FROM ({KEYED_GAPS_SQL}) ORDER BY event_id LIMIT 500",
     "query_full": f"SELECT *, count(*) OVER () AS total_count FROM ({FULL_QUERY})",
     "catalog_list": catalog(),

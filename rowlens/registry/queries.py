@@ -18,7 +18,7 @@ from rowlens.operators import query as builder
 from rowlens.operators.query import Filter
 from rowlens.plans import column as column_report
 from rowlens.plans import eda, quality, report
-from rowlens.registry.tables import GAPS, GAPS_CATEGORICAL, GAPS_NUMERIC, MIXED_CELL, TABLES, TEXT_CELLS, derive, load
+from rowlens.registry.tables import GAPS, GAPS_CATEGORICAL, GAPS_NUMERIC, MIXED_CELL, MIXED_FILE, TABLES, TEXT_CELLS, derive, load
 from rowlens.sources import catalog, tables
 from rowlens.sources.scratch import scratch_path
 
@@ -87,6 +87,13 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_csv(spark, path)
 
 
+def scan_csv_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers first and text later in one column, ids that a double would round, and quoted line breaks."""
+    path = scratch_path(spark, "mixed_csv")
+    tables.write_table(derive(load(spark, sf_dir, "events"), MIXED_FILE), path, "csv")
+    return tables.scan_csv(spark, path, multi_line=True)
+
+
 def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.ingest(keyed_gaps(spark, sf_dir), scratch_path(spark, "ingested"))
 
@@ -147,7 +154,7 @@ def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = derive(load(spark, sf_dir, "events"), TEXT_CELLS)
-    return schema.infer_types(cells, ["event_id"]).select("position", "column", "semantic_type")
+    return schema.infer_types(cells).select("position", "column", "semantic_type")
 
 
 def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +164,7 @@ def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = keyed_gaps(spark, sf_dir)
-    kinds = schema.infer_types(df, ["event_id"]).select("position", "column", "semantic_type")
+    kinds = schema.infer_types(df).select("position", "column", "semantic_type")
     return kinds.join(F.broadcast(table.null_counts(df)), "column")
 
 
@@ -181,15 +188,15 @@ def _column_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_correlation(df: DataFrame) -> DataFrame:
     pairs = correlation.correlation_pairs(df, LINEITEM_NUMERIC)
-    return correlation.report_table(pairs, report.LISTED_CORRELATIONS)
+    return correlation.report_table(pairs)
 
 
 def _sorted(df: DataFrame) -> DataFrame:
-    return builder.run_query(df, sort_by="amount", sort_dir="desc", limit=builder.LARGEST_LIMIT).rows
+    return builder.run_query(df, sort_by="amount", sort_dir="desc").rows
 
 
 def _limited(df: DataFrame) -> DataFrame:
-    result = builder.run_query(df, sort_by="event_id")
+    result = builder.run_query(df, sort_by="event_id", limit=500)
     return result.rows.withColumn("total_count", F.lit(result.total_count()).cast("long"))
 
 
@@ -208,19 +215,20 @@ def _grouped(aggregation: str) -> Query:
 
 def full_eda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of orders in long form."""
-    return rounded(eda.profile_metrics(eda.full_profile(load(spark, sf_dir, "orders"), memory=False)))
+    return rounded(eda.profile_metrics(eda.full_profile(load(spark, sf_dir, "orders"))))
 
 
 def eda_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of lineitem on a systematic sample of the default size."""
     columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
     df = load(spark, sf_dir, "lineitem").select(*columns)
-    profile = eda.full_profile(df, columns[:2], sample_threshold=sampling.SAMPLE_ROWS, memory=False)
+    profile = eda.full_profile(df, columns[:2], sample_threshold=sampling.SAMPLE_ROWS)
     return rounded(eda.profile_metrics(profile))
 
 
 QUERIES: dict[str, Query] = {
     "scan_csv": scan_csv,
+    "scan_csv_mixed": scan_csv_mixed,
     "ingest_roundtrip": ingest_roundtrip,
     "export_bundle": export_bundle,
     "report_overview": _profiled(lambda p: report.overview(p).where(F.col("metric") != "memory_mb")),
@@ -280,6 +288,8 @@ QUERIES: dict[str, Query] = {
     "correlation_matrix": _on_gaps(lambda df: correlation.correlation_matrix(df, GAPS_NUMERIC)),
     "correlation_report": _on("lineitem", _report_correlation),
     "outliers": _on_gaps(lambda df: outliers.outliers(df, GAPS_NUMERIC)),
+    "report_outliers": _on_gaps(lambda df: report.outlier_table(eda.full_profile(df), df)),
+    "strong_pairs": _on("lineitem", lambda df: correlation.strong_count(correlation.correlation_pairs(df, LINEITEM_NUMERIC))),
     "outlier_severity": _on_gaps(lambda df: outliers.with_severity(outliers.outliers(df, GAPS_NUMERIC))),
     "outlier_total": _on_gaps(lambda df: outliers.outlier_total(df, GAPS_NUMERIC)),
     "duplicate_rows": _on("documents", lambda df: table.duplicate_rows(df.select("text", "lang"))),
@@ -290,6 +300,8 @@ QUERIES: dict[str, Query] = {
     "column_categorical": _column_categorical,
     "sample_values": _on("events", lambda df: categorical.sample_values(df, "value", ["event_id"])),
     "full_eda": full_eda,
+    "full_eda_histogram": _on("orders", lambda df: eda.full_profile(df).histogram),
+    "full_eda_top_values": _on("orders", lambda df: eda.full_profile(df).top_values),
     "eda_sampled": eda_sampled,
     "query_sort": _on_keyed_gaps(_sorted),
     "query_limit": _on_keyed_gaps(_limited),
@@ -297,7 +309,7 @@ QUERIES: dict[str, Query] = {
     "catalog_list": lambda spark, sf_dir: _shown(catalog.catalog_list(_catalog(spark, sf_dir))),
     "catalog_recent": lambda spark, sf_dir: _shown(catalog.catalog_recent(_catalog(spark, sf_dir))),
     "catalog_summary": catalog_summary,
-    "quality_score": _profiled(lambda p: rounded(quality.quality_score(p))),
+    "quality_score": _on_gaps(lambda df: rounded(quality.table_score(df))),
     "issues": _rules(quality.issues),
     "findings": _rules(quality.findings),
     "insights": _rules(quality.insights),

@@ -51,6 +51,14 @@ TEXT_CELLS = [
     ("active", "event_id % 2 = 0"),
 ]
 
+# Events as a file whose cells only later rows show to be text, with ids beyond 2**53 and quoted line breaks.
+MIXED_FILE = [
+    ("id", "event_id + 9007199254740993"),
+    ("mixed", "CASE WHEN event_id < 4000 THEN CAST(event_id AS VARCHAR(40)) ELSE concat('t', CAST(event_id AS VARCHAR(40))) END"),
+    ("half", "event_id + 0.5"),
+    ("note", "concat(event_type, chr(10), 'second line')"),
+]
+
 # One raw cell per event: plain, padded, signed and exponent numbers, and text that only looks like one.
 MIXED_CELL = (
     "CASE event_id % 10 "

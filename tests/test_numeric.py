@@ -29,7 +29,6 @@ def test_quartiles_of_small_tables(one_column, n):
 @pytest.mark.parametrize("shape", ["uniform", "skewed", "hot", "two"])
 def test_quartiles_do_not_depend_on_the_sketch(spark, monkeypatch, shape, limit):
     """Also when every interval has to be sketched again, and where one value holds a third of all rows."""
-    monkeypatch.setattr(ranks, "WHOLE_ROWS", 1000)
     expression = {
         "uniform": "double(hash(id))",
         "skewed": "exp(20 * (pmod(hash(id), 100003) / 100003D))",
@@ -52,8 +51,6 @@ def test_a_wrong_interval_is_found_out(spark):
 
 def test_a_sampled_sketch_gives_exact_quartiles(spark, monkeypatch):
     """Also for a column that has few values in the sample, or none."""
-    monkeypatch.setattr(ranks, "SKETCH_ROWS", 200)
-    monkeypatch.setattr(ranks, "WHOLE_ROWS", 200)
     df = spark.range(30_000).selectExpr(
         "double(pmod(hash(id), 9973)) AS x", "IF(id % 500 = 0, double(id), NULL) AS rare", "IF(id = 7, 1D, NULL) AS one"
     )

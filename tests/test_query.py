@@ -108,9 +108,10 @@ def test_locale_order(spark):
 
 def test_limit_and_total(spark):
     df = spark.range(3000)
-    result = run_query(df)
+    result = run_query(df, limit=500)
     assert (result.rows.count(), result.total_count(), result.columns) == (500, 3000, ["id"])
-    assert run_query(df, limit=5000).rows.count() == 1000
+    assert run_query(df, limit=5000).rows.count() == min(5000, df.count())
+    assert run_query(df).rows.count() == df.count()
     assert run_query(df, limit=0).rows.count() == 0
 
 
@@ -120,3 +121,19 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = apply_filters(spark.read.parquet(path), [Filter("id", "gt", "5"), Filter("s", "eq", "7")]).select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,5)" in plan and "EqualTo(s,7)" in plan and "unused" not in plan
+
+
+def test_equality_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("SELECT id, string(id) AS s, id % 2 = 0 AS flag, float(id / 10) AS x FROM range(50)").write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def pushed(f):
+        plan = apply_filters(df, [f])._jdf.queryExecution().executedPlan().toString()
+        return plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
+
+    assert "Not(EqualNullSafe(s,7))" in pushed(Filter("s", "neq", "7"))
+    assert "Not(EqualNullSafe(id,7))" in pushed(Filter("id", "neq", "7"))
+    assert "EqualTo(flag,true)" in pushed(Filter("flag", "eq", "true"))
+    assert "EqualTo(x,0.1)" in pushed(Filter("x", "eq", "0.1")) and apply_filters(df, [Filter("x", "eq", "0.1")]).count() == 1
+    assert apply_filters(df, [Filter("flag", "neq", "maybe")]).count() == 50

@@ -24,7 +24,7 @@ def csv_path(tmp_path):
 def test_csv_is_typed(spark, csv_path):
     df = tables.scan_csv(spark, csv_path)
     assert dict(df.dtypes) == {
-        "id": "double",
+        "id": "bigint",
         "flag": "boolean",
         "n": "double",
         "d": "string",
@@ -40,6 +40,31 @@ def test_csv_is_typed(spark, csv_path):
     assert df.selectExpr("date_format(max(ts), 'yyyy-MM-dd HH:mm') AS t").first()["t"] == "2024-01-01 23:00"
 
 
+def test_no_cell_is_lost(spark, tmp_path):
+    """Several files; the first thousands of rows say otherwise than the last ones."""
+    for part in range(4):
+        rows = [f"{2**53 + 1 + i},{i if part < 3 else 'text'},{10**20 + i},{i}.5,{2**53 + 1 + i if i % 2 else '0.5'}" for i in range(1500)]
+        (tmp_path / f"{part}.csv").write_text("\n".join(["id,mixed,wide,half,both", *rows]))
+    df = tables.scan_csv(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"id": "bigint", "mixed": "string", "wide": "decimal(38,0)", "half": "double", "both": "string"}
+    found = df.selectExpr("count(mixed) AS present", "count(distinct id) AS ids", "count(distinct wide) AS wide", "count_if(mixed = 'text') AS text").first()
+    assert tuple(found) == (6000, 1500, 1500, 1500)
+
+
+@pytest.mark.parametrize("torn", ['3,"a\nb",x', "3,a,x,more", "3"])
+def test_malformed_rows_are_not_taken_silently(spark, tmp_path, torn):
+    path = tmp_path / "torn.csv"
+    path.write_text(f"n,s,t\n1,a,b\n{torn}\n4,c,d\n")
+    with pytest.raises(ValueError, match="rows of .* do not have the cells"):
+        tables.scan_csv(spark, str(path))
+    kept = tables.scan_csv(spark, str(path), malformed="keep").collect()
+    assert sum(r["_malformed"] is not None for r in kept) == len(kept) - 2 >= 1
+    with pytest.raises(Exception, match="MALFORMED"):
+        tables.scan_csv(spark, str(path), typed=False).collect()
+    if "\n" in torn:
+        assert [r["s"] for r in tables.scan_csv(spark, str(path), multi_line=True).orderBy("n").collect()] == ["a", "a\nb", "c"]
+
+
 def test_csv_as_text(spark, csv_path):
     df = tables.scan_csv(spark, csv_path, typed=False)
     assert set(dict(df.dtypes).values()) == {"string"} and df.count() == 4
