@@ -6,7 +6,20 @@ number, moments by their formulas, frequencies by grouping.
 
 from __future__ import annotations
 
-from rowlens.registry.tables import GAPS, GAPS_CATEGORICAL, GAPS_NUMERIC, MIXED_CELL, MIXED_FILE, TABLES, TEXT_CELLS, select
+from rowlens.registry.tables import (
+    BANDS,
+    EMPTYISH,
+    GAPS,
+    GAPS_CATEGORICAL,
+    GAPS_NUMERIC,
+    HALF_FULL,
+    MIXED_CELL,
+    MIXED_FILE,
+    SPIKES,
+    TABLES,
+    TEXT_CELLS,
+    select,
+)
 
 PLACES = 4
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -15,6 +28,9 @@ GAPS_SQL = select(GAPS, "events")
 KEYED_GAPS_SQL = select([("event_id", "event_id"), *GAPS], "events")
 GAP_COLUMNS = [name for name, _ in GAPS]
 
+CUSTOMER_NUMERIC, CUSTOMER_OTHERS = ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]
+CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
 LINEITEM_DOUBLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_NUMERIC = ["l_linenumber", *LINEITEM_DOUBLES]
 LINEITEM_ALL = [
@@ -362,16 +378,15 @@ def catalog() -> str:
 # Quality rules over the derived table
 
 
-def quality_ctes() -> dict[str, str]:
-    """CTEs of all profile figures of the derived table, and one row of table-wide facts."""
-    numeric = numbers(GAPS_SQL, GAPS_NUMERIC)
-    position = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(GAP_COLUMNS))
+def quality_ctes(source: str = GAPS_SQL, numeric: list[str] = GAPS_NUMERIC, categorical: list[str] = GAPS_CATEGORICAL, columns: list[str] = GAP_COLUMNS) -> dict[str, str]:
+    """CTEs of all profile figures of a table, and one row of table-wide facts."""
+    position = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(columns))
     return {
-        **numeric,
-        **{k: v for k, v in frequencies(GAPS_SQL, GAPS_CATEGORICAL, "c").items()},
-        **missing_ctes(GAP_COLUMNS),
-        "dups": duplicates(", ".join(GAP_COLUMNS), GAPS_SQL),
-        "facts": f"SELECT rows, {len(GAP_COLUMNS)} AS cols, duplicate_rows AS dup, "
+        **numbers(source, numeric),
+        **{k: v for k, v in frequencies(source, categorical, "c").items()},
+        **missing_ctes(columns),
+        "dups": duplicates(", ".join(columns), source),
+        "facts": f"SELECT rows, {len(columns)} AS cols, duplicate_rows AS dup, "
         "(SELECT coalesce(sum(count), 0) FROM miss) AS nulls FROM dups",
         "n": f'SELECT *, CASE "column" {position} END AS p FROM num WHERE mean IS NOT NULL',
         "c": f'SELECT k.*, t.pct AS top_pct, CASE k."column" {position} END AS p FROM ccat k '
@@ -398,9 +413,9 @@ SKEWED = "n WHERE abs(skewness) > 1"
 NULL_PCT = "(CAST(nulls AS DOUBLE) / (rows * cols) * 100)"
 
 
-def rules(parts: list[str]) -> str:
+def rules(parts: list[str], ctes: dict[str, str] | None = None) -> str:
     return with_tables(
-        quality_ctes(),
+        ctes or quality_ctes(),
         rounded(f"SELECT * FROM ({union(parts)})", ["value"], ["section", "rule", "severity", "affected_columns"]),
     )
 
@@ -470,15 +485,22 @@ UNUSUAL = [
 SCORE = f"greatest(0, least(100, CAST(floor(100 - 2 * {NULL_PCT} - 20.0::DOUBLE * dup / rows + 0.5) AS BIGINT)))"
 
 
-def quality_score() -> str:
+def quality_score(ctes: dict[str, str] | None = None) -> str:
     return with_tables(
-        quality_ctes(),
+        ctes or quality_ctes(),
         f"SELECT rows, CAST(cols AS BIGINT) AS cols, CAST(nulls AS BIGINT) AS null_count, {half(NULL_PCT)} AS null_pct, "
         f"dup AS duplicate_rows, CAST({SCORE} AS BIGINT) AS score, CASE WHEN {SCORE} >= 80 THEN 'well-suited' "
         f"WHEN {SCORE} >= 60 THEN 'adequately suited' ELSE 'marginally suited' END AS fitness FROM facts",
     )
 
 
+CUSTOMER_CTES = quality_ctes("SELECT * FROM customer", CUSTOMER_NUMERIC, CUSTOMER_OTHERS, CUSTOMER_COLUMNS)
+SPIKES_CTES = quality_ctes(select(SPIKES, "lineitem"), ["quantity", "spike"], ["line", "returned"], [name for name, _ in SPIKES])
+HALF_FULL_CTES = quality_ctes(select(HALF_FULL, "events"), ["amount", "event_id"], ["kind"], [name for name, _ in HALF_FULL])
+EMPTYISH_CTES = quality_ctes(select(EMPTYISH, "events"), ["amount", "one"], ["kind"], [name for name, _ in EMPTYISH])
+ALL_RULES = ISSUES + FINDINGS + INSIGHTS + RECOMMENDATIONS + UNUSUAL
+
+
 def report_numeric() -> str:
     shown = [f"{half(f, 3)} AS {quote(f)}" for f in FIGURES]
     return with_tables(
@@ -663,6 +685,8 @@ ORACLES: dict[str, str] = {
     "correlation_pairs": correlation_pairs("SELECT * FROM lineitem", LINEITEM_NUMERIC),
     "strong_pairs": "SELECT count(*) AS pairs, count(*) FILTER (WHERE abs(value) >= 0.7) AS strong_pairs "
     f"FROM ({correlation_pairs('SELECT * FROM lineitem', LINEITEM_NUMERIC)})",
+    "correlation_bands": correlation_pairs(select(BANDS, "lineitem"), [name for name, _ in BANDS]),
+    "correlation_pairs_all": correlation_pairs("SELECT * FROM lineitem", LINEITEM_ALL),
     "correlation_pairs_gaps": correlation_pairs(GAPS_SQL, GAPS_NUMERIC),
     "correlation_matrix": correlation_matrix(GAPS_SQL, GAPS_NUMERIC),
     "correlation_report": with_tables(
@@ -741,6 +765,12 @@ ORACLES: dict[str, str] = {
             "(SELECT DISTINCT * FROM src))) / (SELECT count(*) FROM src) * (SELECT count(*) FROM lineitem) + 0.5)",
         },
     ),
+    "rules_customer": rules(ALL_RULES, CUSTOMER_CTES),
+    "rules_spikes": rules(ALL_RULES, SPIKES_CTES),
+    "rules_emptyish": rules(ALL_RULES, EMPTYISH_CTES),
+    "quality_score_customer": quality_score(CUSTOMER_CTES),
+    "quality_score_half_full": quality_score(HALF_FULL_CTES),
+    "quality_score_emptyish": quality_score(EMPTYISH_CTES),
     "query_sort": f"SELECT * FROM ({KEYED_GAPS_SQL}) ORDER BY amount DESC NULLS LAST, {GAP_ORDER}",
     "query_limit": f"SELECT *, count(*) OVER () AS total_count FROM ({KEYED_GAPS_SQL}) ORDER BY event_id LIMIT 500",
     "query_full": f"SELECT *, count(*) OVER () AS total_count FROM ({FULL_QUERY})",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,21 @@ from rowlens.operators import query as builder
 from rowlens.operators.query import Filter
 from rowlens.plans import column as column_report
 from rowlens.plans import eda, quality, report
-from rowlens.registry.tables import GAPS, GAPS_CATEGORICAL, GAPS_NUMERIC, MIXED_CELL, MIXED_FILE, TABLES, TEXT_CELLS, derive, load
+from rowlens.registry.tables import (
+    BANDS,
+    EMPTYISH,
+    GAPS,
+    GAPS_CATEGORICAL,
+    GAPS_NUMERIC,
+    HALF_FULL,
+    MIXED_CELL,
+    MIXED_FILE,
+    SPIKES,
+    TABLES,
+    TEXT_CELLS,
+    derive,
+    load,
+)
 from rowlens.sources import catalog, tables
 from rowlens.sources.scratch import scratch_path
 
@@ -76,6 +91,14 @@ def _rules(rules: Callable[[eda.Profile], DataFrame]) -> Query:
     return _profiled(flat)
 
 
+def _every_rule(df: DataFrame) -> DataFrame:
+    profile = eda.full_profile(df)
+    parts = [f(profile) for f in (quality.issues, quality.findings, quality.insights, quality.recommendations, quality.unusual)]
+    found = reduce(DataFrame.unionByName, parts)
+    named = F.array_join("affected_columns", ",").alias("affected_columns")
+    return rounded(found.select("section", "rule", "severity", "value", named))
+
+
 # Sources and sinks
 
 
@@ -284,6 +307,8 @@ QUERIES: dict[str, Query] = {
         "orders", lambda df: categorical.categorical_profile(df, ORDERS_CATEGORICAL)
     ),
     "correlation_pairs": _on("lineitem", lambda df: correlation.correlation_pairs(df, LINEITEM_NUMERIC)),
+    "correlation_bands": _on("lineitem", lambda df: correlation.correlation_pairs(derive(df, BANDS))),
+    "correlation_pairs_all": _on("lineitem", lambda df: correlation.correlation_pairs(df)),
     "correlation_pairs_gaps": _on_gaps(lambda df: correlation.correlation_pairs(df, GAPS_NUMERIC)),
     "correlation_matrix": _on_gaps(lambda df: correlation.correlation_matrix(df, GAPS_NUMERIC)),
     "correlation_report": _on("lineitem", _report_correlation),
@@ -310,6 +335,12 @@ QUERIES: dict[str, Query] = {
     "catalog_recent": lambda spark, sf_dir: _shown(catalog.catalog_recent(_catalog(spark, sf_dir))),
     "catalog_summary": catalog_summary,
     "quality_score": _on_gaps(lambda df: rounded(quality.table_score(df))),
+    "quality_score_customer": _on("customer", lambda df: rounded(quality.table_score(df))),
+    "quality_score_half_full": _on("events", lambda df: rounded(quality.table_score(derive(df, HALF_FULL)))),
+    "quality_score_emptyish": _on("events", lambda df: rounded(quality.table_score(derive(df, EMPTYISH)))),
+    "rules_customer": _on("customer", _every_rule),
+    "rules_spikes": _on("lineitem", lambda df: _every_rule(derive(df, SPIKES))),
+    "rules_emptyish": _on("events", lambda df: _every_rule(derive(df, EMPTYISH))),
     "issues": _rules(quality.issues),
     "findings": _rules(quality.findings),
     "insights": _rules(quality.insights),

@@ -59,6 +59,34 @@ MIXED_FILE = [
     ("note", "concat(event_type, chr(10), 'second line')"),
 ]
 
+# Tables on which the remaining rules fire: a unique text and one far value, missing shares of the lower bands.
+SPIKES = [
+    ("line", "concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))"),
+    ("returned", "l_returnflag"),
+    ("quantity", "l_quantity"),
+    ("spike", "CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN CAST(1000000 AS DOUBLE) ELSE l_tax END"),
+]
+HALF_FULL = [
+    ("event_id", "event_id"),
+    ("amount", "CASE WHEN event_id % 10 < 4 THEN NULL ELSE value END"),
+    ("kind", "CASE WHEN event_id % 20 = 0 THEN '' ELSE event_type END"),
+]
+EMPTYISH = [
+    ("amount", "CASE WHEN event_id % 5 = 0 THEN floor(value / 50) END"),
+    ("one", "CAST(1 AS DOUBLE)"),
+    ("kind", "CASE WHEN event_id % 7 = 0 THEN event_type END"),
+]
+
+# Columns that correlate with the first by about 0.9, 0.6, 0.4 and 0.2, and one against it.
+BANDS = [
+    ("base", "l_quantity"),
+    ("very_strong", "l_quantity + l_discount * 220"),
+    ("strong", "l_quantity + l_discount * 600"),
+    ("moderate", "l_quantity + l_discount * 1030"),
+    ("weak", "l_quantity + l_discount * 2200"),
+    ("against", "l_tax * 100 - l_quantity"),
+]
+
 # One raw cell per event: plain, padded, signed and exponent numbers, and text that only looks like one.
 MIXED_CELL = (
     "CASE event_id % 10 "
