@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from rowlens.functions.cells import column
 from rowlens.functions.small import small_table
-from rowlens.sources.scratch import checkpoint_root
+from rowlens.sources.scratch import scratch_path
 
 SAMPLE_ROWS = 50_000
 # Largest group of rows with equal order keys that one task may put in order.
 TIE_LIMIT = 1_000_000
-# Samples up to this size are broadcast to pick their rows.
-_BROADCAST_ROWS = 200_000
 
 # monotonically_increasing_id holds the partition number above this bit, the row number below.
 _ROW_BITS = 33
@@ -28,7 +26,7 @@ def systematic_sample(
     so that the sample does not depend on how the table is laid out.
 
     Only the order keys are sorted, over all executors, equal keys combined first. The sampled rows
-    are then picked from the table by key. Where a sampled key is held by more rows than one task
+    are then picked from the table by key, a join that broadcasts them only if they are small. Where a sampled key is held by more rows than one task
     should order, all columns serve as the key instead: rows that still tie are identical.
     """
     if size < 1:
@@ -39,12 +37,12 @@ def systematic_sample(
     hits = _hits(df, order_by, total, size)
     copies = hits.agg(F.max("_copies").alias("copies")).first()["copies"]
     if copies == 1:
-        return df.join(_offered(hits, size), _same(order_by), "left_semi")
+        return df.join(hits, _same(order_by), "left_semi")
     if copies > tie_limit:
         keys = order_by + [c for c in df.columns if c not in order_by]
         found = _hits(df, keys, total, size)
         return found.select(*[F.col(_key(keys.index(c))).alias(c) for c in df.columns])
-    return _picked(df, hits, order_by, size)
+    return _picked(df, hits, order_by)
 
 
 def _key(position: int) -> str:
@@ -54,15 +52,14 @@ def _key(position: int) -> str:
 def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
     """Sampled positions: the keys, the rows that hold them, and the place among those rows.
 
-    The sorted keys are written to the checkpoint folder, since positions rest on the rows before
-    each partition and a sort computed again could split them elsewhere. So are the positions found,
-    one row per sampled row. Only the row count of each partition reaches the driver.
+    The sorted keys are written with their numbers, since positions rest on the rows before each
+    partition and a sort computed again could split them elsewhere. So are the positions found, one
+    row per sampled row. Only the row count of each partition reaches the driver.
     """
-    checkpoint_root(df.sparkSession)
     names = [_key(i) for i in range(len(keys))]
     grouped = df.groupBy(*[column(c).alias(n) for c, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_copies"))
-    ordered = grouped.orderBy(*names).checkpoint()
-    numbered = ordered.withColumn("_id", F.monotonically_increasing_id()).select(
+    ordered = _written(grouped.orderBy(*names).withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    numbered = ordered.select(
         *names,
         "_copies",
         F.shiftright("_id", _ROW_BITS).cast("int").alias("_part"),
@@ -91,7 +88,14 @@ def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
         .select(*names, "_copies", "_first", F.explode(positions).alias("_position"))
         .select(*names, "_copies", (F.col("_position") - F.col("_first")).alias("_offset"))
     )
-    return found.checkpoint()
+    return _written(found, "hits")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: nothing before them is computed again, and their size is known."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _may_hold(first: Column, copies: Column, total: int, size: int) -> Column:
@@ -109,10 +113,6 @@ def _positions(first: Column, copies: Column, total: int, size: int) -> Column:
     return F.filter(places, lambda p: (p >= first) & (p < first + copies))
 
 
-def _offered(hits: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(hits) if size <= _BROADCAST_ROWS else hits
-
-
 def _same(keys: list[str]) -> Column:
     """A table row beside the hit that has its keys; nulls are equal to each other."""
     same = F.lit(True)
@@ -121,11 +121,11 @@ def _same(keys: list[str]) -> Column:
     return same
 
 
-def _picked(df: DataFrame, hits: DataFrame, keys: list[str], size: int) -> DataFrame:
+def _picked(df: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the sampled keys at the sampled places of their ties."""
-    tied = df.join(_offered(hits, size), _same(keys), "left_semi")
+    tied = df.join(hits, _same(keys), "left_semi")
     others = [column(c) for c in df.columns if c not in keys]
     order = Window.partitionBy(*[column(c) for c in keys]).orderBy(*(others or [F.lit(0)]))
     placed = tied.withColumn("_place", (F.row_number().over(order) - 1).cast("long"))
     wanted = _same(keys) & (F.col("_place") == F.col("_offset"))
-    return placed.join(_offered(hits, size), wanted, "left_semi").drop("_place")
+    return placed.join(hits, wanted, "left_semi").drop("_place")
