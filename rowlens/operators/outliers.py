@@ -9,10 +9,11 @@ from rowlens.functions.cells import number, percent, round_half
 from rowlens.functions.labels import outlier_severity
 from rowlens.functions.small import small_table
 from rowlens.operators.numeric import Quartiles, locate_quartiles, measure
+from rowlens.operators.passes import aggregate_each
 from rowlens.operators.schema import numeric_columns
 
 FENCE = 1.5
-_COLUMNS_PER_PASS = 60
+_BATCH = 8
 
 
 def fences(found: dict[str, Quartiles]) -> dict[str, tuple[float, float]]:
@@ -47,14 +48,15 @@ def outliers(
     """
     columns = numeric_columns(df) if columns is None else columns
     limits = _limits(df, columns, null_policy, quartiles)
-    counted = {}
     inside = [c for c in columns if c in limits]
-    for start in range(0, len(inside), _COLUMNS_PER_PASS):
-        part = inside[start : start + _COLUMNS_PER_PASS]
-        totals = [F.count(number(df, c, null_policy)).alias(f"n{i}") for i, c in enumerate(part)]
-        hits = [F.count_if(_outside(df, c, limits[c], null_policy)).alias(f"o{i}") for i, c in enumerate(part)]
-        row = df.agg(*totals, *hits).first()
-        counted.update({c: (row[f"o{i}"], row[f"n{i}"]) for i, c in enumerate(part)})
+    figures = [
+        [
+            F.count_if(_outside(df, c, limits[c], null_policy)).alias("outside"),
+            F.count(number(df, c, null_policy)).alias("valid"),
+        ]
+        for c in inside
+    ]
+    counted = {c: (r["outside"], r["valid"]) for c, r in zip(inside, aggregate_each(df, figures, _BATCH))}
     rows = [(c, *counted.get(c, (0, 0)), *limits.get(c, (0.0, 0.0))) for c in columns]
     schema = "column string, count long, valid long, lower double, upper double"
     return small_table(df.sparkSession, rows, schema).select(
