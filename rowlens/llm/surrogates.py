@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ _CARD = r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w)])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _CLOUD_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|sk-)[A-Za-z0-9]{20,}"
-_SECRET = r"(?<=[=:]\s{0,2}[\"']?)(?<=(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'&<>]{6,}"
+_SECRET = r"(?<=[=:]\s{0,2}[\"']?)(?<=(?i:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'&<>]{6,}"
 _NAME_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _NAME = rf"(?=\p{{Lu}})(?:(?<=\b(?:{_TITLES}) |\b(?:{_TITLES})\. |\b(?:{_GIVEN}) ){_NAME_WORD}|\b(?:{_GIVEN})(?= \p{{Lu}}\p{{Ll}}))"
 # One alternative for each kind of first character, so that most characters are passed over at once.
@@ -87,7 +89,7 @@ def _byte(digest: Column, at: Column) -> Column:
     return F.conv(F.substring(digest, (at * 2) % 62 + 1, F.lit(2)), 16, 10).cast("int") + at
 
 
-def _mapped(entity: Column, digest: Column, keep: int = 0) -> Column:
+def _mapped(entity: Column, digest: Column, keep: Column) -> Column:
     """Each letter or digit replaced by one of its script and case; the first `keep` characters and all others stay."""
     hexadecimal = _matches(entity, "[0-9a-f]+")
 
@@ -101,40 +103,42 @@ def _mapped(entity: Column, digest: Column, keep: int = 0) -> Column:
     return F.array_join(F.transform(F.split(entity, ""), letter), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is written, and computed, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of an entity: keyed by type, entity and attempt, of the same type, format and script."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 256)
-    longer = F.when(attempt >= _GROW, F.lower(F.translate(F.substring(digest, F.lit(50), F.least(attempt - _GROW + 1, F.lit(12))), "0123456789", "ghijklmnop"))).otherwise("")
-    domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(F.substring_index(entity, "@", -1))), 256)
-    top = F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), F.conv(F.substring(domain, 20, 2), 16, 10).cast("int") % 3 + 1)
-    email = F.concat(_mapped(F.substring_index(entity, "@", 1), digest), longer, F.lit("@m"), F.substring(domain, 1, 8), F.lit(".example."), top)
-    octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string"))
-    card = _mapped(entity, digest, 1)
-    stem = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.lit("0"))
-    card = F.concat(F.substring(stem, F.lit(1), F.length(stem) - 1), ((10 - luhn(F.regexp_replace(stem, r"[ -]", ""))) % 10).cast("string"))
-    # A country code stays, as do a bank's country and the mark of a cloud key.
-    code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])|^\(?", 0)
-    phone = F.concat(code, _mapped(F.substring(entity, F.length(code) + 1, F.length(entity)), digest))
-    given = F.lit(None).cast("string")
-    for name, names in GIVEN_NAMES.items():
-        each = names.split()
-        given = F.coalesce(given, F.when(kind == f"given_{name}", F.element_at(F.array(*map(F.lit, each)), F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % len(each) + 1)))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", F.array_join(octets, "."))
-        .when(kind == "card", card)
-        .when(kind == "phone", phone)
-        .when(kind == "cloud_key", _mapped(entity, digest, 4))
-        .when(kind == "iban", _mapped(entity, digest, 2))
-        .when(kind == "ssn", _mapped(entity, digest))
-        .when(kind == "family", F.concat(_mapped(entity, digest), longer))
-        .when(F.startswith(kind, F.lit("given_")), given)
-        .otherwise(F.concat(_mapped(entity, digest), longer))
-    )
+    # A country code stays, as do a bank's country, the mark of a cloud key and a card's first digit.
+    code = F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])|^\(?", 0))
+    keep = F.when(kind == "card", 1).when(kind == "cloud_key", 4).when(kind == "iban", 2).when(kind == "phone", code).otherwise(0)
+
+    def formed(x: Column) -> Column:
+        mapped, own = x["mapped"], x["digest"]
+        longer = F.when(attempt >= _GROW, F.lower(F.translate(F.substring(own, F.lit(50), F.least(attempt - _GROW + 1, F.lit(12))), "0123456789", "ghijklmnop"))).otherwise("")
+        domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(F.substring_index(entity, "@", -1))), 256)
+        top = _let(domain, lambda d: F.concat(F.lit("@m"), F.substring(d, 1, 8), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), F.conv(F.substring(d, 20, 2), 16, 10).cast("int") % 3 + 1)))
+        octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(own, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string"))
+        stem = F.substring(mapped, F.lit(1), F.length(mapped) - 1)
+        check = (10 - luhn(F.concat(F.regexp_replace(stem, r"[ -]", ""), F.lit("0")))) % 10
+        names = F.create_map(*(x for name, each in GIVEN_NAMES.items() for x in (F.lit(f"given_{name}"), F.split(F.lit(each), " "))))
+        given = _let(F.try_element_at(names, kind), lambda n: F.try_element_at(n, F.conv(F.substring(own, 1, 6), 16, 10).cast("int") % F.size(n) + 1))
+        return (
+            F.when(kind == "email", F.concat(F.substring_index(mapped, "@", 1), longer, top))
+            .when(kind == "ip", F.array_join(octets, "."))
+            .when(kind == "card", F.concat(stem, check.cast("string")))
+            .when(kind.isin("phone", "cloud_key", "iban", "ssn"), mapped)
+            .when(F.startswith(kind, F.lit("given_")), given)
+            .otherwise(F.concat(mapped, longer))
+        )
+
+    return _let(F.struct(_mapped(entity, digest, keep).alias("mapped"), digest.alias("digest")), formed)
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, entity, surrogate) for distinct `entities(kind, entity)`: no two of a kind alike, none a real one.
+    """(kind, entity, attempt, surrogate) for distinct `entities(kind, entity)`: no two of a kind alike, none a real one.
 
     An entity whose surrogate an earlier one has, or that is itself found in the table, tries again with the next
     attempt until none is left; what is left shrinks with every round. Given names come from short lists and are told
@@ -149,7 +153,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         real = checked.join(every.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "entity")
         again = save(later.union(real).distinct().withColumn("again", F.lit(1)), "again")
         if not again.head(1):
-            return placed.select("kind", "entity", "surrogate")
+            return placed.select("kind", "entity", "attempt", "surrogate")
         attempt = F.col("attempt") + F.coalesce("again", F.lit(0))
         moved = placed.join(again, ["kind", "entity"], "left").select("kind", "entity", attempt.alias("attempt"), "again", "surrogate")
         renewed = F.when(F.col("again") == 1, surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)).otherwise(F.col("surrogate"))
@@ -161,21 +165,33 @@ def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: st
 
     An entity has the same surrogate wherever it occurs, and no other entity of its kind has it; kinds, lengths, signs,
     scripts, case, checksums, a title's gender and the gender of given names stay. Long numbers that are no card
-    number stay as they are. Null stays null and counts nothing; rows with equal keys are told apart by their texts, equal rows get
-    equal results. Only mentions are shuffled by entity, where a join splits an entity that a large share of
-    rows mention. Further columns are not read; an empty table gives an empty result.
+    number stay as they are. Null stays null and counts nothing; rows with equal keys are told apart by their texts, equal
+    rows get equal results. Texts are never shuffled for their entities: a surrogate follows from its entity, and only
+    the few that had to try again are joined to the rows that mention them; a mention that a large share of rows
+    hold is split by the skew join. Further columns are not read; an empty table gives an empty result.
     """
     narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     narrow = narrow.withColumn("hash", F.xxhash64("text"))
-    found = narrow.select("key", "hash", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).where(F.size("found") > 0)
-    found = save(found.groupBy("key", "hash").agg(F.any_value("found").alias("found")), "found")
-    mentions = found.select("key", "hash", F.posexplode("found").alias("at", "entity")).withColumn("kind", kind_of(F.col("entity")))
-    mentions = save(mentions, "mentions")
-    known = surrogates(mentions.where("kind is not null").select("kind", "entity").distinct(), secret)
-    placed = mentions.join(known, ["kind", "entity"], "left").select("key", "hash", "at", F.coalesce("surrogate", "entity").alias("text"), F.col("kind").isNotNull().cast("long").alias("own"))
-    back = placed.groupBy("key", "hash").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("with"), F.sum("own").alias("own"))
-    back = save(back.select(F.col("key").alias("k"), F.col("hash").alias("h"), F.col("with.text").alias("with"), "own"), "replacements")
-    joined = narrow.join(back, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")
-    woven = F.zip_with(F.split("text", PATTERN, -1), F.col("with"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.when(F.col("with").isNull(), F.col("text")).otherwise(F.array_join(woven, ""))
-    return joined.select(F.col("key").alias(key), changed.alias("text"), F.coalesce(F.size("with"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce("own", F.lit(0)).alias("n_replaced"))
+    found = F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    mentions = narrow.select("key", "hash", F.explode(F.array_distinct(found)).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
+    mentions = save(mentions.where("kind is not null"), "mentions")
+    known = surrogates(mentions.select("kind", "entity").distinct(), secret)
+    again = mentions.join(known.where("attempt > 0"), ["kind", "entity"])
+    named = F.struct(F.concat_ws("|", "kind", "entity").alias("key"), "attempt")
+    again = again.groupBy("key", "hash").agg(F.map_from_entries(F.collect_set(named)).alias("attempts"))
+    again = save(again.select(F.col("key").alias("k"), F.col("hash").alias("h"), "attempts"), "attempts")
+    joined = narrow.join(again, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")
+    joined = joined.withColumn("found", F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind"))))
+    own = F.transform("found", lambda x: _replacement(x["kind"], x["entity"], F.col("attempts"), secret))
+    woven = F.array_join(F.zip_with(F.split("text", PATTERN, -1), own, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return joined.select(
+        F.col("key").alias(key),
+        F.when(F.size("found") == 0, F.col("text")).otherwise(woven).alias("text"),
+        F.size("found").cast("long").alias("n_entities"),
+        F.size(F.filter("found", lambda x: x["kind"].isNotNull())).cast("long").alias("n_replaced"),
+    )
+
+
+def _replacement(kind: Column, entity: Column, attempts: Column, secret: str) -> Column:
+    attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("|", kind, entity)), F.lit(0))
+    return F.when(kind.isNull(), entity).otherwise(surrogate(kind, entity, attempt, secret))
