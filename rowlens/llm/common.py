@@ -47,11 +47,13 @@ def ascii_lower_table(separators: bytes) -> np.ndarray:
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about `limit` bytes: first row, one past the last, their bytes and row offsets. Null is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = texts.cast(pa.large_string()).fill_null("")
+    # The batch itself is not copied unless it holds nulls.
+    texts = texts if texts.null_count == 0 else texts.fill_null("")
     rows = len(texts)
     if not rows:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + rows + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + rows + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
     first = 0

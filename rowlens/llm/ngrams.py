@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,10 @@ PRIOR = 5.0
 ADDED = 0.1
 # Hashes of a membership probe: about one wrong answer in a million, for 29 bits an entry.
 HASHES = 20
-# A model above this size is broadcast and probed in shards, one after another.
-MODEL_BYTES = 256 << 20
+# A model above this size is broadcast in shards, and a worker holds one of them at a time ...
+MODEL_BYTES = 48 << 20
+# ... for so many tokens, then the next.
+GROUP_TOKENS = 1 << 19
 
 # The first bits of a hash name a part of the model, some more the class of contexts a word belongs to.
 _PART_BITS = 12
@@ -33,7 +36,7 @@ _PARTS = 1 << _PART_BITS
 _CLASSES = 1 << (_CLASS_BITS - _PART_BITS)
 
 # Distinct hashes that a counting task holds before it passes them on.
-_HELD = 1 << 21
+_HELD = 1 << 20
 
 _CODES = ascii_lower_table(BLANKS)
 _END = np.uint64(0xD1B54A32D192ED03)
@@ -80,7 +83,7 @@ def counts(texts: DataFrame, least: int = LEAST) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["pair", "key", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0), 4 << 20):
+            for _, _, data, offsets in slices(batch.column(0), 2 << 20):
                 words, _ = tokens(data, offsets)
                 for pair, keys in enumerate((words, bigrams(words))):
                     held[pair].append(_summed(keys, np.ones(len(keys), np.int64)))
@@ -89,6 +92,8 @@ def counts(texts: DataFrame, least: int = LEAST) -> DataFrame:
         for pair in (0, 1):
             if held[pair]:
                 yield rows(pair)
+        # The worker goes on to other tasks.
+        pa.default_memory_pool().release_unused()
 
     each = texts.mapInArrow(counted, "pair boolean, key long, n long")
     return each.groupBy("pair", "key").agg(F.sum("n").alias("n")).where((~F.col("pair")) | (F.col("n") >= least))
@@ -235,27 +240,31 @@ class Shard:
         state[1, own[asked]] = of_level(self.levels(distinct))[back]
 
 
-def shard(model: DataFrame, low: int, high: int) -> Shard:
-    """The parts from `low` to `high` of a written model, gathered part by part; the caller bounds their size."""
-    empty = np.empty(0, np.uint8)
-    found: dict[int, dict[int, tuple[bytes, bytes]]] = {0: {}, 1: {}, 2: {}}
-    for row in model.where((F.col("part") >= low) & (F.col("part") < high)).toLocalIterator():
-        found[row["kind"]][row["part"]] = (bytes(row["a"]), bytes(row["b"]))
-    order = range(low, high)
-
-    def flat(kind: int, at: int, dtype) -> np.ndarray:
-        held = b"".join(found[kind][p][at] for p in order if p in found[kind])
-        return np.frombuffer(held, dtype)
+def shard(model: DataFrame, low: int, high: int, lengths: dict[tuple[int, int], tuple[int, int]]) -> Shard:
+    """The parts from `low` to `high` of a written model; the caller bounds their size.
 
+    Parts arrive one by one and go straight into arrays of the final size: `lengths` has the bytes of each part and kind.
+    """
+    bytes_of = {kind: np.array([lengths.get((p, kind), (0, 0)) for p in range(low, high)], np.int64) for kind in (0, 2)}
+    begin = {kind: np.cumsum(n[:, 0]) - n[:, 0] for kind, n in bytes_of.items()}
+    words = int(bytes_of[0][:, 0].sum()) // 8
+    keys, held = np.empty(words, np.uint64), np.empty(words, np.int64)
     dense = np.zeros((2, (high - low) * _CLASSES), np.float32)
-    for p, pair in found[1].items():
-        for i in (0, 1):
-            dense[i, (p - low) * _CLASSES : (p - low + 1) * _CLASSES] = np.frombuffer(pair[i], np.float32)
-    held = flat(0, 1, np.int64)
-    sizes = np.array([np.frombuffer(found[2][p][1], np.int64)[0] if p in found[2] else 0 for p in order], np.int64)
-    lengths = np.array([len(found[2][p][0]) if p in found[2] else 0 for p in order], np.int64)
-    small = held.astype(np.uint32) if held.max(initial=0) < 1 << 32 else held
-    return Shard(low, high, flat(0, 0, np.uint64), small, dense[0], dense[1], flat(2, 0, np.uint8) if found[2] else empty, sizes, np.cumsum(lengths) - lengths)
+    bits, sizes = np.empty(int(bytes_of[2][:, 0].sum()), np.uint8), np.zeros(high - low, np.int64)
+    for row in model.where((F.col("part") >= low) & (F.col("part") < high)).toLocalIterator():
+        at, kind, a, b = row["part"] - low, row["kind"], row["a"], row["b"]
+        if kind == 0:
+            start = int(begin[0][at]) // 8
+            keys[start : start + len(a) // 8] = np.frombuffer(a, np.uint64)
+            held[start : start + len(a) // 8] = np.frombuffer(b, np.int64)
+        elif kind == 1:
+            dense[0, at * _CLASSES : (at + 1) * _CLASSES] = np.frombuffer(a, np.float32)
+            dense[1, at * _CLASSES : (at + 1) * _CLASSES] = np.frombuffer(b, np.float32)
+        else:
+            bits[begin[2][at] : begin[2][at] + len(a)] = np.frombuffer(a, np.uint8)
+            sizes[at] = np.frombuffer(b, np.int64)[0]
+    counts = held.astype(np.uint32) if held.max(initial=0) < 1 << 32 else held
+    return Shard(low, high, keys, counts, dense[0], dense[1], bits, sizes, begin[2])
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -263,35 +272,42 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(crc_of_id(key) % 10 == 0, F.lit(False))
 
 
-def _probed(rows: DataFrame, shared, total: int, distinct: int, first: bool, last: bool) -> DataFrame:
-    """One round over (key, text, state): the shard's share of every token's state; the last round gives the scores."""
-    fields = [rows.schema["key"], *T.StructType.fromDDL("text string, state binary" if not last else "n_tokens long, n_known long, base_score double, score double").fields]
+def _probed(rows: DataFrame, shards: list[Broadcast], total: int, distinct: int) -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) for `rows(key, text)`.
+
+    A few megabytes of tokens at a time meet one shard after another, so a worker holds one shard at most.
+    """
+    fields = [rows.schema["key"], *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields]
+    below = total + ADDED * (distinct + 1)
+
+    def scored(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, lengths = np.concatenate([w for _, w, _ in held]), np.concatenate([n for _, _, n in held])
+        begins, state = np.cumsum(lengths) - lengths, np.zeros((4, len(words)))
+        for shared in shards:
+            Shard(**shared.value).fill(words, state)
+            # A worker would keep every shard it has loaded.
+            shared.__dict__.pop("_value", None)
+        count, pair, context, kept = state
+        unigram = (count + ADDED) / below
+        # What the filter rounds off or leaves out of a context goes to the unigrams, so that all adds up to one.
+        smoothed = (pair + (PRIOR + np.maximum(context - kept, 0)) * unigram) / (np.maximum(context, kept) + PRIOR)
+        sums = [np.add.reduceat(x, begins) for x in (count > 0, np.log10(unigram), np.log10(np.minimum(smoothed, 1.0)))]
+        keys = pa.concat_arrays([k for k, _, _ in held])
+        columns = [keys, pa.array(lengths.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "n_known", "base_score", "score"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(**shared.value)
-        below = total + ADDED * (distinct + 1)
+        held, size = [], 0
         for batch in batches:
             for start, stop, data, offsets in slices(batch.column(1)):
                 words, begins = tokens(data, offsets)
-                lengths = np.diff(begins)
-                state = np.zeros((4, len(words)))
-                if not first:
-                    held = batch.column(2).slice(start, stop - start)
-                    state = np.concatenate([np.frombuffer(x.as_buffer(), float).reshape(4, -1) for x in held], axis=1)
-                shard.fill(words, state)
-                own = batch.column(0).slice(start, stop - start)
-                if not last:
-                    packed = [state[:, a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])]
-                    columns = [own, batch.column(1).slice(start, stop - start), pa.array(packed, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "text", "state"])
-                    continue
-                count, pair, context, kept = state
-                unigram = (count + ADDED) / below
-                # What the filter rounds off or leaves out of a context goes to the unigrams, so that all adds up to one.
-                smoothed = (pair + (PRIOR + np.maximum(context - kept, 0)) * unigram) / (np.maximum(context, kept) + PRIOR)
-                sums = [np.add.reduceat(x, begins[:-1]) for x in (count > 0, np.log10(unigram), np.log10(np.minimum(smoothed, 1.0)))]
-                columns = [own, pa.array(lengths.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "n_known", "base_score", "score"])
+                held.append((batch.column(0).slice(start, stop - start), words, np.diff(begins)))
+                size += len(words)
+                if size > GROUP_TOKENS:
+                    yield scored(held)
+                    held, size = [], 0
+        if held:
+            yield scored(held)
 
     return rows.mapInArrow(probed, T.StructType(fields))
 
@@ -302,27 +318,28 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", learn: Colum
     Learns from the rows where `learn` holds (by default those not held out). base_score is the unigram model with
     0.1 added to every exact count, score the bigram model: quantised bigram counts come from membership probes of
     a Bloom filter, one entry for each level of a bigram's count, and what they leave of a context's occurrences
-    goes to the unigrams. Contexts are 4,194,304 classes of words by hash. The model grows with the corpus: if it
-    is larger than `model_bytes`, it is cut by hash into shards below that size, broadcast one after another, and the
-    state of every token is written between the rounds; the scores do not depend on that. Null and empty texts have
-    one token, the end. Without rows to learn from every token has probability 1. Further columns are not read.
+    goes to the unigrams. Contexts are 4,194,304 classes of words by hash. The model grows with the corpus, so it
+    is cut by hash into shards of `model_bytes` at most, each broadcast on its own; the scores do not depend on their
+    number. Null and empty texts have one token, the end. Without rows to learn from every token has probability
+    1. Further columns are not read.
     """
     narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     counted = save(counts(docs.where(~held_out(key) if learn is None else learn).select(F.col(text).cast("string"))), "counts")
     total = counted.where(~F.col("pair")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     model = save(parts(counted), "model")
-    # The size of the model by part: 4096 numbers at most.
-    sizes = dict(model.groupBy("part").agg(F.sum(F.length("a") + F.length("b"))).collect())
+    # Bytes by part and kind: 12,288 rows at most.
+    lengths = {(r[0], r[1]): (r[2], r[3]) for r in model.select("part", "kind", F.length("a"), F.length("b")).collect()}
+    sizes = dict.fromkeys(range(_PARTS), 0)
+    for (part, _), n in lengths.items():
+        sizes[part] += sum(n)
     rounds, low, held = [], 0, 0
     for part in range(_PARTS):
-        if held and held + sizes.get(part, 0) > model_bytes:
+        if held and held + sizes[part] > model_bytes:
             rounds.append((low, part))
             low, held = part, 0
-        held += sizes.get(part, 0)
+        held += sizes[part]
     rounds.append((low, _PARTS))
-    rows, context = narrow, docs.sparkSession.sparkContext
-    for i, (low, high) in enumerate(rounds):
-        last = i + 1 == len(rounds)
-        rows = _probed(rows, context.broadcast(shard(model, low, high).__dict__), total[0], total[1], i == 0, last)
-        rows = rows if last else save(rows, "state")
+    context = docs.sparkSession.sparkContext
+    shards = [context.broadcast(shard(model, low, high, lengths).__dict__) for low, high in rounds]
+    rows = _probed(narrow, shards, total[0], total[1])
     return rows.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(total[0]).cast("long").alias("train_tokens"), "base_score", "score")
