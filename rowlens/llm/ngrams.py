@@ -23,7 +23,7 @@ ADDED = 0.1
 # Hashes of a membership probe: about one wrong answer in a million, for 29 bits an entry.
 HASHES = 20
 # A model above this size is broadcast in shards, and a worker holds one of them at a time ...
-MODEL_BYTES = 48 << 20
+MODEL_BYTES = 24 << 20
 # ... for so many tokens, then the next.
 GROUP_TOKENS = 1 << 19
 
@@ -36,7 +36,7 @@ _PARTS = 1 << _PART_BITS
 _CLASSES = 1 << (_CLASS_BITS - _PART_BITS)
 
 # Distinct hashes that a counting task holds before it passes them on.
-_HELD = 1 << 20
+_HELD = 1 << 19
 
 _CODES = ascii_lower_table(BLANKS)
 _END = np.uint64(0xD1B54A32D192ED03)
@@ -83,7 +83,7 @@ def counts(texts: DataFrame, least: int = LEAST) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["pair", "key", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0), 2 << 20):
+            for _, _, data, offsets in slices(batch.column(0)):
                 words, _ = tokens(data, offsets)
                 for pair, keys in enumerate((words, bigrams(words))):
                     held[pair].append(_summed(keys, np.ones(len(keys), np.int64)))
@@ -340,6 +340,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", learn: Colum
         held += sizes[part]
     rounds.append((low, _PARTS))
     context = docs.sparkSession.sparkContext
-    shards = [context.broadcast(shard(model, low, high, lengths).__dict__) for low, high in rounds]
+    shards = []
+    for low, high in rounds:
+        shards.append(context.broadcast(shard(model, low, high, lengths).__dict__))
+        # Sent from its file; the driver need not hold it too.
+        shards[-1].__dict__.pop("_value", None)
     rows = _probed(narrow, shards, total[0], total[1])
     return rows.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(total[0]).cast("long").alias("train_tokens"), "base_score", "score")
