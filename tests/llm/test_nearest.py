@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rowlens.llm import nearest
@@ -29,6 +30,26 @@ def test_recall_and_scores(spark):
     assert hits / (45 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("sigma, longer", [(0.5, 1), (1, 1), (0, 10)])
+def test_recall_of_unequal_lengths(spark, sigma, longer):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x *= np.exp(rng.normal(0, sigma, (4000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[77] *= longer
+    rows = table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "array<double>")
+    found = nearest.nearest(rows, F.col("id") % 20 == 0).collect()
+    own = {q: {r["vec_id"] for r in found if r["query_id"] == q} for q in range(0, 4000, 20)}
+    recalls = [len(own[q] & set(plain(range(4000), x, q, 20))) / 20 for q in own]
+    assert np.mean(recalls) >= 0.9 and min(recalls) >= 0.5
+
+
+def test_crowded_bands_are_few_rows():
+    bands = [(i, 1000 * 2**i, 1.25**-i) for i in range(20)]
+    whole = nearest.crowded(bands, 64, 20)
+    assert 0 in whole and sum(n for b, n, _ in bands if b in whole) <= 20 / nearest.SHARE
+    assert nearest.crowded([(0, 100_000, 1.0)], 64, 20) == set() and nearest.crowded([(0, 15, 1.0)], 64, 20) == {0}
+
+
 def test_few_rows_ties_and_rows_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (20, [-1.0, 0.0])]
     rows += [(40, [0.0, 0.0]), (60, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0])]
