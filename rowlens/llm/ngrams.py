@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 from rowlens.llm.common import BLANKS, ascii_lower_table, crc_of_id, hash_words, mix, save, slices, word_spans
 
-# Bigrams seen less often are left to the smoothing; all of them are counted.
-LEAST = 2
 # Weight of the unigram probability in every context, in occurrences.
 PRIOR = 5.0
 # Added to each count by the unigram model.
@@ -67,8 +65,8 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def counts(texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(pair, key, n) over the one text column: all words and ends (pair false), and the bigrams seen `least` times.
+def counts(texts: DataFrame) -> DataFrame:
+    """(pair, key, n) over the one text column: all words and ends (pair false), and all bigrams.
 
     Tasks count hashes before anything is shuffled, so a frequent word costs a row for each task.
     """
@@ -96,17 +94,17 @@ def counts(texts: DataFrame, least: int = LEAST) -> DataFrame:
         pa.default_memory_pool().release_unused()
 
     each = texts.mapInArrow(counted, "pair boolean, key long, n long")
-    return each.groupBy("pair", "key").agg(F.sum("n").alias("n")).where((~F.col("pair")) | (F.col("n") >= least))
+    return each.groupBy("pair", "key").agg(F.sum("n").alias("n"))
 
 
-def level(n: Column, least: int = LEAST) -> Column:
-    """Quantised count: two levels for each doubling, rounded down."""
-    return (1 + F.floor(2 * F.log2(n / least) + 1e-9)).cast("int")
+def level(n: Column) -> Column:
+    """Quantised count: 1 for once, then two levels for each doubling, rounded down."""
+    return (1 + F.floor(2 * F.log2(n) + 1e-9)).cast("int")
 
 
-def of_level(levels: np.ndarray, least: int = LEAST) -> np.ndarray:
+def of_level(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for, never more than the true one; 0 for level 0."""
-    return np.where(levels > 0, least * 2.0 ** ((levels - 1) / 2), 0.0)
+    return np.where(levels > 0, 2.0 ** ((levels - 1) / 2), 0.0)
 
 
 def _positions(keys: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +128,12 @@ def _part(key: str) -> Column:
 
 
 def parts(counted: DataFrame) -> DataFrame:
-    """(part, kind, a, b): kind 0 the sorted words and their counts, 1 the contexts' counts and kept bigrams, 2 the filter.
+    """(part, kind, a, b): kind 0 the sorted words and their counts, 1 the contexts' counts and what levels keep of them, 2 the filter.
 
     A part holds one 4096th of the hashes, so no task holds more of the model than its parts, one at a time.
     """
     words, pairs = counted.where(~F.col("pair")), counted.where("pair").withColumn("level", level(F.col("n")))
-    kept = F.pow(F.lit(2.0), (F.col("level") - 1) / 2) * LEAST
+    kept = F.pow(F.lit(2.0), (F.col("level") - 1) / 2)
     of_class = F.shiftrightunsigned("key", 64 - _CLASS_BITS)
     contexts = words.select(of_class.alias("key"), F.col("n").cast("double").alias("n"), F.lit(0.0).alias("kept"))
     contexts = contexts.union(pairs.select(of_class, F.lit(0.0), kept)).groupBy("key").agg(F.sum("n").alias("x"), F.sum("kept").alias("y"))
@@ -234,7 +232,7 @@ class Shard:
         pairs = pairs[own]
         of_class = (pairs >> _CLASS).astype(np.int64) - self.low * _CLASSES
         state[2, own], state[3, own] = self.contexts[of_class], self.kept[of_class]
-        # A context none of whose bigrams was kept needs no probe.
+        # A context that was never seen needs no probe.
         asked = self.kept[of_class] > 0
         distinct, back = np.unique(pairs[asked], return_inverse=True)
         state[1, own[asked]] = of_level(self.levels(distinct))[back]
@@ -289,7 +287,7 @@ def _probed(rows: DataFrame, shards: list[Broadcast], total: int, distinct: int)
             shared.__dict__.pop("_value", None)
         count, pair, context, kept = state
         unigram = (count + ADDED) / below
-        # What the filter rounds off or leaves out of a context goes to the unigrams, so that all adds up to one.
+        # What the filter rounds off a context's counts goes to the unigrams, so that all adds up to one.
         smoothed = (pair + (PRIOR + np.maximum(context - kept, 0)) * unigram) / (np.maximum(context, kept) + PRIOR)
         sums = [np.add.reduceat(x, begins) for x in (count > 0, np.log10(unigram), np.log10(np.minimum(smoothed, 1.0)))]
         keys = pa.concat_arrays([k for k, _, _ in held])
@@ -317,8 +315,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", learn: Colum
 
     Learns from the rows where `learn` holds (by default those not held out). base_score is the unigram model with
     0.1 added to every exact count, score the bigram model: quantised bigram counts come from membership probes of
-    a Bloom filter, one entry for each level of a bigram's count, and what they leave of a context's occurrences
-    goes to the unigrams. Contexts are 4,194,304 classes of words by hash. The model grows with the corpus, so it
+    a Bloom filter of all bigrams, one entry for each level of a bigram's count, and what they round off a context's
+    occurrences goes to the unigrams. Contexts are 4,194,304 classes of words by hash. The model grows with the corpus, so it
     is cut by hash into shards of `model_bytes` at most, each broadcast on its own; the scores do not depend on their
     number. Null and empty texts have one token, the end. Without rows to learn from every token has probability
     1. Further columns are not read.

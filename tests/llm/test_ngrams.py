@@ -51,6 +51,18 @@ def test_filter_gives_the_level_of_every_entry_and_hardly_others():
     assert (shard.levels(rng.integers(0, 1 << 52, 20_000).astype(np.uint64)) > 0).mean() < 0.001
 
 
+def test_a_bigram_seen_once_counts(documents):
+    rows = [(1, "alpha beta"), (2, "gamma delta"), (3, "alpha beta"), (4, "alpha delta")]
+    found = {r["doc_id"]: r["score"] for r in ngrams.score(documents(rows), learn=F.col("doc_id") < 3).collect()}
+    # Word counts are alike: one each, and two ends; contexts too.
+    assert found[1] == pytest.approx(found[3]) and found[3] > found[4] + 0.1
+    total, prior = 6, ngrams.PRIOR
+    word, end = (1.1 / (total + 0.6), 2.1 / (total + 0.6))
+    expected = [(1 + prior * word) / (2 + prior), (1 + prior * word) / (1 + prior), (1 + prior * end) / (1 + prior)]
+    # The class of ends has one occurrence for each token that is one; what its bigrams do not keep goes to the unigrams.
+    assert found[3] == pytest.approx(sum(map(math.log10, expected)))
+
+
 def test_levels_round_down(spark):
     n = spark.range(2, 5000).select("id", ngrams.level(F.col("id")).alias("level")).toPandas()
     value = ngrams.of_level(n["level"].to_numpy())
