@@ -41,6 +41,15 @@ def test_bins_hold_about_equal_numbers_of_rows(spark):
     assert [r[0] for r in binned] == sorted(r[0] for r in binned) and [r[1] for r in binned] == sorted(r[1] for r in binned)
 
 
+@pytest.mark.parametrize("values", [["wikipedia-de", "wikipedia-en", "wikipedia-fr"], ["cc-main-2023", "cc-main-2024"], ["books", *(f"src{i}" for i in range(20))]])
+def test_text_is_told_apart_by_whole_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in [*values, None] for _ in range(5)], "s string")
+    found = {(r["s"], r["bin"]) for r in df.select("s", hilbert.bins(df, ["s"])[0].alias("bin")).collect()}
+    bin_of = dict(found)
+    assert len(found) == len(bin_of) == len(set(bin_of.values())) and bin_of.pop(None) == 0
+    assert sorted(bin_of, key=bin_of.get) == sorted(values)
+
+
 def test_awkward_rows(awkward):
     sharded = hilbert.shard(awkward, shards=4)
     assert len(sharded.columns) == len(set(sharded.columns))
