@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,8 @@ _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])"
+# Three, three and four digits come before cards, which would take two such numbers for one of their own.
+_LOCAL_PHONE = r"(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\w-])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w)])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _CLOUD_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|sk-)[A-Za-z0-9]{20,}"
@@ -49,7 +52,7 @@ _SECRET = r"(?<=[=:]\s{0,2}[\"']?)(?<=(?i:password|passwd|secret|token|api_key)\
 _NAME_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _NAME = rf"(?=\p{{Lu}})(?:(?<=\b(?:{_TITLES}) |\b(?:{_TITLES})\. |\b(?:{_GIVEN}) ){_NAME_WORD}|\b(?:{_GIVEN})(?= \p{{Lu}}\p{{Ll}}))"
 # One alternative for each kind of first character, so that most characters are passed over at once.
-PATTERN = rf"{_EMAIL}|(?=[\d+(])(?:{_IP}|{_SSN}|{_CARD}|{_PHONE})|(?=[A-Zgs])(?:{_IBAN}|{_CLOUD_KEY})|{_SECRET}|{_NAME}"
+PATTERN = rf"{_EMAIL}|(?=[\d+(])(?:{_IP}|{_SSN}|{_LOCAL_PHONE}|{_CARD}|{_PHONE})|(?=[A-Zgs])(?:{_IBAN}|{_CLOUD_KEY})|{_SECRET}|{_NAME}"
 
 # Attempts before a surrogate may grow longer than its entity, for kinds of which so few values exist.
 _GROW = 4
@@ -76,7 +79,7 @@ def kind_of(entity: Column) -> Column:
         F.when(F.contains(entity, F.lit("@")) & _matches(entity, r"[A-Za-z0-9._%+-]+@.*"), "email")
         .when(_matches(entity, rf"(?:{_OCTET}\.){{3}}{_OCTET}"), "ip")
         .when(_matches(entity, r"\d{3}-\d{2}-\d{4}"), "ssn")
-        .when(_matches(entity, r"[+(][\d ().-]+"), "phone")
+        .when(_matches(entity, r"[+(][\d ().-]+|\d{3}-\d{3}-\d{4}"), "phone")
         .when(_matches(entity, r"\d(?:[ -]?\d){12,18}"), F.when(luhn(digits) == 0, F.lit("card")))
         .when(_matches(entity, r"(?:AKIA|ASIA)[0-9A-Z]{16}"), "cloud_key")
         .when(_matches(entity, r"[A-Z]{2}\d{2}[A-Z0-9 ]{10,}"), "iban")
@@ -108,6 +111,15 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def given_names(key: str = KEY) -> dict[str, str]:
+    """The replacement of each given name: the next one of its list in a keyed order, so none is its own and no two are alike."""
+    out = {}
+    for kind, names in GIVEN_NAMES.items():
+        ordered = sorted(names.split(), key=lambda n: hashlib.sha256(f"{key}|given_{kind}|{n}".encode()).digest())
+        out |= zip(ordered, [*ordered[1:], ordered[0]])
+    return out
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of an entity: keyed by type, entity and attempt, of the same type, format and script."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 256)
@@ -123,8 +135,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
         octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(own, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string"))
         stem = F.substring(mapped, F.lit(1), F.length(mapped) - 1)
         check = (10 - luhn(F.concat(F.regexp_replace(stem, r"[ -]", ""), F.lit("0")))) % 10
-        names = F.create_map(*(x for name, each in GIVEN_NAMES.items() for x in (F.lit(f"given_{name}"), F.split(F.lit(each), " "))))
-        given = _let(F.try_element_at(names, kind), lambda n: F.try_element_at(n, F.conv(F.substring(own, 1, 6), 16, 10).cast("int") % F.size(n) + 1))
+        given = F.try_element_at(F.create_map(*(F.lit(x) for pair in given_names(key).items() for x in pair)), entity)
         return (
             F.when(kind == "email", F.concat(F.substring_index(mapped, "@", 1), longer, top))
             .when(kind == "ip", F.array_join(octets, "."))
@@ -141,8 +152,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, entity, attempt, surrogate) for distinct `entities(kind, entity)`: no two of a kind alike, none a real one.
 
     An entity whose surrogate an earlier one has, or that is itself found in the table, tries again with the next
-    attempt until none is left; what is left shrinks with every round. Given names come from short lists and are told
-    apart by their family names, so they are not made distinct, and may stay as they are.
+    attempt until none is left; what is left shrinks with every round. Given names come from short lists, of which
+    each name has another one, distinct by construction, so they need no check; all of a list may be real ones.
     """
     every = entities.where(~F.startswith("kind", F.lit("given_")))
     placed = save(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)), "surrogates")

@@ -31,6 +31,25 @@ def test_names_keep_gender_script_and_coreference(documents):
     assert second and second[1] in surrogates.GIVEN_NAMES["male_cyrillic"].split()
 
 
+def test_given_names_are_distinct_and_none_stays(documents):
+    lists = [names.split() for names in surrogates.GIVEN_NAMES.values()]
+    rows = [(i, f"{name} Smith") for i, name in enumerate(n for names in lists for n in names)]
+    after = {i: r["text"].split()[0] for i, r in replaced(documents, rows).items()}
+    before = {i: t.split()[0] for i, t in rows}
+    assert all(after[i] != before[i] for i in before)
+    new = {before[i]: after[i] for i in before}
+    assert all({new[n] for n in names} == set(names) for names in lists)
+
+
+def test_phones_without_a_sign(documents):
+    before = "call 212-555-0188 or 212-555-0199 212-555-0177, ssn 123-45-6789, not 1-212-555-01888 or 12-555-0188"
+    after = replaced(documents, [(1, before)])[1]
+    form = r"call (\d{3}-\d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}) (\d{3}-\d{3}-\d{4}), ssn \d{3}-\d{2}-\d{4}, not 1-212-555-01888 or 12-555-0188"
+    new = re.fullmatch(form, after["text"])
+    assert new and len(set(new.groups())) == 3 and not set(new.groups()) & {"212-555-0188", "212-555-0199", "212-555-0177"}
+    assert after["n_replaced"] == 4
+
+
 def test_what_is_no_entity_stays(documents):
     same = "order 4111111111111112 of 2024-01-05, version 1.2.3, 999.1.1.1, a@b, price 12.50"
     assert replaced(documents, [(1, same)])[1]["text"] == same
