@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import chunks, hilbert, lines, mixing, nearest, ngrams, quality, simhash, surrogates, winnow
+from rowlens.llm import chunks, hilbert, lexical, lines, mixing, nearest, negatives, ngrams, quality, simhash, surrogates, tokens, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,37 @@ def op10_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_cross_polytope": op3_cross_polytope, "op4_mixing": op4_mixing, "op5_hilbert": op5_hilbert, "op6_surrogates": op6_surrogates, "op7_chunks": op7_chunks, "op8_bloom_ngrams": op8_bloom_ngrams, "op9_winnowing": op9_winnowing, "op10_boilerplate": op10_boilerplate}
+def op11_strassen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op12_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The folder of public vocabularies is an installed package.
+    import public_tokenizers
+
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op3_cross_polytope": op3_cross_polytope,
+    "op4_mixing": op4_mixing,
+    "op5_hilbert": op5_hilbert,
+    "op6_surrogates": op6_surrogates,
+    "op7_chunks": op7_chunks,
+    "op8_bloom_ngrams": op8_bloom_ngrams,
+    "op9_winnowing": op9_winnowing,
+    "op10_boilerplate": op10_boilerplate,
+    "op11_strassen": op11_strassen,
+    "op12_rank_merge": op12_rank_merge,
+    "op13_maxscore": op13_maxscore,
+}
 
 # Lower-cased words, and windows of ten of them; an item of fewer words is one window.
 _OP9 = r"""
@@ -131,4 +161,42 @@ SELECT page_id, host, len(w)::BIGINT AS n_lines, (len(w) - len(kept))::BIGINT AS
        coalesce(array_to_string(kept, chr(10)), '') AS text FROM k
 """
 
-ORACLES = {"op10_boilerplate": _OP10, "op4_mixing": _OP4, "op9_winnowing": _OP9}
+# Scaled vectors, the scores of each anchor with every other row, its first positives, and their windows.
+_OP11 = """
+WITH r AS (SELECT vec_id::BIGINT AS id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x, row_number() OVER () AS r
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+     v AS (SELECT id, label, r, list_transform(x, lambda y: y::BIGINT) AS x FROM r WHERE len(list_filter(x, lambda y: y < -9223372036854775808 OR y >= 9223372036854775808)) = 0),
+     s AS (SELECT a.id AS a, a.r AS ar, b.id AS b, b.r AS br, a.label = b.label AS same,
+                  coalesce(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])), 0)::BIGINT AS score
+           FROM v AS a JOIN v AS b ON a.id % 100 = 0 AND a.r <> b.r AND len(a.x) = len(b.x)),
+     p AS (SELECT a, ar, b AS p, br AS pr, score AS top FROM s WHERE same
+           QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, b, br) <= 5),
+     n AS (SELECT p.a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY p.ar, pr ORDER BY score DESC, s.b, s.br)::INT AS rank,
+                  s.b AS negative_id, top AS positive_score, score AS negative_score
+           FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * top::HUGEINT <= 100 * score::HUGEINT AND score <= top)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+# Terms of documents and items; scores over the terms that an item shares with a document.
+_OP13 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT item_id, row_number() OVER () AS i,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     a AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+     q AS (SELECT item_id, i, term, count(*) AS n FROM (SELECT item_id, i, unnest(w) AS term FROM b) GROUP BY ALL),
+     t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+     f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+           FROM (SELECT term, count(*) AS df FROM t GROUP BY term), a),
+     m AS (SELECT doc_id, r, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM d, a WHERE len(w) > 0),
+     s AS (SELECT item_id, i, doc_id, r, sum(n * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLES = {"op10_boilerplate": _OP10, "op11_strassen": _OP11, "op13_maxscore": _OP13, "op4_mixing": _OP4, "op9_winnowing": _OP9}
