@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.functions.cells import fixed_text, is_missing, number, number_text, round_half
 from rowlens.functions.small import small_table
 from rowlens.operators import ranks
-from rowlens.operators.passes import aggregate_each
+from rowlens.operators.passes import Scale, aggregate_each, kept, keyed, one_scan, plain_zero, written
 from rowlens.operators.schema import numeric_columns
 
 HISTOGRAM_BINS = 20
-QUARTERS = (0.25, 0.5, 0.75)
-# Columns per aggregate, for figures and for histograms, and intervals whose values are listed together.
+# Columns per aggregate, for figures and for histograms.
 _BATCH = 4
 _HISTOGRAMS = 2
-_INTERVALS_PER_PASS = 64
 
 PROFILE_SCHEMA = (
     "column string, mean double, median double, std double, min double, max double, q25 double, "
@@ -40,7 +38,6 @@ class Measure:
     mean: float | None = None
     min: float | None = None
     max: float | None = None
-    sketch: list[float] | None = None  # two enclosing values per quarter
 
 
 @dataclass(frozen=True)
@@ -59,71 +56,96 @@ class Quartiles:
     q75: float | None = None
 
 
+def extent(df: DataFrame, name: str, null_policy: str = "skip") -> list[Column]:
+    """The state of a column's first figures, for a scan that several operators share."""
+    x = number(df, name, null_policy)
+    return [
+        F.count(x).alias("count"),
+        F.count_if(is_missing(df, name)).alias("null_count"),
+        F.avg(x).alias("mean"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+    ]
+
+
 def measure(df: DataFrame, columns: list[str], null_policy: str = "skip") -> list[Measure]:
-    """Counts, means, extremes and two values around each quarter, of every column in one scan of all rows.
+    """Counts, means and extremes of every column in one scan of all rows."""
+    found = one_scan(df, {c: extent(df, c, null_policy) for c in columns})
+    return [Measure(c, *found[c]) for c in columns]
+
+
+def scales(measures: list[Measure], bins: int = HISTOGRAM_BINS) -> list[Scale]:
+    """How a grouped scan cuts each column: one of equal values, or without any, has one bin."""
+    return [Scale(m.mean, m.min, (m.max - m.min) / bins, bins) if m.count else Scale(0.0, 0.0, 0.0, bins) for m in measures]
+
+
+def number_keys(df: DataFrame, measures: list[Measure], null_policy: str = "skip") -> list[Column]:
+    """Entries of a grouped scan: the numbers, whose logarithmic buckets and histogram bins are the keys.
 
-    The enclosing values come from a mergeable sketch. They make the exact search that starts from them short; where one
-    is wrong, the search finds that out.
+    Both ascend with the number, so a column has hardly more keys than buckets. Cells without a number have null keys.
     """
-    around = [min(max(p + side * ranks.MARGIN, 0.0), 1.0) for p in QUARTERS for side in (-1, 1)]
-    figures = []
-    for c in columns:
-        x = number(df, c, null_policy)
-        figures.append(
-            [
-                F.count(x).alias("count"),
-                F.count_if(is_missing(df, c)).alias("null_count"),
-                F.avg(x).alias("mean"),
-                F.min(x).alias("min"),
-                F.max(x).alias("max"),
-                ranks.sketched_quantiles(x, around).alias("sketch"),
-            ]
-        )
-    return [Measure(c, *f[1:]) for c, f in zip(columns, aggregate_each(df, figures, _BATCH))]
+    return [keyed(part, x=plain_zero(number(df, m.column, null_policy))) for part, m in enumerate(measures)]
+
+
+def _bin(x: Column, low: float, high: float, bins: int) -> Column:
+    width = (high - low) / bins
+    # least() would take a missing cell for the last bin.
+    place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else F.lit(0)
+    return F.when(x.isNotNull(), place.cast("int"))
 
 
-def moments(df: DataFrame, measures: list[Measure], null_policy: str = "skip") -> dict[str, Moments]:
-    """Population moments from sums of powers around the mean, in one scan.
+def _by_bin(keys: DataFrame, measures: list[Measure]) -> list:
+    """(part, k2, n, p2, p3, p4) of each bin of a grouped scan."""
+    rows = keys.where(F.col("k1").isNotNull() & (F.col("part") < len(measures)))
+    return rows.groupBy("part", "k2").agg(*[F.sum(c).alias(c) for c in ("n", "p2", "p3", "p4")]).collect()
+
+
+def _shapes(bins: list, measures: list[Measure]) -> dict[str, Moments]:
+    """Population moments from the sums of powers around the mean.
 
     The deviation, skewness and excess kurtosis of a constant column are 0.
     """
-    out = {m.column: Moments() for m in measures}
-    out.update({m.column: Moments(0.0, 0.0, 0.0) for m in measures if m.count and m.min == m.max})
-    varied = [m for m in measures if m.count and m.min < m.max]
-    figures = []
-    for m in varied:
-        d = number(df, m.column, null_policy) - F.lit(m.mean)
-        figures.append([F.sum(d * d).alias("p2"), F.sum(d * d * d).alias("p3"), F.sum(d * d * d * d).alias("p4")])
-    for m, powers in zip(varied, aggregate_each(df, figures, _BATCH)):
-        second, third, fourth = (powers[p] / m.count for p in ("p2", "p3", "p4"))
+    out = {}
+    for part, m in enumerate(measures):
+        second, third, fourth = (sum(r[p] for r in bins if r["part"] == part) / max(m.count, 1) for p in ("p2", "p3", "p4"))
         std = second**0.5
-        if std > 0:
+        if not m.count:
+            out[m.column] = Moments()
+        elif m.min < m.max and std > 0:
             out[m.column] = Moments(std, third / std / std / std, fourth / std / std / std / std - 3)
         else:
             out[m.column] = Moments(0.0, 0.0, 0.0)
     return out
 
 
+def _wanted(counts: dict[str, int]) -> dict[str, list[int]]:
+    """Ranks of the quartiles and of the two middle values; a column without numbers has none."""
+    return {c: [n // 4, (n - 1) // 2, n // 2, 3 * n // 4] for c, n in counts.items() if n}
+
+
 def locate_quartiles(
     df: DataFrame,
-    measures: list[Measure],
+    columns: list[str],
     null_policy: str = "skip",
-    candidate_limit: int = ranks.CANDIDATE_LIMIT,
+    buckets: DataFrame | None = None,
+    totals: dict[str, int] | None = None,
 ) -> dict[str, Quartiles]:
-    """Exact quartiles: the values at 0-based ranks floor(n/4) and floor(3n/4), and the median."""
-    intervals, wanted = [], {}
-    for m in measures:
-        if m.count:
-            n = m.count
-            wanted[m.column] = (n // 4, (n - 1) // 2, n // 2, 3 * n // 4)
-            for rank, quarter in zip(wanted[m.column], (0, 1, 1, 2)):
-                intervals.append(ranks.Interval(m.column, rank, *m.sketch[2 * quarter : 2 * quarter + 2]))
-    numbers = {c: number(df, c, null_policy) for c in wanted}
-    values = {}
-    for start in range(0, len(intervals), _INTERVALS_PER_PASS):
-        part = intervals[start : start + _INTERVALS_PER_PASS]
-        values.update(ranks.select_ranks(df, numbers, part, candidate_limit))
-    out = {m.column: Quartiles() for m in measures}
+    """Exact quartiles: the values at 0-based ranks floor(n/4) and floor(3n/4), and the median.
+
+    ``buckets`` takes the (part, k1, n, lo, hi) of a scan already made, part being a column's place in ``columns``, and
+    ``totals`` the numbers in each column.
+    """
+    out = {c: Quartiles() for c in columns}
+    numbers = {c: number(df, c, null_policy) for c in columns}
+    if not columns:
+        return out
+    if buckets is None:
+        # A few hundred rows a column; kept, as the counts and the ranks are both read from it.
+        buckets = kept(ranks.first_buckets(df, numbers), "buckets")
+    if totals is None:
+        totals = {columns[r["part"]]: r["n"] for r in buckets.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    wanted = _wanted(totals)
+    values = ranks.select_ranks(df, numbers, wanted, buckets) if wanted else {}
     for name, (low, left, right, high) in wanted.items():
         median = (values[name, left] + values[name, right]) / 2
         out[name] = Quartiles(values[name, low], median, values[name, high])
@@ -145,15 +167,12 @@ def profile_rows(
 def numeric_profile(df: DataFrame, columns: list[str] | None = None, null_policy: str = "skip") -> DataFrame:
     """One row per numeric column. A column without valid numbers keeps its row, with nulls."""
     columns = numeric_columns(df) if columns is None else columns
-    measures = measure(df, columns, null_policy)
-    found = locate_quartiles(df, measures, null_policy)
-    shapes = moments(df, measures, null_policy)
-    return small_table(df.sparkSession, profile_rows(measures, found, shapes), PROFILE_SCHEMA)
+    return numeric_with_histogram(df, columns, null_policy)[0]
 
 
 def quartiles(df: DataFrame, columns: list[str] | None = None, null_policy: str = "skip") -> DataFrame:
     columns = numeric_columns(df) if columns is None else columns
-    found = locate_quartiles(df, measure(df, columns, null_policy), null_policy)
+    found = locate_quartiles(df, columns, null_policy)
     rows = [(c, found[c].q25, found[c].median, found[c].q75) for c in columns]
     return small_table(df.sparkSession, rows, QUARTILE_SCHEMA)
 
@@ -182,11 +201,8 @@ def histogram(
         return small_table(df.sparkSession, [], HISTOGRAM_SCHEMA)
     bin_columns, figures = [], []
     for entry, (name, low, high) in enumerate(limits):
-        x, width = number(df, name, null_policy), (high - low) / bins
-        # least() would take a missing cell for the last bin.
-        place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else F.lit(0)
-        bin_columns.append(F.when(x.isNotNull(), place.cast("int")).alias(f"bin_{entry}"))
-        held = [F.count_if(F.col(f"bin_{entry}") == b) for b in range(bins if width else 1)]
+        bin_columns.append(_bin(number(df, name, null_policy), low, high, bins).alias(f"bin_{entry}"))
+        held = [F.count_if(F.col(f"bin_{entry}") == b) for b in range(bins if low < high else 1)]
         figures.append([F.array(*held).alias("held")])
     rows = aggregate_each(df.select(*bin_columns), figures, _HISTOGRAMS)
     counts = [(c, b, n) for (c, _, _), r in zip(limits, rows) for b, n in enumerate(r["held"])]
@@ -217,13 +233,35 @@ def _all_bins(limits: list[tuple], counts: DataFrame, bins: int) -> DataFrame:
     )
 
 
+def _histogram(spark, rows: list, measures: list[Measure], bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """The histogram of a grouped scan, empty bins too."""
+    limits = [(m.column, m.min, m.max) for m in measures if m.count]
+    found = {(measures[r["part"]].column, r["k2"]): r["n"] for r in rows}
+    counts = [(c, b, found.get((c, b), 0)) for c, low, high in limits for b in range(bins if low < high else 1)]
+    return _all_bins(limits, small_table(spark, counts, "column string, bin int, count long"), bins)
+
+
 def numeric_with_histogram(
     df: DataFrame, columns: list[str], null_policy: str = "skip"
 ) -> tuple[DataFrame, DataFrame, dict[str, Quartiles]]:
-    """The numeric profile, the histogram with the profile's limits, and the quartiles."""
+    """The numeric profile, the histogram with the profile's limits, and the quartiles, in five scans at most."""
     measures = measure(df, columns, null_policy)
-    found = locate_quartiles(df, measures, null_policy)
-    rows = profile_rows(measures, found, moments(df, measures, null_policy))
-    limits = [(m.column, m.min, m.max) for m in measures if m.count]
-    bins = histogram(df, columns, null_policy=null_policy, limits=limits)
-    return small_table(df.sparkSession, rows, PROFILE_SCHEMA), bins, found
+    if not columns:
+        return small_table(df.sparkSession, [], PROFILE_SCHEMA), small_table(df.sparkSession, [], HISTOGRAM_SCHEMA), {}
+    keys, _ = written(df, number_keys(df, measures, null_policy), scales(measures))
+    return from_keys(df, keys, measures, null_policy)
+
+
+def from_keys(
+    df: DataFrame, keys: DataFrame, measures: list[Measure], null_policy: str = "skip"
+) -> tuple[DataFrame, DataFrame, dict[str, Quartiles]]:
+    """The same from a grouped scan already made; what is left are the scans that narrow the quartiles."""
+    # Bins only cut a bucket in pieces.
+    found = keys.where(F.col("k1").isNotNull() & (F.col("part") < len(measures)))
+    buckets = found.groupBy("part", "k1").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    located = locate_quartiles(df, [m.column for m in measures], null_policy, buckets, {m.column: m.count for m in measures})
+    # A bin is a row of figures: a few for each column.
+    bins = _by_bin(keys, measures)
+    rows = profile_rows(measures, located, _shapes(bins, measures))
+    spark = df.sparkSession
+    return small_table(spark, rows, PROFILE_SCHEMA), _histogram(spark, bins, measures), located

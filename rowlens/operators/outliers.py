@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowlens.functions.cells import number, percent, round_half
 from rowlens.functions.labels import outlier_severity
 from rowlens.functions.small import small_table
-from rowlens.operators.numeric import Quartiles, locate_quartiles, measure
+from rowlens.operators.numeric import Quartiles, locate_quartiles
 from rowlens.operators.passes import aggregate_each
 from rowlens.operators.schema import numeric_columns
 
@@ -32,7 +32,7 @@ def _outside(df: DataFrame, name: str, limits: tuple[float, float], null_policy:
 
 def _limits(df, columns, null_policy, quartiles):
     if quartiles is None:
-        quartiles = locate_quartiles(df, measure(df, columns, null_policy), null_policy)
+        quartiles = locate_quartiles(df, columns, null_policy)
     return fences(quartiles)
 
 

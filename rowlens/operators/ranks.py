@@ -1,157 +1,104 @@
-"""Exact order statistics of many columns at once, without sorting or shuffling the data.
+"""Exact order statistics of many columns at once by radix selection, in four scans at most.
 
-A mergeable quantile sketch gives, for each wanted rank, two data values that should enclose it.
-Counting the rows below, at and between the two tells where the rank lies. If it lies between, the
-values there are counted one by one and the wanted one is read off; where that would be too many
-values, they are sketched again first, which shrinks the interval to a few thousandths. A rank that
-the sketch failed to enclose shows up in the counts and is searched for on the proper side, so the
-answer never depends on the sketch being right.
+The first scan counts the rows of each logarithmic bucket: some 16 to a power of two, so tasks add them up to a few
+hundred rows a column before the shuffle. The cumulated counts tell in which bucket a wanted rank lies, and the bucket's
+least and largest value bound it. Each further scan looks only at the values within such bounds and cuts them into 65,536
+equal steps. A first bucket holds less than 2 ** 48 doubles, so the third such scan gives every double a step of its
+own; a rank is found earlier where its bounds meet. All ranks of all columns go through the same scans.
 
-Rows that equal an end of the interval are never listed, so one value holding a large share of all
-rows neither crosses a shuffle nor keeps an interval from shrinking.
+Every step is a non-decreasing function of the value, which is all that counting needs: rounding shifts borders, not ranks.
+No value is listed: what is shuffled are counts, at most 65,536 per interval and task, however hot or many the values are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import reduce
-from operator import or_
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.functions.small import small_table
-from rowlens.operators.passes import aggregate_each
+from rowlens.operators.passes import bucket, plain_zero
 
-SKETCH_K = 8192
-# Rank error of the sketch, and the margin taken on either side of a wanted rank.
-SKETCH_ERROR = 2.296 / SKETCH_K**0.9021
-MARGIN = 2.5 * SKETCH_ERROR
-# Most rows between the ends of an interval whose values are listed and ordered in one task.
-CANDIDATE_LIMIT = 500_000
-
-_GRID = 1024
-_LOWEST, _HIGHEST = float("-inf"), float("inf")
-# Intervals per aggregate.
-_BATCH = 8
+STEPS = 1 << 16
 
 
 @dataclass(frozen=True)
 class Interval:
-    """Two values thought to enclose the value of one rank (0-based) of one column."""
+    """Bounds of the value of one rank (0-based among the rows within the bounds) of one column."""
 
     column: str
     rank: int
+    inner_rank: int
     low: float
     high: float
-    inner_rank: int = 0  # rank among the rows strictly between low and high
-
 
-def sketched_quantiles(x: Column, fractions: list[float]) -> Column:
-    """Approximate quantiles of a numeric expression, null where it has no values."""
-    points = F.expr("array(" + ",".join(f"{f!r}D" for f in fractions) + ")")
-    sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
-    return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, points))
 
+def select_ranks(df: DataFrame, values: dict[str, Column], wanted: dict[str, list[int]], first: DataFrame | None = None) -> dict[tuple[str, int], float]:
+    """The value at every wanted rank (0-based, below the column's count) of ``values``, each column's numbers or null.
 
-def select_ranks(
-    df: DataFrame,
-    values: dict[str, Column],
-    intervals: list[Interval],
-    candidate_limit: int = CANDIDATE_LIMIT,
-) -> dict[tuple[str, int], float]:
-    """Value at every wanted rank. ``values`` gives each column's numbers, null where it has none."""
+    ``first`` takes the (part, k1, n, lo, hi) of the first scan where it is already at hand, part being a column's place
+    in ``values``.
+    """
+    names = list(values)
+    if first is None:
+        first = first_buckets(df, values)
+    asked = [(names.index(c), rank, rank) for c, ranks in wanted.items() for rank in dict.fromkeys(ranks)]
     found: dict[tuple[str, int], float] = {}
-    undecided = list({(i.column, i.rank): i for i in intervals}.values())
-    while undecided:
-        many, few = [], []
-        elsewhere = []
-        for i, counts in zip(undecided, _counted(df, values, undecided)):
-            position = i.rank - counts["below"]
-            if position < 0:
-                elsewhere.append(replace(i, low=_LOWEST, high=i.low))
-            elif position < counts["at_low"]:
-                found[i.column, i.rank] = i.low
-            elif position < counts["at_low"] + counts["inner"]:
-                inside = replace(i, inner_rank=position - counts["at_low"])
-                (few if counts["inner"] <= candidate_limit else many).append((inside, counts["inner"]))
-            elif position < counts["at_low"] + counts["inner"] + counts["at_high"]:
-                found[i.column, i.rank] = i.high
-            else:
-                elsewhere.append(replace(i, low=i.high, high=_HIGHEST))
-        found.update(_listed(df, values, [i for i, _ in few]))
-        undecided = elsewhere + _shrunk(df, values, many)
+    open_ = _settled(found, [Interval(names[r["part"]], r["rank"], r["inner_rank"], r["lo"], r["hi"]) for r in _reached(first, asked)])
+    while open_:
+        bounds = list(dict.fromkeys((i.column, i.low, i.high) for i in open_))
+        asked = [(bounds.index((i.column, i.low, i.high)), i.rank, i.inner_rank) for i in open_]
+        reached = _reached(_steps(df, values, bounds), asked)
+        open_ = _settled(found, [Interval(bounds[r["part"]][0], r["rank"], r["inner_rank"], r["lo"], r["hi"]) for r in reached])
     return found
 
 
-def _inside(values: dict[str, Column], i: Interval) -> Column:
-    x = values[i.column]
-    return (x > F.lit(i.low)) & (x < F.lit(i.high))
-
-
-def _counted(df: DataFrame, values: dict[str, Column], intervals: list[Interval]) -> list:
-    figures = []
-    for i in intervals:
-        x, low, high = values[i.column], F.lit(i.low), F.lit(i.high)
-        figures.append(
-            [
-                F.count_if(x < low).alias("below"),
-                F.count_if(x == low).alias("at_low"),
-                F.count_if(_inside(values, i)).alias("inner"),
-                F.count_if((x == high) & (x > low)).alias("at_high"),
-            ]
-        )
-    return aggregate_each(df, figures, _BATCH)
-
-
-def _shrunk(df: DataFrame, values: dict[str, Column], intervals: list[tuple[Interval, int]]) -> list[Interval]:
-    """Each interval closed in on its rank by a sketch of the values between its ends."""
-    fractions = [g / _GRID for g in range(_GRID + 1)]
-    figures = [
-        [sketched_quantiles(F.when(_inside(values, i), values[i.column]), fractions).alias("grid")]
-        for i, _ in intervals
-    ]
-    out = []
-    for (i, inner), row in zip(intervals, aggregate_each(df, figures, _BATCH)):
-        start = int((i.inner_rank / inner - MARGIN) * _GRID) - 1
-        stop = int(((i.inner_rank + 1) / inner + MARGIN) * _GRID) + 2
-        low = row["grid"][start] if start >= 0 else i.low
-        high = row["grid"][stop] if stop <= _GRID else i.high
-        out.append(replace(i, low=low, high=high))
-    return out
-
-
-def _listed(df: DataFrame, values: dict[str, Column], intervals: list[Interval]) -> dict[tuple[str, int], float]:
-    """Count the values between the ends of each interval and read off the wanted one.
-
-    Only rows with a cell in an interval are brought into long form.
-    """
-    if not intervals:
-        return {}
-    names = sorted({i.column for i in intervals})
-    cells = df.where(reduce(or_, [_inside(values, i) for i in intervals])).select(
-        *[values[c].alias(f"v{n}") for n, c in enumerate(names)]
-    )
-    long = cells.unpivot([], [f"v{n}" for n in range(len(names))], "cell", "x")
-    rows = [(f"v{names.index(i.column)}", i.rank, i.low, i.high, i.inner_rank) for i in intervals]
-    wanted = small_table(df.sparkSession, rows, "cell string, rank long, low double, high double, inner_rank long")
-    counts = (
-        # One short row per interval is broadcast.
-        long.join(F.broadcast(wanted), "cell")
-        .where((F.col("x") > F.col("low")) & (F.col("x") < F.col("high")))
-        .groupBy("cell", "rank", "inner_rank", F.col("x").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upward = (
-        Window.partitionBy("cell", "rank", "inner_rank")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    reached = F.col("reached")
-    hits = (
-        counts.withColumn("reached", F.sum("n").over(upward))
-        .where((F.col("inner_rank") < reached) & (F.col("inner_rank") >= reached - F.col("n")))
-        .select("cell", "rank", "value")
-        .collect()
-    )
-    return {(names[int(h["cell"][1:])], h["rank"]): h["value"] for h in hits}
+def _settled(found: dict[tuple[str, int], float], intervals: list[Interval]) -> list[Interval]:
+    """Notes the ranks whose bounds meet, and returns the others."""
+    found.update({(i.column, i.rank): i.low for i in intervals if i.low == i.high})
+    return [i for i in intervals if i.low < i.high]
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("part", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+def _cells(df: DataFrame, values: list[Column]) -> DataFrame:
+    """(part, x): the numbers of all columns below each other, part being the place in `values`."""
+    cells = [F.struct(F.lit(i).alias("part"), plain_zero(x).alias("x")) for i, x in enumerate(values)]
+    return df.select(F.inline(F.array(*cells)))
+
+
+def first_buckets(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(part, k1, n, lo, hi): the logarithmic buckets of every column, and the values that bound them."""
+    x = F.col("x")
+    return _counted(_cells(df, list(values.values())).where(x.isNotNull()).select("part", bucket(x).alias("k1"), "x"))
+
+
+def _steps(df: DataFrame, values: dict[str, Column], bounds: list[tuple[str, float, float]]) -> DataFrame:
+    """(part, k1, n, lo, hi): equal steps of each interval, part being its place in `bounds`; only values within one are grouped."""
+    names = list(dict.fromkeys(c for c, _, _ in bounds))
+    held = {c: [(part, low, high) for part, (column, low, high) in enumerate(bounds) if column == c] for c in names}
+    x, inside, found = F.col("x"), None, {"interval": None, "low": None, "high": None}
+    # A column has four intervals at most, which do not overlap.
+    for n in range(max(len(h) for h in held.values())):
+        nth = [held[c][n] if n < len(held[c]) else (None, None, None) for c in names]
+        part, low, high = (F.get(F.array(*[F.lit(v[i]).cast(t) for v in nth]), F.col("part")) for i, t in enumerate(("int", "double", "double")))
+        within = (x >= low) & (x <= high)
+        inside = within if inside is None else inside | within
+        for name, cell in (("interval", part), ("low", low), ("high", high)):
+            found[name] = F.when(within, cell) if found[name] is None else found[name].when(within, cell)
+    hits = _cells(df, [values[c] for c in names]).where(inside).select("x", *[cell.alias(name) for name, cell in found.items()])
+    step = F.least(F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * STEPS), F.lit(STEPS - 1)).cast("int")
+    return _counted(hits.select(F.col("interval").alias("part"), step.alias("k1"), "x"))
+
+
+def _reached(counts: DataFrame, asked: list[tuple[int, int, int]]) -> list:
+    """For each (part, rank, inner_rank) the key at which the part's cumulated counts pass it: its bounds, and the rank within."""
+    upward = Window.partitionBy("part").orderBy("k1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A few short rows per column.
+    ranks = F.broadcast(small_table(counts.sparkSession, asked, "part int, rank long, inner_rank long"))
+    cumulated = counts.select("part", "k1", "n", "lo", "hi", (F.sum("n").over(upward) - F.col("n")).alias("before"))
+    at = F.col("inner_rank") - F.col("before")
+    return cumulated.join(ranks, "part").where((at >= 0) & (at < F.col("n"))).select("part", "rank", at.alias("inner_rank"), "lo", "hi").collect()

@@ -49,14 +49,19 @@ def semantic_types(df: DataFrame, boolean_words: tuple[str, ...] = BOOLEAN_WORDS
     Typed columns follow their declared type. Text columns are judged by the shares of all their cells, in one
     scan. Text of full ISO date-times is of type date.
     """
-    check_scalar_columns(df)
-    found = {f.name: _declared_type(f.dataType) for f in df.schema.fields}
+    found = declared_types(df)
     texts = [name for name, kind in found.items() if kind is None]
     for name, counts in zip(texts, aggregate_each(df, [shares(df, c, boolean_words) for c in texts], _BATCH)):
         found[name] = judged_type(counts)
     return found
 
 
+def declared_types(df: DataFrame) -> dict[str, str | None]:
+    """Semantic type of every column that its declared type settles; null for text, which its cells have to show."""
+    check_scalar_columns(df)
+    return {f.name: _declared_type(f.dataType) for f in df.schema.fields}
+
+
 def shares(df: DataFrame, name: str, boolean_words: tuple[str, ...] = BOOLEAN_WORDS) -> list[Column]:
     """Counts of a text column's present cells, and of those that are numbers, booleans or date-times."""
     cell, present = column(name), ~is_missing(df, name)

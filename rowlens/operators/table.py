@@ -4,29 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowlens.functions.cells import column, data_type, is_missing, is_text, json_length, percent
 from rowlens.functions.small import small_table
+from rowlens.operators.passes import ROWS, keyed, one_scan
 from rowlens.operators.schema import check_scalar_columns
 
 PREVIEW_ROWS = 50
 # Text cells shorter than a SHA-256 digest are compared as they are, longer ones by digest.
 _DIGEST_BYTES = 32
-# Generated code for one aggregate grows with its columns; past this it is no longer compiled well.
-_COLUMNS_PER_PASS = 60
+
+
+def missing_state(df: DataFrame, name: str) -> list[Column]:
+    """The state of a column's missing cells, for a scan that several operators share."""
+    return [F.count_if(is_missing(df, name)).alias("missing")]
+
+
+def rows_state() -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows")]
 
 
 def count_missing(df: DataFrame, columns: list[str] | None = None) -> tuple[int, list[tuple[str, int]]]:
     """Row count and (column, missing cells), in table order."""
     columns = df.columns if columns is None else columns
-    rows, counts = 0, []
-    for start in range(0, max(len(columns), 1), _COLUMNS_PER_PASS):
-        part = columns[start : start + _COLUMNS_PER_PASS]
-        missing = [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(part)]
-        found = df.agg(F.count(F.lit(1)).alias("rows"), *missing).first()
-        rows = found["rows"]
-        counts += [(c, found[f"m{i}"]) for i, c in enumerate(part)]
-    return rows, counts
+    found = one_scan(df, {("rows",): rows_state(), **{c: missing_state(df, c) for c in columns}})
+    return found[("rows",)]["rows"], [(c, found[c]["missing"]) for c in columns]
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -68,6 +71,16 @@ def _row_key(df: DataFrame, name: str) -> Column:
     return F.when(short, cell.cast("binary")).otherwise(F.unhex(F.sha2(cell, 256)))
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Entry of a grouped scan: each row as a 128-bit digest of its cells and of which of them are null."""
+    cells = []
+    for c in df.columns:
+        cell = column(c)
+        # Digests pass over nulls; -0.0 and 0.0 are one value.
+        cells += [cell.isNull(), cell + F.lit(0).cast(data_type(df, c)) if isinstance(data_type(df, c), (T.DoubleType, T.FloatType)) else cell]
+    return [keyed(ROWS, k1=F.xxhash64(F.lit(1), *cells), k2=F.xxhash64(F.lit(2), *cells))]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows whose whole content occurred before: every copy but the first.
 
@@ -82,19 +95,23 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def json_state(df: DataFrame) -> list[Column]:
+    """The state of the table's size, for a scan that several operators share: its length as one JSON array of objects."""
+    row = F.lit(sum(len(_json_name(c)) + 1 for c in df.columns) + len(df.columns) + 1).cast("long")
+    for c in df.columns:
+        row = row + json_length(df, c)
+    return [F.when(F.count(F.lit(1)) > 0, F.sum(row + 1) + 1).otherwise(2).cast("long").alias("json_chars")]
+
+
+def megabytes(json_chars: Column) -> Column:
+    """Two decimals, halves up, in whole numbers: 2 bytes per unit, 1024 * 1024 bytes per MB."""
+    return F.floor((json_chars * 2 * 100) / F.lit(1024 * 1024) + 0.5).cast("double") / 100
+
+
 def memory_estimate(df: DataFrame) -> DataFrame:
     """Length of the table as one JSON array of objects, and its size at two bytes per unit."""
     check_scalar_columns(df)
-    names = F.lit(sum(len(_json_name(c)) + 1 for c in df.columns) + len(df.columns) + 1)
-    row = names.cast("long")
-    for c in df.columns:
-        row = row + json_length(df, c)
-    total = F.sum(row + 1)
-    chars = F.when(F.count(F.lit(1)) > 0, total + 1).otherwise(2).cast("long")
-    sized = df.agg(chars.alias("json_chars"))
-    # Two decimals, halves up, in whole numbers: 2 bytes per unit, 1024 * 1024 bytes per MB.
-    mb = F.floor((F.col("json_chars") * 2 * 100) / F.lit(1024 * 1024) + 0.5).cast("double") / 100
-    return sized.withColumn("memory_mb", mb)
+    return df.agg(*json_state(df)).withColumn("memory_mb", megabytes(F.col("json_chars")))
 
 
 def _json_name(name: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlens.functions.small import pinned, small_table
 from rowlens.operators import categorical, numeric, sampling, schema, table
+from rowlens.operators.passes import one_scan, written
 
 OVERVIEW_SCHEMA = (
     "rows long, cols long, numeric_columns long, categorical_columns long, duplicate_rows long, "
@@ -43,18 +44,27 @@ def full_profile(
     order_by: list[str] | None = None,
     null_policy: str = "skip",
     sample_threshold: int | None = None,
-    memory: bool = True,
 ) -> Profile:
-    """Profile every column.
+    """Profile every column, in five scans at most, and a sixth where a frequent value is longer than its key.
 
-    All rows are used unless ``sample_threshold`` is given: then a larger table is profiled on a
-    systematic sample of that size in the order of ``order_by``. Row and missing counts stay those
-    of the whole table, and the duplicates of the sample are scaled up to it.
+    The first scan counts rows, missing cells and the shares that tell the types of text columns, measures the numbers and sizes the
+    table. The second groups all that needs a key: buckets, bins and powers of numbers, values of categories, whole
+    rows. The others narrow the quartiles.
+
+    All rows are used unless ``sample_threshold`` is given: then the columns of a larger table are profiled on a
+    systematic sample of that size in the order of ``order_by``. Types, row and missing counts, duplicates and size stay those
+    of the whole table.
     """
-    types = schema.semantic_types(df)
+    first = one_scan(df, _first_states(df, null_policy))
+    types = schema.declared_types(df)
+    for c, kind in types.items():
+        if kind is None:
+            types[c] = schema.judged_type(first["shares", c])
     numbers = schema.numeric_columns(df, types)
     categories = schema.categorical_columns(df, types)
-    rows, missing = table.count_missing(df)
+    rows = first["rows"]["rows"]
+    missing = [(c, first["missing", c]["missing"]) for c in df.columns]
+    counts = dict(missing)
 
     sampled = sample_threshold is not None and rows > sample_threshold
     if sampled and not order_by:
@@ -62,23 +72,20 @@ def full_profile(
     # A sample is small by its definition, and read by every pass below.
     source = sampling.systematic_sample(df, order_by, sample_threshold).persist() if sampled else df
     source_rows = sample_threshold if sampled else rows
+    measures = numeric.measure(source, numbers, null_policy) if sampled else [numeric.Measure(c, *first["extent", c]) for c in numbers]
+
+    entries = numeric.number_keys(source, measures, null_policy) + categorical.value_keys(source, categories, len(numbers))
+    # Duplicates are those of the whole table, which a sample does not show.
+    keys, duplicates = written(source, entries + ([] if sampled else table.row_keys(source)), numeric.scales(measures))
+    figures, histogram, quartiles = numeric.from_keys(source, keys, measures, null_policy)
+    found, top = categorical.from_keys(source, keys, categories, source_rows, start=len(numbers))
+    if sampled:
+        source.unpersist()
+        duplicates = table.duplicate_rows(df).first()["duplicate_rows"]
 
-    figures, histogram, quartiles = numeric.numeric_with_histogram(source, numbers, null_policy)
     spark = df.sparkSession
-    counts = dict(missing)
     # Missing cells are counted on the whole table, also where the figures are those of a sample.
     profile = [(*row[:-1], counts[row["column"]]) for row in figures.collect()]
-    if categories:
-        found, top = categorical.frequencies(source, categories, source_rows)
-    else:
-        found = small_table(spark, [], categorical.PROFILE_SCHEMA)
-        top = small_table(spark, [], categorical.TOP_SCHEMA)
-
-    duplicates = table.duplicate_rows(source).first()["duplicate_rows"]
-    if sampled:
-        source.unpersist()
-        duplicates = int(duplicates / source_rows * rows + 0.5)
-    size = table.memory_estimate(df).first()["memory_mb"] if memory else None
     overview = (
         rows,
         len(df.columns),
@@ -87,13 +94,14 @@ def full_profile(
         duplicates,
         sum(counts.values()),
         sum(n > 0 for n in counts.values()),
-        size,
+        None,
         sampled,
         source_rows,
     )
+    size = table.megabytes(F.lit(first["size"]["json_chars"]).cast("long"))
     return Profile(
         types=types,
-        overview=small_table(spark, [overview], OVERVIEW_SCHEMA),
+        overview=pinned(small_table(spark, [overview], OVERVIEW_SCHEMA).withColumn("memory_mb", size)),
         columns=small_table(
             spark,
             [(i, f.name, f.dataType.simpleString(), types[f.name]) for i, f in enumerate(df.schema.fields)],
@@ -108,6 +116,19 @@ def full_profile(
     )
 
 
+def _first_states(df: DataFrame, null_policy: str) -> dict:
+    """What the operators want to know of all rows before any of them can group: a state under each operator's name."""
+    states = {"rows": table.rows_state(), "size": table.json_state(df)}
+    for c, kind in schema.declared_types(df).items():
+        states["missing", c] = table.missing_state(df, c)
+        if kind is None:
+            states["shares", c] = schema.shares(df, c)
+        # Text may turn out to be numbers.
+        if kind in (None, "numeric"):
+            states["extent", c] = numeric.extent(df, c, null_policy)
+    return states
+
+
 def _with_missing(spark, found: DataFrame, categories: list[str], counts: dict[str, int]) -> DataFrame:
     """The categorical profile with the whole table's missing counts, and a row for every column."""
     known = {r["column"]: r for r in found.collect()}

@@ -74,7 +74,7 @@ def _on_keyed_gaps(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _profiled(result: Callable[[eda.Profile], DataFrame]) -> Query:
     def run(spark, sf_dir):
-        return result(eda.full_profile(gaps(spark, sf_dir), memory=False))
+        return result(eda.full_profile(gaps(spark, sf_dir)))
 
     return run
 
@@ -125,7 +125,7 @@ def export_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the bundle as JSON, read it back, and list its figures in long form."""
     df = gaps(spark, sf_dir)
     path = scratch_path(spark, "bundle")
-    tables.write_table(report.bundle(df, "events", eda.full_profile(df, memory=False)), path, "json")
+    tables.write_table(report.bundle(df, "events", eda.full_profile(df)), path, "json")
     stored = spark.read.json(path)
 
     def part(name: str, item: str, value: str) -> DataFrame:

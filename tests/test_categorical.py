@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from rowlens.operators import categorical
+from rowlens.operators.passes import HEAD
 
 
 def test_profile_counts_blanks_as_missing(spark):
@@ -52,3 +53,28 @@ def test_frequencies_give_both_tables(spark):
     profile, top = categorical.frequencies(df, ["p", "q"], 2)
     assert {r["column"]: r["unique_count"] for r in profile.collect()} == {"p": 1, "q": 2}
     assert top.count() == 3
+
+
+def test_long_texts_are_told_apart_and_ordered_whole(spark):
+    """Values that share their first characters, ties among them, and counts that the first characters do not show."""
+    head = "x" * HEAD
+    values = [head + f"{i:03d}" for i in range(40)] + [head + "007"] * 2 + [head, head[:-1], head[:-1], "y" * 500, ""]
+    df = spark.createDataFrame([(v,) for v in values], "t string").repartition(3)
+    counts = Counter(v for v in values if v)
+    top = [(r["value"], r["count"]) for r in categorical.top_values(df, ["t"]).orderBy("rank").collect()]
+    assert top == sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:20]
+    assert categorical.unique_count(df, ["t"]).first()["unique_count"] == len(counts)
+
+
+def test_no_long_text_is_shuffled_to_be_counted(spark):
+    """What a grouped scan writes is as small for texts of 10,000 characters as for short ones."""
+    df = spark.range(200).selectExpr("repeat(string(id), 5000) AS t", "id % 3 AS n")
+    longest = categorical.key_counts(df, ["t", "n"]).selectExpr("max(length(head)) AS m").first()["m"]
+    assert longest == HEAD
+    assert categorical.top_values(df, ["t"], k=3).count() == 3
+
+
+def test_profile_of_no_column(spark):
+    df = spark.range(3)
+    assert categorical.categorical_profile(df, []).count() == 0 and categorical.top_values(df, []).count() == 0
+    assert [f.count() for f in categorical.frequencies(df, [], 3)] == [0, 0]

@@ -5,7 +5,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from rowlens.operators import numeric, ranks
+from rowlens.operators import numeric, passes, ranks
+from tests.scans import scans
 
 
 def profile_of(df, **options):
@@ -25,39 +26,46 @@ def test_quartiles_of_small_tables(one_column, n):
     assert (row["q25"], row["median"], row["q75"]) == expected_quartiles(values)
 
 
-@pytest.mark.parametrize("limit", [1, 50, ranks.CANDIDATE_LIMIT])
-@pytest.mark.parametrize("shape", ["uniform", "skewed", "hot", "two"])
-def test_quartiles_do_not_depend_on_the_sketch(spark, monkeypatch, shape, limit):
-    """Also when every interval has to be sketched again, and where one value holds a third of all rows."""
-    expression = {
-        "uniform": "double(hash(id))",
-        "skewed": "exp(20 * (pmod(hash(id), 100003) / 100003D))",
-        "hot": "IF(pmod(hash(id), 3) = 0, 5D, double(pmod(hash(id), 50000)) / 7)",
-        "two": "double(pmod(hash(id), 2))",
-    }[shape]
-    df = spark.range(60_000).selectExpr(f"{expression} AS x").repartition(4)
-    found = numeric.locate_quartiles(df, numeric.measure(df, ["x"]), candidate_limit=limit)["x"]
-    values = [r["x"] for r in df.collect()]
-    assert (found.q25, found.median, found.q75) == expected_quartiles(values)
-
-
-def test_a_wrong_interval_is_found_out(spark):
-    df = spark.range(10_000).selectExpr("double(id) AS x")
-    too_low = ranks.Interval("x", 7000, 10.0, 20.0)
-    too_high = ranks.Interval("x", 30, 9000.0, 9500.0)
-    found = ranks.select_ranks(df, {"x": F.col("x")}, [too_low, too_high])
-    assert found == {("x", 7000): 7000.0, ("x", 30): 30.0}
-
-
-def test_a_sampled_sketch_gives_exact_quartiles(spark, monkeypatch):
-    """Also for a column that has few values in the sample, or none."""
+SHAPES = {
+    "uniform": "double(hash(id))",
+    "skewed": "exp(20 * (pmod(hash(id), 100003) / 100003D))",
+    "hot": "IF(pmod(hash(id), 3) = 0, 5D, double(pmod(hash(id), 50000)) / 7)",
+    "two": "double(pmod(hash(id), 2))",
+    "extremes": "element_at(array(-1.7976931348623157E308D, -4.9E-324D, -0.0D, 0.0D, 4.9E-324D, 2.2250738585072014E-308D, 1.7976931348623157E308D), int(pmod(hash(id), 7)) + 1)",
+    "neighbours": "1D + pmod(hash(id), 100000) * 2.220446049250313E-16D",
+    "octaves": "(1D + pmod(hash(id), 3) * 2.220446049250313E-16D) * pow(2D, pmod(id, 41) - 20) * IF(id % 3 = 0, -1, 1)",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_ranks_of_any_shape_take_four_scans(spark, shape):
+    """Hot values, doubles next to each other, the largest and the smallest there are."""
+    df = spark.range(60_000).selectExpr(f"{SHAPES[shape]} AS x").repartition(4).cache()
+    wanted = [0, 1, 14_999, 15_000, 29_999, 30_000, 45_000, 59_999]
+    with scans(spark, 60_000) as counted:
+        found = ranks.select_ranks(df, {"x": F.col("x")}, {"x": wanted})
+    values = sorted(r["x"] for r in df.collect())
+    assert {rank: found["x", rank] for rank in wanted} == {rank: values[rank] for rank in wanted}
+    assert 0 < counted() <= 4
+
+
+def test_columns_with_few_values(spark):
     df = spark.range(30_000).selectExpr(
-        "double(pmod(hash(id), 9973)) AS x", "IF(id % 500 = 0, double(id), NULL) AS rare", "IF(id = 7, 1D, NULL) AS one"
+        "double(pmod(hash(id), 9973)) AS x", "IF(id % 500 = 0, double(id), NULL) AS rare", "IF(id = 7, 1D, NULL) AS one", "double(NULL) AS none"
     )
-    found = numeric.locate_quartiles(df, numeric.measure(df, df.columns))
-    for c in df.columns:
+    found = numeric.locate_quartiles(df, df.columns)
+    for c in ("x", "rare", "one"):
         values = [r[c] for r in df.where(f"{c} IS NOT NULL").collect()]
         assert (found[c].q25, found[c].median, found[c].q75) == expected_quartiles(values)
+    assert found["none"] == numeric.Quartiles()
+
+
+def test_buckets_ascend_with_the_numbers(spark):
+    values = [0.0, 5e-324, 1e-308, 2.5e-308, 0.99999, 1.0, 1.0001, 1.9, 2.0, 1e300, 1.7976931348623157e308]
+    numbers = sorted([-v for v in values] + values)
+    rows = spark.createDataFrame([(v,) for v in numbers], "x double").select("x", passes.bucket(F.col("x")).alias("b")).collect()
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows) and all(r["b"] is not None for r in rows)
+    assert {r["b"] for r in rows if r["x"] == 0} == {0}
 
 
 def test_moments_are_those_of_the_population(one_column):

@@ -1,8 +1,10 @@
 import json
+import math
 
 import pytest
 
 from rowlens.plans import column, eda, quality, report
+from tests.scans import scans
 
 
 @pytest.fixture(scope="module")
@@ -109,15 +111,45 @@ def test_a_table_without_rows(spark):
     assert rules(quality.findings(profile))["rows"][1] == 0
 
 
-def test_sampled_profile_scales_duplicates(spark):
+def test_a_sampled_profile_counts_duplicates_on_all_rows(spark):
     df = spark.range(1000).selectExpr("id % 10 AS a", "IF(id % 4 = 0, NULL, 'x') AS s")
     row = eda.full_profile(df, ["a"], sample_threshold=100).overview.first()
     assert row["was_sampled"] and row["sample_size"] == 100 and row["rows"] == 1000
-    assert row["missing_cells"] == 250 and row["duplicate_rows"] % 10 == 0
+    assert row["missing_cells"] == 250 and row["duplicate_rows"] == 985
     with pytest.raises(ValueError):
         eda.full_profile(df, sample_threshold=100)
 
 
+def test_a_sample_without_equal_rows_hides_no_duplicates(spark):
+    """Every row occurs twice, and the sample takes one of each pair."""
+    df = spark.range(4000).selectExpr("id div 2 AS a", "string(id div 2) AS s")
+    for size in (100, 1000):
+        row = eda.full_profile(df, ["a"], sample_threshold=size).overview.first()
+        assert row["duplicate_rows"] == 2000
+
+
+def test_a_profile_takes_five_scans(spark, tmp_path):
+    """Numbers, dates, categories, numbers written as text, missing cells and repeated rows, all from the same scans."""
+    path = str(tmp_path / "table")
+    spark.range(30_000).selectExpr(
+        "id % 20000 AS n",
+        "exp(id % 20000 / 1000) AS spread",
+        "IF(id % 20000 % 7 = 0, NULL, double(id % 20000) / 3) AS holes",
+        "string(id % 20000 / 4) AS written",
+        "concat('c', id % 50) AS kind",
+        "id % 2 = 0 AS flag",
+        "timestamp_seconds(id % 20000) AS at",
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    with scans(spark, 30_000) as counted:
+        found = eda.full_profile(df)
+    assert counted() <= 5
+    row = found.overview.first()
+    assert (row["rows"], row["duplicate_rows"], row["numeric_columns"]) == (30_000, 10_000, 4)
+    assert found.types["written"] == "numeric" and row["memory_mb"] > 0
+    assert found.quartiles["spread"].median == pytest.approx(math.exp(7.4995), rel=1e-3)
+
+
 def test_report_tables(profile, table):
     assert [r["column"] for r in report.numeric_table(profile).collect()] == ["n", "skewed", "constant"]
     shown = {r["column"]: r for r in report.categorical_table(profile).collect()}
