@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +14,12 @@ from rowlens.operators import correlation, outliers
 from rowlens.plans import quality
 from rowlens.plans.eda import Profile
 
+META_SCHEMA = (
+    "exported_at timestamp, dataset_id string, dataset_name string, original_name string, row_count long, "
+    "column_count long, file_type string"
+)
 BUNDLE_PARTS = (
+    "meta",
     "overview",
     "numeric",
     "histogram",
@@ -100,12 +107,20 @@ def bundle(
     with_correlation: bool = True,
     with_outliers: bool = True,
     null_policy: str = "skip",
+    entry: Row | None = None,
+    exported_at: dt.datetime | None = None,
 ) -> DataFrame:
     """One nested row of all results: a list of result rows per part, null where not computed.
 
-    Every part holds a few rows per column; none of the table's own rows is in it.
+    Every part holds a few rows per column; none of the table's own rows is in it. ``meta`` says what was exported and
+    when, in the words of the catalog's ``entry`` where one is given.
     """
     columns = list(profile.quartiles) if profile else None
+    known = entry.asDict() if entry else {"name": dataset, "column_count": len(df.columns)}
+    if profile is not None:
+        known.setdefault("row_count", profile.overview.first()["rows"])
+    named = [known.get(f) for f in ("id", "name", "original_name", "row_count", "column_count", "file_type")]
+    meta = small_table(df.sparkSession, [(exported_at or dt.datetime.now(dt.timezone.utc), *named)], META_SCHEMA)
     parts: dict[str, DataFrame] = {}
     if profile is not None:
         parts = {
@@ -118,6 +133,7 @@ def bundle(
             "quality_score": quality.quality_score(profile),
             "snapshot": quality.snapshot(profile),
         }
+    parts["meta"] = meta
     if with_correlation:
         parts["correlation"] = correlation.correlation_pairs(df, columns, null_policy)
     if with_outliers:

@@ -375,6 +375,19 @@ def catalog() -> str:
     return union(rows)
 
 
+GAPS_MEMORY = memory(
+    f"({GAPS_SQL})",
+    {
+        "kind": json_text("kind"),
+        "tag": json_text("tag"),
+        "amount": json_double("amount"),
+        "mostly_null": json_double("mostly_null"),
+        "constant": json_double("constant"),
+        "flag": json_int("flag"),
+        "near_constant": json_text("near_constant"),
+    },
+)
+
 # Quality rules over the derived table
 
 
@@ -527,6 +540,7 @@ def report_overview() -> str:
         "categorical_columns": "(SELECT count(*) FROM ccat)",
         "duplicate_rows": "dup",
         "missing_columns": "(SELECT count(*) FROM miss)",
+        "memory_mb": f"(SELECT memory_mb FROM ({GAPS_MEMORY}))",
     }
     return with_tables(
         quality_ctes(),
@@ -543,20 +557,32 @@ def report_column_directory() -> str:
 
 
 def export_bundle() -> str:
+    def part(name: str, item: str, source: str, *figures: tuple[str, str]) -> str:
+        return union([f"SELECT '{name}' AS part, {item} AS item, '{f}' AS figure, CAST({v} AS DOUBLE) AS value FROM {source}" for f, v in figures])
+
+    def plain(*names: str) -> list[tuple[str, str]]:
+        return [(n, quote(n)) for n in names]
+
+    snapshot = union(ISSUES + FINDINGS + INSIGHTS + RECOMMENDATIONS + UNUSUAL)
+    bins = histogram(GAPS_SQL, GAPS_NUMERIC)
     listed = union(
         [
-            "SELECT 'overview' AS part, 'rows' AS item, CAST(rows AS DOUBLE) AS value FROM facts",
-            "SELECT 'numeric', \"column\", median FROM num",
-            "SELECT 'categorical', \"column\", CAST(unique_count AS DOUBLE) FROM ccat",
-            "SELECT 'missing', \"column\", pct FROM miss",
-            f"SELECT 'quality_score', 'score', CAST({SCORE} AS DOUBLE) FROM facts",
-            "SELECT 'correlation', col1 || '/' || col2, r FROM corr",
-            "SELECT 'outliers', \"column\", CAST(count AS DOUBLE) FROM outliers",
+            part("meta", "'events/events/parquet/2024-01-01'", "facts", ("row_count", "rows"), ("column_count", "cols")),
+            part("overview", "'table'", "facts", ("rows", "rows"), ("cols", "cols"), ("duplicate_rows", "dup"), ("missing_cells", "nulls"), ("memory_mb", f"(SELECT memory_mb FROM ({GAPS_MEMORY}))")),
+            part("numeric", '"column"', "num", *plain(*FIGURES, "null_count")),
+            part("histogram", "\"column\" || '/' || bin", f"({bins})", *plain("count")),
+            part("categorical", '"column"', "ccat", *plain("unique_count", "null_count", "entropy")),
+            part("top_values", "\"column\" || '/' || rank || '/' || value", "(SELECT * FROM ctop WHERE rank <= 20)", *plain("count", "pct")),
+            part("missing", '"column"', "miss", *plain("count", "pct")),
+            part("quality_score", "'table'", "facts", ("score", SCORE), ("null_pct", NULL_PCT)),
+            part("snapshot", "section || '/' || rule || '/' || coalesce(severity, '') || '/' || affected_columns", f"({snapshot})", *plain("value")),
+            part("correlation", "col1 || '/' || col2", "corr", ("value", "r")),
+            part("outliers", '"column"', "outliers", *plain("count", "pct", "lower_bound", "upper_bound")),
         ]
     )
     return with_tables(
         {**quality_ctes(), **outlier_ctes(), **correlation_ctes(GAPS_NUMERIC)},
-        rounded(listed, ["value"], ["part", "item"]),
+        rounded(listed, ["value"], ["part", "item", "figure"]),
     )
 
 
@@ -576,9 +602,13 @@ def metrics(source: str, numeric: list[str], categories: list[str], extra: dict[
 
 ORDERS_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
 ORDERS_OTHERS = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
-SAMPLED = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
-SAMPLED_ALL = ", ".join([*SAMPLED, "l_returnflag"])
-SAMPLE_SQL = systematic_sample(SAMPLED_ALL, "lineitem", SAMPLED_ALL)
+LINEITEM_OTHERS = ["l_returnflag", "l_linestatus", "l_shipdate"]
+SAMPLE_SQL = systematic_sample(
+    ", ".join([*LINEITEM_ALL, *LINEITEM_OTHERS]),
+    "lineitem",
+    "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, "
+    "l_returnflag, l_linestatus, l_shipdate",
+)
 
 ORDERS_MEMORY = memory(
     "orders",
@@ -594,12 +624,10 @@ ORDERS_MEMORY = memory(
 LINEITEM_MEMORY = memory(
     "lineitem",
     {
-        "l_orderkey": json_int("l_orderkey"),
-        "l_linenumber": json_int("l_linenumber"),
-        "l_quantity": json_double("l_quantity"),
-        "l_extendedprice": json_double("l_extendedprice"),
-        "l_discount": json_double("l_discount"),
-        "l_returnflag": json_text("l_returnflag"),
+        **{c: json_int(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")},
+        **{c: json_double(c) for c in LINEITEM_DOUBLES},
+        **{c: json_text(c) for c in ("l_returnflag", "l_linestatus")},
+        "l_shipdate": "26",
     },
 )
 
@@ -629,12 +657,7 @@ ORACLES: dict[str, str] = {
     "infer_types": infer_types(),
     "coerce_numeric": f"SELECT event_id, cell, CASE WHEN regexp_full_match(cell, '{NUMBER}') "
     f"THEN try_cast(cell AS DOUBLE) END AS number FROM (SELECT event_id, {MIXED_CELL} AS cell FROM events)",
-    "systematic_sample": systematic_sample(
-        ", ".join([*LINEITEM_ALL, "l_returnflag", "l_linestatus", "l_shipdate"]),
-        "lineitem",
-        "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, "
-        "l_returnflag, l_linestatus, l_shipdate",
-    ),
+    "systematic_sample": SAMPLE_SQL,
     "project_numeric": f"SELECT {', '.join(LINEITEM_ALL)} FROM lineitem",
     "preview": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50",
     "dataset_detail": dataset_detail(),
@@ -751,18 +774,17 @@ ORACLES: dict[str, str] = {
     "full_eda_top_values": top_values("SELECT * FROM orders", ORDERS_OTHERS),
     "eda_sampled": metrics(
         SAMPLE_SQL,
-        SAMPLED,
-        ["l_returnflag"],
+        LINEITEM_ALL,
+        LINEITEM_OTHERS,
         {
             "rows": "(SELECT count(*) FROM lineitem)",
             "memory_mb": f"(SELECT memory_mb FROM ({LINEITEM_MEMORY}))",
             "was_sampled": "CASE WHEN (SELECT count(*) FROM lineitem) > 50000 THEN 1 ELSE 0 END",
             "sample_size": "least((SELECT count(*) FROM lineitem), 50000)",
-            "cols": "6",
-            "numeric_columns": "5",
-            "categorical_columns": "1",
-            "duplicate_rows": "floor(((SELECT count(*) FROM src) - (SELECT count(*) FROM "
-            "(SELECT DISTINCT * FROM src))) / (SELECT count(*) FROM src) * (SELECT count(*) FROM lineitem) + 0.5)",
+            "cols": "11",
+            "numeric_columns": "8",
+            "categorical_columns": "3",
+            "duplicate_rows": "(SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem))",
         },
     ),
     "rules_customer": rules(ALL_RULES, CUSTOMER_CTES),

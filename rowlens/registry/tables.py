@@ -59,12 +59,12 @@ MIXED_FILE = [
     ("note", "concat(event_type, chr(10), 'second line')"),
 ]
 
-# Tables on which the remaining rules fire: a unique text and one far value, missing shares of the lower bands.
+# Tables on which the remaining rules fire: a unique text and a far value, in a row that all sizes have; missing shares of the lower bands.
 SPIKES = [
     ("line", "concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))"),
     ("returned", "l_returnflag"),
     ("quantity", "l_quantity"),
-    ("spike", "CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN CAST(1000000 AS DOUBLE) ELSE l_tax END"),
+    ("spike", "CASE WHEN l_orderkey = 8 AND l_linenumber = 2 THEN CAST(1000000 AS DOUBLE) ELSE l_tax END"),
 ]
 HALF_FULL = [
     ("event_id", "event_id"),
