@@ -1,4 +1,4 @@
-"""Language-model scoring: word bigrams in a log-frequency Bloom filter, broadcast to the workers."""
+"""Language-model scoring: word bigrams in a log-frequency Bloom filter, built and probed part by part where it lies."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,21 +21,14 @@ PRIOR = 5.0
 ADDED = 0.1
 # Hashes of a membership probe: about one wrong answer in a million, for 29 bits an entry.
 HASHES = 20
-# A model above this size is broadcast in shards, and a worker holds one of them at a time ...
-MODEL_BYTES = 24 << 20
-# ... for so many tokens, then the next.
-GROUP_TOKENS = 1 << 19
-
-# The first bits of a hash name a part of the model, some more the class of contexts a word belongs to.
-_PART_BITS = 12
-_CLASS_BITS = 22
-_PART = np.uint64(64 - _PART_BITS)
-_CLASS = np.uint64(64 - _CLASS_BITS)
-_PARTS = 1 << _PART_BITS
-_CLASSES = 1 << (_CLASS_BITS - _PART_BITS)
-
-# Distinct hashes that a counting task holds before it passes them on.
-_HELD = 1 << 19
+# Tokens whose words and bigrams are told apart together before anything is shuffled.
+CHUNK_TOKENS = 1 << 21
+# Bytes of text for each part of the model, and the fewest parts; their number is a power of two.
+PART_BYTES = 1 << 25
+LEAST_PARTS = 64
+
+# Bits of the second word's hash that tell apart the bigrams of one first word.
+_FOLLOWER_BITS = 48
 
 _CODES = ascii_lower_table(BLANKS)
 _END = np.uint64(0xD1B54A32D192ED03)
@@ -51,55 +45,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, of_row + np.arange(rows + 1)
 
 
-def bigrams(words: np.ndarray) -> np.ndarray:
-    """For each token the class of the one before it, then bits of its own hash; an end stands before the first."""
-    before = np.empty_like(words)
-    before[:1], before[1:] = _END, words[:-1]
-    return (before >> _CLASS << _CLASS) | (mix(words + _STEP) >> np.uint64(_CLASS_BITS))
-
-
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def counts(texts: DataFrame) -> DataFrame:
-    """(pair, key, n) over the one text column: all words and ends (pair false), and all bigrams.
-
-    Tasks count hashes before anything is shuffled, so a frequent word costs a row for each task.
-    """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-
-        def rows(pair: int) -> pa.RecordBatch:
-            keys, n = _summed(*(np.concatenate(x) for x in zip(*held[pair])))
-            held[pair].clear()
-            columns = [pa.array(np.full(len(keys), bool(pair))), pa.array(keys.view(np.int64)), pa.array(n)]
-            return pa.RecordBatch.from_arrays(columns, names=["pair", "key", "n"])
-
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                words, _ = tokens(data, offsets)
-                for pair, keys in enumerate((words, bigrams(words))):
-                    held[pair].append(_summed(keys, np.ones(len(keys), np.int64)))
-                    if sum(len(k) for k, _ in held[pair]) > _HELD:
-                        yield rows(pair)
-        for pair in (0, 1):
-            if held[pair]:
-                yield rows(pair)
-        # The worker goes on to other tasks.
-        pa.default_memory_pool().release_unused()
-
-    each = texts.mapInArrow(counted, "pair boolean, key long, n long")
-    return each.groupBy("pair", "key").agg(F.sum("n").alias("n"))
-
-
-def level(n: Column) -> Column:
-    """Quantised count: 1 for once, then two levels for each doubling, rounded down."""
-    return (1 + F.floor(2 * F.log2(n) + 1e-9)).cast("int")
+def level(n: np.ndarray) -> np.ndarray:
+    """Quantised count: 0 for none, 1 for once, then two levels for each doubling, rounded down."""
+    return np.where(n > 0, 1 + np.floor(2 * np.log2(np.maximum(n, 1)) + 1e-9), 0).astype(np.int64)
 
 
 def of_level(levels: np.ndarray) -> np.ndarray:
@@ -123,146 +71,198 @@ def filter_bits(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _part(key: str) -> Column:
-    return F.shiftrightunsigned(key, 64 - _PART_BITS).cast("int")
-
-
-def parts(counted: DataFrame) -> DataFrame:
-    """(part, kind, a, b): kind 0 the sorted words and their counts, 1 the contexts' counts and what levels keep of them, 2 the filter.
-
-    A part holds one 4096th of the hashes, so no task holds more of the model than its parts, one at a time.
-    """
-    words, pairs = counted.where(~F.col("pair")), counted.where("pair").withColumn("level", level(F.col("n")))
-    kept = F.pow(F.lit(2.0), (F.col("level") - 1) / 2)
-    of_class = F.shiftrightunsigned("key", 64 - _CLASS_BITS)
-    contexts = words.select(of_class.alias("key"), F.col("n").cast("double").alias("n"), F.lit(0.0).alias("kept"))
-    contexts = contexts.union(pairs.select(of_class, F.lit(0.0), kept)).groupBy("key").agg(F.sum("n").alias("x"), F.sum("kept").alias("y"))
-    rows = words.select(_part("key").alias("part"), F.lit(0).alias("kind"), "key", F.col("n").cast("double").alias("x"), F.lit(0.0).alias("y"))
-    rows = rows.union(contexts.select(F.shiftright("key", _CLASS_BITS - _PART_BITS).cast("int"), F.lit(1), "key", "x", "y"))
-    rows = rows.union(pairs.select(_part("key"), F.lit(2), "key", F.col("level").cast("double"), F.lit(0.0)))
-
-    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        name: tuple[int, int] | None = None
-
-        def block() -> pa.RecordBatch:
-            keys, x, y = (np.concatenate(c) for c in zip(*held))
-            if name[1] == 0:
-                order = np.argsort(keys)
-                a, b = keys[order].tobytes(), x[order].astype(np.int64).tobytes()
-            elif name[1] == 1:
-                dense = np.zeros((2, _CLASSES), np.float32)
-                dense[:, (keys % np.uint64(_CLASSES)).astype(np.int64)] = x, y
-                a, b = dense[0].tobytes(), dense[1].tobytes()
-            else:
-                a, b = filter_bits(keys, x.astype(np.int64)).tobytes(), np.int64(np.ceil(x.sum() * HASHES / np.log(2))).tobytes()
-            held.clear()
-            columns = [pa.array([name[0]], pa.int32()), pa.array([name[1]], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "a", "b"])
-
-        for batch in batches:
-            part, kind, keys, x, y = (c.to_numpy() for c in batch.columns)
-            cuts = np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
-            edges = [0, *cuts.tolist(), len(part)]
-            for i, j in zip(edges[:-1], edges[1:]):
-                if i == j:
-                    continue
-                if held and name != (int(part[i]), int(kind[i])):
-                    yield block()
-                name = (int(part[i]), int(kind[i]))
-                held.append((keys[i:j].view(np.uint64), x[i:j], y[i:j]))
-        if held:
-            yield block()
-
-    dealt = rows.repartition("part").sortWithinPartitions("part", "kind")
-    return dealt.mapInArrow(built, "part int, kind int, a binary, b binary")
+def probe(bits: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
+    """The level of each key by membership probes: level after level, hash after hash, with the keys that are left."""
+    out, left, at = np.zeros(len(keys), np.int64), np.arange(len(keys) if size else 0), 0
+    while len(left):
+        at += 1
+        first, step = _positions(keys[left], at)
+        for _ in range(HASHES):
+            bit = (first % np.uint64(size)).astype(np.int64)
+            held = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            first, step, left = first[held] + step[held], step[held], left[held]
+        out[left] = at
+    return out
 
 
 @dataclass(frozen=True)
-class Shard:
-    """The model's parts from `low` to `high`, as flat arrays."""
-
-    low: int
-    high: int
-    keys: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    kept: np.ndarray
-    bits: np.ndarray
-    sizes: np.ndarray
-    begins: np.ndarray
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        part = (keys >> _PART).astype(np.int64)
-        return (part >= self.low) & (part < self.high)
-
-    def words(self, keys: np.ndarray) -> np.ndarray:
-        """Exact counts."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        return np.where(self.keys[at] == keys, self.counts[at], 0).astype(float)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Probes level after level, hash after hash, with the keys that are left."""
-        part = (keys >> _PART).astype(np.int64) - self.low
-        out = np.zeros(len(keys), np.int64)
-        left = np.flatnonzero(self.sizes[part] > 0)
-        at = 0
-        while len(left):
-            at += 1
-            first, step = _positions(keys[left], at)
-            size, begin = self.sizes[part[left]].astype(np.uint64), self.begins[part[left]]
-            for i in range(HASHES):
-                bit = ((first + np.uint64(i) * step) % size).astype(np.int64)
-                held = (self.bits[begin + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                first, step, size, begin, left = first[held], step[held], size[held], begin[held], left[held]
-                if not len(left):
-                    break
-            out[left] = at
-        return out
-
-    def fill(self, words: np.ndarray, state: np.ndarray) -> None:
-        """What this shard knows of each token, as rows of `state`: its count, its bigram's, the context's, the kept of it."""
-        own = np.flatnonzero(self.has(words))
-        distinct, back = np.unique(words[own], return_inverse=True)
-        state[0, own] = self.words(distinct)[back]
-        pairs = bigrams(words)
-        own = np.flatnonzero(self.has(pairs))
-        pairs = pairs[own]
-        of_class = (pairs >> _CLASS).astype(np.int64) - self.low * _CLASSES
-        state[2, own], state[3, own] = self.contexts[of_class], self.kept[of_class]
-        # A context that was never seen needs no probe.
-        asked = self.kept[of_class] > 0
-        distinct, back = np.unique(pairs[asked], return_inverse=True)
-        state[1, own[asked]] = of_level(self.levels(distinct))[back]
-
-
-def shard(model: DataFrame, low: int, high: int, lengths: dict[tuple[int, int], tuple[int, int]]) -> Shard:
-    """The parts from `low` to `high` of a written model; the caller bounds their size.
-
-    Parts arrive one by one and go straight into arrays of the final size: `lengths` has the bytes of each part and kind.
+class Chunk:
+    """The texts of a run of rows as numbers: distinct words by hash, distinct bigrams by first and second word."""
+
+    name: int
+    keys: pa.Array
+    lengths: np.ndarray  # tokens of each row
+    words: np.ndarray  # hashes, ascending
+    learnt: np.ndarray  # occurrences of each word in rows to learn from
+    followers: np.ndarray  # distinct bigrams that each word begins
+    second: np.ndarray  # hashes of the second words, bigrams in order of their first words
+    pairs_learnt: np.ndarray
+    pairs: np.ndarray  # the bigram that ends at each token; before a row stands an end
+
+    @property
+    def seal(self) -> int:
+        """Tells whether a chunk made again is the same one."""
+        return xxhash.xxh3_64_intdigest(self.second.tobytes(), xxhash.xxh3_64_intdigest(self.words.tobytes()) & 0xFFFF) >> 1
+
+
+def _chunk(name: int, held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> Chunk:
+    keys, stream, lengths, learn = zip(*held)
+    stream, lengths, learn = (np.concatenate(x) for x in (stream, lengths, learn))
+    learn = np.repeat(learn, lengths)
+    words, at = np.unique(stream, return_inverse=True)
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    before[np.cumsum(lengths) - lengths] = np.searchsorted(words, _END)
+    codes, pairs, n = np.unique(before * len(words) + at, return_inverse=True, return_counts=True)
+    if not learn.all():
+        n = np.bincount(pairs[learn], minlength=len(codes))
+    first, second = np.divmod(codes, len(words))
+    learnt = np.bincount(at[learn], minlength=len(words))
+    return Chunk(name, pa.concat_arrays(keys), lengths, words, learnt, np.bincount(first, minlength=len(words)), words[second], n, pairs)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Chunks of `batches(key, text, learn)`; a row is in one chunk, however long."""
+    name, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        learn = np.asarray(batch.column(2))
+        for start, stop, data, offsets in slices(batch.column(1)):
+            stream, begins = tokens(data, offsets)
+            held.append((batch.column(0).slice(start, stop - start), stream, np.diff(begins), learn[start:stop]))
+            size += len(stream)
+            if size > CHUNK_TOKENS:
+                yield _chunk(name, held)
+                name, held, size = name + 1, [], 0
+    if held:
+        yield _chunk(name, held)
+    # The worker goes on to other tasks.
+    pa.default_memory_pool().release_unused()
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    most = int(x.max(initial=0))
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
+def _wide(data: bytes, count: int) -> np.ndarray:
+    """Numbers that `_narrow` has packed."""
+    return np.frombuffer(data, f"<u{len(data) // count}").astype(np.int64) if count else np.empty(0, np.int64)
+
+
+_ASKED = "part int, chunk long, seal long, words binary, learnt binary, followers binary, second binary, pairs_learnt binary"
+_ANSWERED = "chunk long, part int, seal long, counts binary, kept binary, followers binary, levels binary, tokens long, distinct long"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def asked(rows: DataFrame, parts: int) -> DataFrame:
+    """What each chunk has and wants to know of each part: its words, its bigrams, and how often they are to be learnt.
+
+    A word lies in the part that the leading bits of its hash name, its bigrams beside it. What a task sends is already
+    combined, some seven bytes a distinct bigram, so a frequent word or bigram costs one entry a chunk.
+    """
+    bits = parts.bit_length() - 1
+    shift = np.uint64(64 - bits)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches):
+            cuts = np.searchsorted(c.words, np.arange(parts, dtype=np.uint64) << shift) if bits else np.zeros(1, np.int64)
+            cuts = np.append(cuts, len(c.words))
+            ends = np.concatenate([[0], np.cumsum(c.followers)])
+            # The leading bits of the hashes, as six bytes each.
+            second = (c.second >> np.uint64(64 - _FOLLOWER_BITS)).view(np.uint8).reshape(-1, 8)[:, : _FOLLOWER_BITS // 8]
+            out: list[list] = [[] for _ in range(6)]
+            for part in np.flatnonzero(np.diff(cuts)).tolist():
+                i, j = cuts[part], cuts[part + 1]
+                p, q = ends[i], ends[j]
+                row = (part, c.words[i:j], _narrow(c.learnt[i:j]), _narrow(c.followers[i:j]), np.ascontiguousarray(second[p:q]), _narrow(c.pairs_learnt[p:q]))
+                for column, value in zip(out, row):
+                    column.append(value if isinstance(value, int) else value.tobytes())
+            n = len(out[0])
+            columns = [pa.array(out[0], pa.int32()), pa.array([c.name] * n, pa.int64()), pa.array([c.seal] * n, pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]]
+            yield pa.RecordBatch.from_arrays(columns, names=_names(_ASKED))
+
+    return rows.mapInArrow(sent, _ASKED)
+
+
+def _part_answers(table: pa.Table) -> pa.Table:
+    """Builds one part of the model from all chunks, and answers each: word counts, what levels keep of them, bigram levels.
+
+    A bigram's level comes from membership probes of the part's filter, which holds every learnt bigram once for every
+    level up to its own. One more row, of chunk -1, sums up the part's words.
     """
-    bytes_of = {kind: np.array([lengths.get((p, kind), (0, 0)) for p in range(low, high)], np.int64) for kind in (0, 2)}
-    begin = {kind: np.cumsum(n[:, 0]) - n[:, 0] for kind, n in bytes_of.items()}
-    words = int(bytes_of[0][:, 0].sum()) // 8
-    keys, held = np.empty(words, np.uint64), np.empty(words, np.int64)
-    dense = np.zeros((2, (high - low) * _CLASSES), np.float32)
-    bits, sizes = np.empty(int(bytes_of[2][:, 0].sum()), np.uint8), np.zeros(high - low, np.int64)
-    for row in model.where((F.col("part") >= low) & (F.col("part") < high)).toLocalIterator():
-        at, kind, a, b = row["part"] - low, row["kind"], row["a"], row["b"]
-        if kind == 0:
-            start = int(begin[0][at]) // 8
-            keys[start : start + len(a) // 8] = np.frombuffer(a, np.uint64)
-            held[start : start + len(a) // 8] = np.frombuffer(b, np.int64)
-        elif kind == 1:
-            dense[0, at * _CLASSES : (at + 1) * _CLASSES] = np.frombuffer(a, np.float32)
-            dense[1, at * _CLASSES : (at + 1) * _CLASSES] = np.frombuffer(b, np.float32)
-        else:
-            bits[begin[2][at] : begin[2][at] + len(a)] = np.frombuffer(a, np.uint8)
-            sizes[at] = np.frombuffer(b, np.int64)[0]
-    counts = held.astype(np.uint32) if held.max(initial=0) < 1 << 32 else held
-    return Shard(low, high, keys, counts, dense[0], dense[1], bits, sizes, begin[2])
+    chunk, seal = table.column("chunk").to_pylist(), table.column("seal").to_pylist()
+    part = table.column("part")[0].as_py()
+    hashes = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+    sizes = [len(x) for x in hashes]
+    own, followers = ([_wide(x, n) for x, n in zip(table.column(name).to_pylist(), sizes)] for name in ("learnt", "followers"))
+    pairs = [int(f.sum()) for f in followers]
+    pairs_learnt = np.concatenate([_wide(x, n) for x, n in zip(table.column("pairs_learnt").to_pylist(), pairs)])
+    second = np.zeros((sum(pairs), 8), np.uint8)
+    second[:, : _FOLLOWER_BITS // 8] = np.frombuffer(b"".join(table.column("second").to_pylist()), np.uint8).reshape(-1, _FOLLOWER_BITS // 8)
+
+    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = np.bincount(at, np.concatenate(own), len(words))
+    first = np.repeat(at, np.concatenate(followers))
+    keys = mix(words[first] + mix(second.view(np.uint64).ravel() + _STEP))
+    keys, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    true = level(np.bincount(which, pairs_learnt, len(keys)))
+    learnt = true > 0
+    bits, size = filter_bits(keys[learnt], true[learnt]), int(np.ceil(true.sum() * HASHES / np.log(2)))
+    levels = np.minimum(probe(bits, size, keys), 255).astype(np.uint8)[which]
+    kept = np.bincount(first[one], of_level(true), len(words))
+    cuts, ends = np.cumsum(sizes)[:-1], np.cumsum(pairs)[:-1]
+    none = [b""] * 4
+    rows = [
+        (name, part, s, c.tobytes(), k.tobytes(), f.astype(np.uint32).tobytes(), v.tobytes(), 0, 0)
+        for name, s, c, k, f, v in zip(chunk, seal, np.split(counts[at], cuts), np.split(kept[at], cuts), followers, np.split(levels, ends))
+    ]
+    rows.append((-1, part, 0, *none, int(counts.sum()), int(np.count_nonzero(counts))))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=_names(_ANSWERED))
+
+
+def _streams(rows: DataFrame) -> DataFrame:
+    """(chunk, seal, keys, lengths, pairs): each chunk's rows as the bigrams that their tokens end, in three or four bytes each."""
+    schema = T.StructType([*T.StructType.fromDDL("chunk long, seal long").fields, T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), *T.StructType.fromDDL("lengths binary, pairs binary").fields])
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches):
+            planes = c.pairs.astype("<u4").view(np.uint8).reshape(-1, 4).T[: 3 if len(c.second) < 1 << 24 else 4]
+            keys = pa.ListArray.from_arrays(pa.array([0, len(c.keys)], pa.int32()), c.keys)
+            columns = [pa.array([c.name]), pa.array([c.seal]), keys, pa.array([c.lengths.astype(np.int64).tobytes()], pa.binary()), pa.array([planes.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(streamed, schema)
+
+
+def _scores(stream: pa.Table, answers: pa.Table, total: int, distinct: int) -> pa.Table:
+    """The rows of one chunk, scored from what the parts answered."""
+    keys = stream.column("keys").combine_chunks()
+    lengths = np.frombuffer(stream.column("lengths")[0].as_buffer(), np.int64)
+    planes = np.frombuffer(stream.column("pairs")[0].as_buffer(), np.uint8).reshape(-1, int(lengths.sum()))
+    pairs = sum(plane.astype(np.int64) << (8 * i) for i, plane in enumerate(planes))
+    answers = answers.sort_by("part")
+    if set(answers.column("seal").to_pylist()) != set(stream.column("seal").to_pylist()):
+        raise RuntimeError("the rows came in another order when they were read again; write them to a table first")
+    counts, kept, followers, levels = (np.concatenate([np.frombuffer(x, kind) for x in answers.column(name).to_pylist()]) for name, kind in (("counts", "f8"), ("kept", "f8"), ("followers", "u4"), ("levels", "u1")))
+    before = np.repeat(np.arange(len(counts)), followers)[pairs]
+    begins = np.cumsum(lengths) - lengths
+    # A token is the first word of the next token's bigram; the last one is an end, as what stands before a row.
+    word = np.empty_like(before)
+    word[:-1] = before[1:]
+    word[begins + lengths - 1] = before[begins[0]]
+    count, context, kept = counts[word], counts[before], kept[before]
+    unigram = (count + ADDED) / (total + ADDED * (distinct + 1))
+    # A context that was never seen needs no probe.
+    pair = np.where(kept > 0, of_level(levels.astype(np.int64))[pairs], 0.0)
+    # What the filter rounds off a context's counts goes to the unigrams, so that all adds up to one.
+    smoothed = (pair + (PRIOR + np.maximum(context - kept, 0)) * unigram) / (np.maximum(context, kept) + PRIOR)
+    sums = [np.add.reduceat(x, begins) for x in (count > 0, np.log10(unigram), np.log10(np.minimum(smoothed, 1.0)))]
+    columns = [keys.flatten(), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+    return pa.table(columns, names=["key", "n_tokens", "n_known", "base_score", "score"])
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -270,78 +270,32 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(crc_of_id(key) % 10 == 0, F.lit(False))
 
 
-def _probed(rows: DataFrame, shards: list[Broadcast], total: int, distinct: int) -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) for `rows(key, text)`.
-
-    A few megabytes of tokens at a time meet one shard after another, so a worker holds one shard at most.
-    """
-    fields = [rows.schema["key"], *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields]
-    below = total + ADDED * (distinct + 1)
-
-    def scored(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        words, lengths = np.concatenate([w for _, w, _ in held]), np.concatenate([n for _, _, n in held])
-        begins, state = np.cumsum(lengths) - lengths, np.zeros((4, len(words)))
-        for shared in shards:
-            Shard(**shared.value).fill(words, state)
-            # A worker would keep every shard it has loaded.
-            shared.__dict__.pop("_value", None)
-        count, pair, context, kept = state
-        unigram = (count + ADDED) / below
-        # What the filter rounds off a context's counts goes to the unigrams, so that all adds up to one.
-        smoothed = (pair + (PRIOR + np.maximum(context - kept, 0)) * unigram) / (np.maximum(context, kept) + PRIOR)
-        sums = [np.add.reduceat(x, begins) for x in (count > 0, np.log10(unigram), np.log10(np.minimum(smoothed, 1.0)))]
-        keys = pa.concat_arrays([k for k, _, _ in held])
-        columns = [keys, pa.array(lengths.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "n_known", "base_score", "score"])
-
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for start, stop, data, offsets in slices(batch.column(1)):
-                words, begins = tokens(data, offsets)
-                held.append((batch.column(0).slice(start, stop - start), words, np.diff(begins)))
-                size += len(words)
-                if size > GROUP_TOKENS:
-                    yield scored(held)
-                    held, size = [], 0
-        if held:
-            yield scored(held)
-
-    return rows.mapInArrow(probed, T.StructType(fields))
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", learn: Column | None = None, model_bytes: int = MODEL_BYTES) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", learn: Column | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
     Learns from the rows where `learn` holds (by default those not held out). base_score is the unigram model with
     0.1 added to every exact count, score the bigram model: quantised bigram counts come from membership probes of
     a Bloom filter of all bigrams, one entry for each level of a bigram's count, and what they round off a context's
-    occurrences goes to the unigrams. Contexts are 4,194,304 classes of words by hash. The model grows with the corpus, so it
-    is cut by hash into shards of `model_bytes` at most, each broadcast on its own; the scores do not depend on their
-    number. Null and empty texts have one token, the end. Without rows to learn from every token has probability
-    1. Further columns are not read.
+    occurrences goes to the unigrams. Null and empty texts have one token, the end; a null `learn` is false. Without rows
+    to learn from every token has probability 1. Further columns are not read; an empty table gives an empty result.
+
+    The model grows with the corpus and is never in one place: the distinct words and bigrams of each chunk of text travel
+    to the parts that own them, where the part of the filter is built, probed and dropped again; the answers meet
+    the chunk's tokens. Parts follow the size of the texts, `part_bytes` each. The texts are read twice, and have to come in the same order:
+    from files, as they do, or else the second reading raises an error.
     """
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    counted = save(counts(docs.where(~held_out(key) if learn is None else learn).select(F.col(text).cast("string"))), "counts")
-    total = counted.where(~F.col("pair")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = save(parts(counted), "model")
-    # Bytes by part and kind: 12,288 rows at most.
-    lengths = {(r[0], r[1]): (r[2], r[3]) for r in model.select("part", "kind", F.length("a"), F.length("b")).collect()}
-    sizes = dict.fromkeys(range(_PARTS), 0)
-    for (part, _), n in lengths.items():
-        sizes[part] += sum(n)
-    rounds, low, held = [], 0, 0
-    for part in range(_PARTS):
-        if held and held + sizes[part] > model_bytes:
-            rounds.append((low, part))
-            low, held = part, 0
-        held += sizes[part]
-    rounds.append((low, _PARTS))
-    context = docs.sparkSession.sparkContext
-    shards = []
-    for low, high in rounds:
-        shards.append(context.broadcast(shard(model, low, high, lengths).__dict__))
-        # Sent from its file; the driver need not hold it too.
-        shards[-1].__dict__.pop("_value", None)
-    rows = _probed(narrow, shards, total[0], total[1])
-    return rows.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(total[0]).cast("long").alias("train_tokens"), "base_score", "score")
+    chosen = F.coalesce(~held_out(key) if learn is None else learn, F.lit(False))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), chosen.alias("learn"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, 1 << (-(-size // part_bytes) - 1).bit_length()) if size else 1
+    answers = save(asked(rows, parts).groupBy("part").applyInArrow(_part_answers, _ANSWERED), "answers")
+    total, distinct = answers.where("chunk = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    fields = [T.StructField("key", docs.schema[key].dataType), *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields]
+    schema = T.StructType(fields)
+
+    def scored(stream: pa.Table, mine: pa.Table) -> pa.Table:
+        return _scores(stream, mine, total, distinct)
+
+    known = answers.where("chunk >= 0").groupBy("chunk")
+    found = _streams(rows).groupBy("chunk").cogroup(known).applyInArrow(scored, schema)
+    return found.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
