@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from rowlens.llm.common import save
 
-# A line goes if it is on more than this share of the pages of its host ...
+# A line goes if it is on more than this share of the pages of its host, and on two of them at least: every line of a
+# host of one page is on all of its pages.
 RATIO = 0.3
-# ... and the host has this many pages at least: on a few pages a share says nothing.
-LEAST_PAGES = 5
+LEAST_REPEATS = 2
 
 _BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul"
 # What ends a line: comments, scripts, styles, doctypes, block tags and line feeds.
@@ -30,7 +30,7 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(host, frequent): hashes of the boilerplate lines of each host that has any, for `pages(host, lines)`.
 
     Each page counts a line once. Lines and hosts are counted in the tasks before they are shuffled, as hashes. A
@@ -38,23 +38,23 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     however many pages the host has.
     """
     rows = pages.where("host is not null")
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
-    counted = each.groupBy("host", "line").agg(F.count("*").alias("n"))
+    counted = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_REPEATS)
     frequent = counted.join(totals, "host").where(F.col("n") / F.col("pages") > ratio)
     return frequent.groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
-def drop_boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO) -> DataFrame:
     """(key, host, n_lines, n_dropped, text) for every row of `pages`: its lines without its host's boilerplate.
 
     A line of a page is text between block tags; one that is on more than `ratio` of the pages of its host goes from all of
-    them, every time it occurs. Pages without a host, and hosts of fewer than `least_pages` pages, lose nothing. Null
+    them, every time it occurs, if it is on two pages at least. Pages without a host, and the only page of a host, lose nothing. Null
     and empty pages have no lines and empty text, but count for their host; repeated rows count as pages and
     keep rows of their own. Further columns are not read; an empty table gives an empty result.
     """
     lined = pages.select(F.col(key).alias("key"), host_of(F.col(url).cast("string")).alias("host"), html_lines(F.col(html).cast("string")).alias("lines"))
-    known = save(boilerplate(lined.select("host", "lines"), ratio, least_pages), "boilerplate")
+    known = save(boilerplate(lined.select("host", "lines"), ratio), "boilerplate")
     known = known.withColumnRenamed("host", "__host")
     joined = lined.join(known, F.col("host") == F.col("__host"), "left")
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("frequent"), F.xxhash64(x)), F.lit(False)))

@@ -154,7 +154,7 @@ WITH s AS (SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extrac
            FROM pages),
      t AS (SELECT host, count(*) AS pages FROM s WHERE host IS NOT NULL GROUP BY host),
      n AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(w)) AS line FROM s WHERE host IS NOT NULL) GROUP BY ALL),
-     f AS (SELECT host, list(line) AS frequent FROM n JOIN t USING (host) WHERE pages >= 5 AND n / pages > 0.3 GROUP BY host),
+     f AS (SELECT host, list(line) AS frequent FROM n JOIN t USING (host) WHERE n >= 2 AND n / pages > 0.3 GROUP BY host),
      k AS (SELECT page_id, s.host AS host, w, list_filter(w, lambda x: NOT coalesce(list_contains(frequent, x), false)) AS kept
            FROM s LEFT JOIN f ON s.host = f.host)
 SELECT page_id, host, len(w)::BIGINT AS n_lines, (len(w) - len(kept))::BIGINT AS n_dropped,
