@@ -114,9 +114,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_word
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, text): `docs` without the passages that are copies of an earlier row's; keys must be distinct."""
-    gone = repeats(docs, key, text, least_words).where("copy").groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("gone"))
-    joined = docs.select(F.col(key), F.col(text).cast("string").alias("text")).join(gone, F.col(key).eqNullSafe(F.col("__key")), "left")
+    """(key, text): every row of `docs` without the passages that are copies of an earlier row's.
+
+    Rows are numbered and written first, so rows with equal keys, or none, lose what is a copy in themselves alone; earlier
+    is the order in which the written rows are read, and of equal rows one keeps its text. Null and empty texts stay as they are.
+    """
+    narrow = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).cast("string").alias("text"))
+    rows = save(narrow, "rows")
+    copies = repeats(rows, "__row", "text", least_words).where("copy")
+    gone = copies.groupBy(F.col("__row").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("gone"))
+    joined = rows.join(gone, F.col("__row") == F.col("__of"), "left")
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -133,4 +140,4 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words
             out.append(raw)
         return pa.array(out, pa.string())
 
-    return joined.select(key, cut("text", "gone").alias("text"))
+    return joined.select(F.col("__key").alias(key), cut("text", "gone").alias("text"))

@@ -18,12 +18,6 @@ from rowlens.llm.components import components
 SHINGLE_WORDS = 3
 RADIUS = 3
 
-# Where a stage wants near-duplicates of similarity 0.8: shingles of five words, and 256 bits of which a fifth may
-# differ. 64 bits could not tell that from chance: one in four million unrelated pairs has 12 differing bits or fewer.
-STAGE_WORDS = 5
-STAGE_LANES = 4
-STAGE_RADIUS = 51
-
 # A tile holds fingerprints with the same population counts of all parts.
 TILE = 1024
 
@@ -223,8 +217,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.join(named, "fp").select(F.col("key").alias(key), "text_hash", "fp", "component", "kept_hash")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, lanes: int = STAGE_LANES) -> DataFrame:
-    """The rows of `docs` with one row left of each near-duplicate group, all columns as they were.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
+    """The rows of `docs` with one row left of each group of `near_duplicates`, all columns as they were.
 
     Stays: the row with the group's smallest key (of several, the least hash of the text; of repeated rows, any one).
     """

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from rowlens.llm.common import save
 
-KEY = "rowlens"
-
 # Titles and given names by gender, and the letters of each script.
 MALE_TITLES = "Mr Herr Monsieur Señor Sr Signor г-н господин κύριος"
 FEMALE_TITLES = "Mrs Ms Miss Frau Madame Mme Señora Sra Signora г-жа госпожа κυρία"
@@ -111,7 +109,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def given_names(key: str = KEY) -> dict[str, str]:
+def given_names(key: str) -> dict[str, str]:
     """The replacement of each given name: the next one of its list in a keyed order, so none is its own and no two are alike."""
     out = {}
     for kind, names in GIVEN_NAMES.items():
@@ -120,7 +118,7 @@ def given_names(key: str = KEY) -> dict[str, str]:
     return out
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity: keyed by type, entity and attempt, of the same type, format and script."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 256)
     # A country code stays, as do a bank's country, the mark of a cloud key and a card's first digit.
@@ -140,7 +138,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
             F.when(kind == "email", F.concat(F.substring_index(mapped, "@", 1), longer, top))
             .when(kind == "ip", F.array_join(octets, "."))
             .when(kind == "card", F.concat(stem, check.cast("string")))
-            .when(kind.isin("phone", "cloud_key", "iban", "ssn"), mapped)
+            .when(kind.isin("phone", "cloud_key", "iban", "ssn"), F.concat(mapped, F.translate(longer, "abcdefghijklmnop", "0123450123456789")))
             .when(F.startswith(kind, F.lit("given_")), given)
             .otherwise(F.concat(mapped, longer))
         )
@@ -148,11 +146,12 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     return _let(F.struct(_mapped(entity, digest, keep).alias("mapped"), digest.alias("digest")), formed)
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, attempt, surrogate) for distinct `entities(kind, entity)`: no two of a kind alike, none a real one.
 
     An entity whose surrogate an earlier one has, or that is itself found in the table, tries again with the next
-    attempt until none is left; what is left shrinks with every round. Given names come from short lists, of which
+    attempt until none is left. What is left shrinks with every round: from the fourth attempt on, surrogates other than IP addresses and
+    cards, of which there are billions, grow by a sign each time, so that forms of which the table holds most values run out of none. Given names come from short lists, of which
     each name has another one, distinct by construction, so they need no check; all of a list may be real ones.
     """
     every = entities.where(~F.startswith("kind", F.lit("given_")))
@@ -171,13 +170,13 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         placed = save(moved.select("kind", "entity", "attempt", renewed.alias("surrogate")), "surrogates")
 
 
-def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, n_entities, n_replaced) for every row of `docs`: its text with surrogates for all that was detected.
 
     An entity has the same surrogate wherever it occurs, and no other entity of its kind has it; kinds, lengths, signs,
     scripts, case, checksums, a title's gender and the gender of given names stay. Long numbers that are no card
     number stay as they are. Null stays null and counts nothing; rows with equal keys are told apart by their texts, equal
-    rows get equal results. Texts are never shuffled for their entities: a surrogate follows from its entity, and only
+    rows get equal results. Whoever knows `secret` can make the surrogates again. Texts are never shuffled for their entities: a surrogate follows from its entity, and only
     the few that had to try again are joined to the rows that mention them; a mention that a large share of rows
     hold is split by the skew join. Further columns are not read; an empty table gives an empty result.
     """

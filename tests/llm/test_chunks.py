@@ -48,3 +48,24 @@ def test_awkward_rows(awkward, documents):
     found = chunks.repeats(awkward).collect()
     assert {r["doc_id"] for r in found} == {5, 6}
     assert chunks.repeats(documents([])).count() == 0
+
+
+def test_rows_of_one_key_lose_only_their_own_copies(documents):
+    rng = random.Random(5)
+    passage, alone = text(rng, 70), text(rng, 100)
+    rows = [(1, f"{text(rng, 30)} {passage}"), (7, f"{passage} {text(rng, 30)}"), (7, alone), (None, f"{text(rng, 20)} {passage}"), (7, alone)]
+    left = [(r["doc_id"], r["text"]) for r in chunks.remove(documents(rows)).collect()]
+    # The unrelated text stays whole in its first row and goes from the second.
+    assert rows[0] in left and (7, alone) in left and len(left) == 5
+    assert sorted(len(t) for k, t in left if k == 7)[0] < 40
+    assert all(len(t) < len(passage) for k, t in left if k is None)
+
+
+def test_remove_of_awkward_rows(awkward, documents):
+    left = chunks.remove(awkward).collect()
+    before = awkward.select("doc_id", "text").collect()
+    assert len(left) == len(before)
+    assert {(r["doc_id"], r["text"]) for r in left if r["doc_id"] not in (5, 6)} == {(r["doc_id"], r["text"]) for r in before if r["doc_id"] not in (5, 6)}
+    # Two rows of one long text: one keeps it.
+    assert sorted(len(r["text"]) for r in left if r["doc_id"] in (5, 6)) == [0, max(len(r["text"] or "") for r in before)]
+    assert chunks.remove(documents([])).count() == 0

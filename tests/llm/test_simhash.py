@@ -68,12 +68,27 @@ def test_one_row_of_each_group_stays(awkward):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 5), (False, 7), (True, 0)]
 
 
-def test_near_copies_of_five_word_shingles(documents):
+def test_near_copies_go_and_unrelated_short_texts_stay(documents):
+    """A word more than 300 is a near copy; 3,000 texts of six words and an empty one have nothing in common."""
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
-    near = [*base[:150], "changed", *base[151:]]
-    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"w{rng.randrange(5000)}" for _ in range(300)))]
-    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(rows)).collect()) == [1, 3]
+    near = [*base, "more"]
+    short = [(10 + i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(6))) for i in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))), (4, ""), *short]
+    held = documents(rows)
+    values = {r["doc_id"]: int.from_bytes(r["fp"], "big") for r in simhash.near_duplicates(held).collect()}
+    assert (values[1] ^ values[2]).bit_count() <= simhash.RADIUS
+    assert sorted(r["doc_id"] for r in simhash.keep_one(held).collect()) == [1, 3, 4, *(i for i, _ in short)]
+
+
+def test_wider_fingerprints(documents):
+    """Several lanes tell texts apart at a wide radius, where one could not."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    near = [*base[:30], "changed", *base[31:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)))]
+    kept = simhash.keep_one(documents(rows), words=5, radius=51, lanes=4)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
 def test_empty(documents):

@@ -1,10 +1,14 @@
 import re
 
+import pytest
+
 from rowlens.llm import surrogates
 
+KEY = "test"
+
 
 def replaced(documents, rows):
-    return {r["doc_id"]: r for r in surrogates.replace(documents(rows)).collect()}
+    return {r["doc_id"]: r for r in surrogates.replace(documents(rows), KEY).collect()}
 
 
 def luhn(digits):
@@ -57,15 +61,35 @@ def test_what_is_no_entity_stays(documents):
 
 def test_surrogates_are_distinct_and_none_is_real(spark):
     entities = spark.createDataFrame([("family", f"{a}{b}") for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijkl"], "kind string, entity string")
-    found = surrogates.surrogates(entities).collect()
+    found = surrogates.surrogates(entities, KEY).collect()
     new = [r["surrogate"] for r in found]
     assert len(found) == 312 == len(set(new)) and not set(new) & {r["entity"] for r in found}
 
 
 def test_awkward_rows(awkward, documents):
-    found = surrogates.replace(awkward).collect()
+    found = surrogates.replace(awkward, KEY).collect()
     assert len(found) == 10
     assert sorted(str(r["text"]) for r in found) == sorted(str(r["text"]) for r in awkward.collect())
-    assert surrogates.replace(documents([])).count() == 0
-    twice = surrogates.replace(documents([(1, "x@y.org"), (1, "x@y.org"), (None, "x@y.org")])).collect()
+    assert surrogates.replace(documents([]), KEY).count() == 0
+    twice = surrogates.replace(documents([(1, "x@y.org"), (1, "x@y.org"), (None, "x@y.org")]), KEY).collect()
     assert len(twice) == 3 and len({r["text"] for r in twice}) == 1
+
+
+def test_a_key_has_to_be_given(documents):
+    with pytest.raises(TypeError):
+        surrogates.replace(documents([(1, "x@y.org")]))
+
+
+def test_a_dense_form_runs_out_of_no_surrogates(spark):
+    """60,000 of the 100,000 numbers of a form are real ones."""
+    entities = spark.range(60_000).selectExpr("'phone' AS kind", "concat('+1 ', substr(lpad(id, 5, '0'), 1, 1), ' ', substr(lpad(id, 5, '0'), 2, 2), ' ', substr(lpad(id, 5, '0'), 4, 2)) AS entity")
+    found = surrogates.surrogates(entities, KEY).collect()
+    new = [r["surrogate"] for r in found]
+    assert len(found) == 60_000 == len(set(new)) and not set(new) & {r["entity"] for r in found}
+    assert max(r["attempt"] for r in found) < 12
+
+
+def test_surrogates_follow_from_the_key(documents):
+    rows = [(1, "mail a.b@mail.org or call +1 (212) 555-1234")]
+    one, two, again = (surrogates.replace(documents(rows), k).first()["text"] for k in ("one", "two", "one"))
+    assert one == again != two
