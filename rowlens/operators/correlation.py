@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rowlens.functions.cells import number, round_half
 from rowlens.functions.labels import direction, report_strength, strength
 from rowlens.functions.small import small_table
+from rowlens.operators.numeric import Measure, extent
+from rowlens.operators.passes import one_scan
 from rowlens.operators.schema import numeric_columns
 
-# Columns per block. One aggregate holds the pairs of two blocks, whatever the number of columns,
-# so its code stays small; each row is seen once per pair of blocks, all in one scan.
-BLOCK = 2
+# Columns per block. The pairs of two blocks are figures of one aggregate that reads these columns alone.
+BLOCK = 8
 
 PAIRS_SCHEMA = "i int, j int, col1 string, col2 string, r double"
 
@@ -21,37 +24,66 @@ def correlations(df: DataFrame, columns: list[str], null_policy: str = "skip") -
     """(i, j, column i, column j, r) for i < j; r is 0 without two rows or without variance."""
     if len(columns) < 2:
         return []
-    blocks = [list(range(b, min(b + BLOCK, len(columns)))) for b in range(0, len(columns), BLOCK)]
-    tiles = [(p, q) for p in range(len(blocks)) for q in range(p, len(blocks))]
-    values = df.select(*[number(df, c, null_policy).alias(f"v{i}") for i, c in enumerate(columns)])
-
-    lefts = [f"x{s}" for s in range(BLOCK)]
-    rights = [f"y{s}" for s in range(BLOCK)]
-
-    def cells(block):
-        return [f"v{block[s]}" if s < len(block) else "double(null)" for s in range(BLOCK)]
-
-    stacked = ", ".join(
-        ", ".join([str(t), *cells(blocks[p]), *cells(blocks[q])]) for t, (p, q) in enumerate(tiles)
-    )
-    names = ", ".join(["tile", *lefts, *rights])
-    tiled = values.select(F.expr(f"stack({len(tiles)}, {stacked}) as ({names})"))
-    ratios = [_ratio(F.col(x), F.col(y)).alias(f"{x}{y}") for x in lefts for y in rights]
-    found = {r["tile"]: r for r in tiled.groupBy("tile").agg(*ratios).collect()}
-
-    pairs = {}
-    for t, (p, q) in enumerate(tiles):
-        for s, i in enumerate(blocks[p]):
-            for u, j in enumerate(blocks[q]):
-                if i < j:
-                    pairs[i, j] = found[t][f"x{s}y{u}"] if t in found else 0.0
-    return [(i, j, columns[i], columns[j], r) for (i, j), r in sorted(pairs.items())]
-
-
-def _ratio(x, y):
-    """Covariance over both deviations, each taken over the rows where x and y are both valid."""
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
+    return _co_moments(df, columns, *_measured(df, columns, null_policy), null_policy)
+
+
+def _measured(df: DataFrame, columns: list[str], null_policy: str) -> tuple[int, list[Measure]]:
+    """The number of rows and the first figures of every column, from one scan."""
+    found = one_scan(df, {("rows",): [F.count(F.lit(1)).alias("rows")], **{c: extent(df, c, null_policy) for c in columns}})
+    return found[("rows",)]["rows"], [Measure(c, *found[c]) for c in columns]
+
+
+def _co_moments(df: DataFrame, columns: list[str], rows: int, measures: list[Measure], null_policy: str) -> list[tuple]:
+    """The pairs from sums of products of deviations: mergeable, as all tasks measure from the same means.
+
+    Blocks of columns are taken two by two; rows are neither copied nor shuffled. A pair of columns without gaps costs one
+    sum, beside one a column; where cells are missing the sums run over the rows in which both are valid.
+    """
+    whole = [m.count == rows for m in measures]
+    varied = [m.count > 0 and m.min < m.max for m in measures]
+    d = [number(df, c, null_policy) - F.lit(m.mean if m.count else 0.0) for c, m in zip(columns, measures)]
+    states = {}
+    blocks = [range(b, min(b + BLOCK, len(columns))) for b in range(0, len(columns), BLOCK)]
+    for p, block in enumerate(blocks):
+        for other in blocks[p:]:
+            for i in block:
+                for j in other:
+                    if i <= j and varied[i] and varied[j]:
+                        states[i, j] = _products(d[i], d[j], whole[i] and whole[j])
+    found = one_scan(df, states)
+    pairs = []
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            r = 0.0
+            if (i, j) in found:
+                r = _full(found[i, j], found[i, i], found[j, j]) if whole[i] and whole[j] else _gapped(found[i, j])
+            pairs.append((i, j, columns[i], columns[j], r))
+    return pairs
+
+
+def _products(x: Column, y: Column, whole: bool) -> list[Column]:
+    """The state of a pair; x and y are deviations from their means, null where there is no number."""
+    if whole:
+        return [F.sum(x * y).alias("xy")]
+    own, other = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    sums = {"n": F.count(x * y), "x": F.sum(own), "y": F.sum(other), "xx": F.sum(own * own), "yy": F.sum(other * other), "xy": F.sum(x * y)}
+    ends = {"x0": F.min(own), "x1": F.max(own), "y0": F.min(other), "y1": F.max(other)}
+    return [figure.alias(name) for name, figure in {**sums, **ends}.items()]
+
+
+def _full(pair: Row, first: Row, second: Row) -> float:
+    spread = math.sqrt(first["xy"]) * math.sqrt(second["xy"])
+    return pair["xy"] / spread if spread > 0 else 0.0
+
+
+def _gapped(pair: Row) -> float:
+    """Covariance over both deviations, taken over the rows where x and y are both valid."""
+    if not pair["n"] or pair["x0"] == pair["x1"] or pair["y0"] == pair["y1"]:
+        return 0.0
+    xx = pair["xx"] - pair["x"] * pair["x"] / pair["n"]
+    yy = pair["yy"] - pair["y"] * pair["y"] / pair["n"]
+    spread = math.sqrt(max(xx, 0.0)) * math.sqrt(max(yy, 0.0))
+    return (pair["xy"] - pair["x"] * pair["y"] / pair["n"]) / spread if spread > 0 else 0.0
 
 
 def pairs_table(spark, pairs: list[tuple]) -> DataFrame:
@@ -79,15 +111,10 @@ def matrix_table(spark, columns: list[str], pairs: list[tuple], varied: dict[str
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, null_policy: str = "skip") -> DataFrame:
     """Long form of the full matrix; a constant column has 0 on the diagonal. Empty below 2 columns."""
     columns = numeric_columns(df) if columns is None else columns
-    varied = _varied(df, columns, null_policy)
-    return matrix_table(df.sparkSession, columns, correlations(df, columns, null_policy), varied)
-
-
-def _varied(df: DataFrame, columns: list[str], null_policy: str) -> dict[str, bool]:
-    from rowlens.operators.numeric import extremes
-
-    limits = {c: (low, high) for c, low, high in extremes(df, columns, null_policy)} if columns else {}
-    return {c: c in limits and limits[c][0] < limits[c][1] for c in columns}
+    rows, measures = _measured(df, columns, null_policy)
+    varied = {m.column: m.count > 0 and m.min < m.max for m in measures}
+    pairs = _co_moments(df, columns, rows, measures, null_policy) if len(columns) > 1 else []
+    return matrix_table(df.sparkSession, columns, pairs, varied)
 
 
 def report_table(pairs: DataFrame, k: int | None = None) -> DataFrame:

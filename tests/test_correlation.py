@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowlens.operators import correlation
+from tests.scans import scans
 
 
 def pearson(pairs):
@@ -51,6 +52,37 @@ def test_every_pair_once_and_strongest_first(spark, k):
     assert strengths == sorted(strengths, reverse=True)
 
 
+def test_two_scans_for_the_columns_of_a_block(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(20_000).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(8)]).write.parquet(path)
+    df = spark.read.parquet(path)
+    with scans(spark, 20_000) as counted:
+        assert correlation.correlation_pairs(df).count() == 28
+    assert counted() == 2
+
+
+def test_many_columns_some_with_gaps(spark):
+    """Blocks of columns meet in every combination, with values far from zero."""
+    names = [f"c{i}" for i in range(30)]
+    cells = [(F.pmod(F.hash("id", F.lit(i % 7)), F.lit(1000)) + 1e9 + i * F.col("id")).cast("double") for i in range(30)]
+    cells = [F.when(F.col("id") % (i + 2) != 0, c) if i % 3 == 0 else c for i, c in enumerate(cells)]
+    df = spark.range(400).select(*[c.alias(n) for c, n in zip(cells, names)])
+    rows = df.collect()
+    got = {k: r["value"] for k, r in found(df).items()}
+    assert len(got) == 435
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            pairs = [(r[a], r[b]) for r in rows if r[a] is not None and r[b] is not None]
+            assert got[a, b] == pytest.approx(pearson(pairs), abs=2e-4)
+
+
+def test_cells_that_are_no_numbers_are_gaps_in_every_column(spark):
+    nan = float("nan")
+    rows = [(nan, 1.0), (1.0, nan), (2.0, 3.0), (4.0, 5.0), (5.0, 9.0)]
+    got = found(spark.createDataFrame(rows, "a double, b double"))["a", "b"]["value"]
+    assert got == pytest.approx(pearson([(2, 3), (4, 5), (5, 9)]), abs=1e-4)
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(0.8,), (-0.6,), (0.4,), (0.2,), (0.1,), (0.7,)], "value double")
     labels = df.select(correlation.strength(F.col("value")), correlation.report_strength(F.col("value"))).collect()
