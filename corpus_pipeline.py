@@ -43,7 +43,7 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-# No SQL: a trained model and fingerprints of 64-bit hashes. tests/llm compares every stage with a plain version.
+# No SQL: a trained model and fingerprints of 64-bit hashes. tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
