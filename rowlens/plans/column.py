@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.functions.cells import percent
+from rowlens.functions.cells import column, percent
 from rowlens.functions.small import small_table
 from rowlens.operators import categorical, numeric, schema, table
 
@@ -37,3 +39,21 @@ def numeric_column(df: DataFrame, name: str, null_policy: str = "skip") -> tuple
 def categorical_column(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Profile and top values of any other column."""
     return categorical.frequencies(df, [name], df.count())
+
+
+@dataclass(frozen=True)
+class ColumnReport:
+    """All that is known of one column."""
+
+    overview: DataFrame
+    statistics: DataFrame  # the numeric or the categorical profile
+    distribution: DataFrame  # the histogram of numbers, the top values of others
+    samples: DataFrame  # the first distinct values in the stated order
+
+
+def column_report(df: DataFrame, name: str, order_by: list[str], null_policy: str = "skip", samples: int = 10) -> ColumnReport:
+    """The deep dive into one column, by its semantic type."""
+    types = schema.semantic_types(df.select(column(name)))
+    numbers = types[name] == "numeric"
+    found, spread = numeric_column(df, name, null_policy) if numbers else categorical_column(df, name)
+    return ColumnReport(column_overview(df, name, types), found, spread, categorical.sample_values(df, name, order_by, samples))

@@ -309,6 +309,16 @@ def systematic_sample(columns: str, table: str, order: str) -> str:
     )
 
 
+def column_report(name: str, spread: str, item: str) -> str:
+    """A column's distribution, and its first ten values by event_id."""
+    text = f"nullif(regexp_replace(CAST({name} AS VARCHAR), '\\.0$', ''), '')"
+    firsts = f"SELECT {text} AS item, min(event_id) AS first FROM ({KEYED_GAPS_SQL}) WHERE {text} IS NOT NULL GROUP BY 1"
+    return (
+        f"SELECT 'distribution' AS part, CAST({item} AS VARCHAR) AS item, CAST(count AS BIGINT) AS count FROM ({spread}) UNION ALL "
+        f"SELECT 'sample', item, NULL FROM (SELECT * FROM ({firsts}) ORDER BY first LIMIT 10)"
+    )
+
+
 def infer_types() -> str:
     texts = [name for name, _ in TEXT_CELLS if name not in ("event_id", "active")]
     rows = ["SELECT 0 AS position, 'event_id' AS \"column\", 'numeric' AS semantic_type"]
@@ -375,18 +385,18 @@ def catalog() -> str:
     return union(rows)
 
 
-GAPS_MEMORY = memory(
-    f"({GAPS_SQL})",
-    {
-        "kind": json_text("kind"),
-        "tag": json_text("tag"),
-        "amount": json_double("amount"),
-        "mostly_null": json_double("mostly_null"),
-        "constant": json_double("constant"),
-        "flag": json_int("flag"),
-        "near_constant": json_text("near_constant"),
-    },
-)
+GAPS_LENGTHS = {
+    "kind": json_text("kind"),
+    "tag": json_text("tag"),
+    "amount": json_double("amount"),
+    "mostly_null": json_double("mostly_null"),
+    "constant": json_double("constant"),
+    "flag": json_int("flag"),
+    "near_constant": json_text("near_constant"),
+}
+GAPS_MEMORY = memory(f"({GAPS_SQL})", GAPS_LENGTHS)
+
+KEYED_GAPS_MEMORY = memory(f"({KEYED_GAPS_SQL})", {"event_id": json_int("event_id"), **GAPS_LENGTHS})
 
 # Quality rules over the derived table
 
@@ -661,6 +671,8 @@ ORACLES: dict[str, str] = {
     "project_numeric": f"SELECT {', '.join(LINEITEM_ALL)} FROM lineitem",
     "preview": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50",
     "dataset_detail": dataset_detail(),
+    "dataset_size": f"SELECT (SELECT count(*) FROM events) AS rows, CAST({len(GAP_COLUMNS) + 1} AS BIGINT) AS cols, memory_mb FROM ({KEYED_GAPS_MEMORY})",
+    "dataset_preview": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50",
     "filter_eq": filtered("kind = 'click'"),
     "filter_eq_number": filtered("l_linenumber = 3", "SELECT * FROM lineitem"),
     "filter_neq": filtered("kind IS DISTINCT FROM 'click'"),
@@ -753,6 +765,8 @@ ORACLES: dict[str, str] = {
         + ' AS null_pct, unique_count FROM top t JOIN cat c ON c."column" = t."column" '
         'JOIN totals s ON s."column" = t."column" WHERE rank <= 20',
     ),
+    "column_report_numeric": column_report("amount", histogram(GAPS_SQL, ["amount"]), "bin"),
+    "column_report_categorical": column_report("tag", top_values(GAPS_SQL, ["tag"]), "value"),
     "sample_values": "SELECT 'value' AS \"column\", value FROM (SELECT regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') "
     "AS value, min(event_id) AS first FROM events WHERE value IS NOT NULL GROUP BY 1 ORDER BY first LIMIT 10)",
     "full_eda": metrics(

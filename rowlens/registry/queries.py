@@ -18,7 +18,7 @@ from rowlens.operators import categorical, correlation, numeric, outliers, sampl
 from rowlens.operators import query as builder
 from rowlens.operators.query import Filter
 from rowlens.plans import column as column_report
-from rowlens.plans import eda, quality, report
+from rowlens.plans import detail, eda, quality, report
 from rowlens.registry.tables import (
     BANDS,
     EMPTYISH,
@@ -194,9 +194,7 @@ def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = keyed_gaps(spark, sf_dir)
-    kinds = schema.infer_types(df).select("position", "column", "semantic_type")
-    return kinds.join(F.broadcast(table.null_counts(df)), "column")
+    return detail.dataset_detail(keyed_gaps(spark, sf_dir)).columns.drop("spark_type")
 
 
 # Profiles
@@ -217,6 +215,18 @@ def _column_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(F.broadcast(shared), "column")
 
 
+def _column_report(name: str) -> Callable[[DataFrame], DataFrame]:
+    """Distribution and samples of a column's report in long form."""
+
+    def run(df):
+        found = column_report.column_report(df, name, ["event_id"])
+        item = F.col("bin").cast("string") if "bin" in found.distribution.columns else F.col("value")
+        spread = found.distribution.select(F.lit("distribution").alias("part"), item.alias("item"), F.col("count").cast("long").alias("count"))
+        return spread.unionByName(found.samples.select(F.lit("sample").alias("part"), F.col("value").alias("item"), F.lit(None).cast("long").alias("count")))
+
+    return _on_keyed_gaps(run)
+
+
 def _report_correlation(df: DataFrame) -> DataFrame:
     pairs = correlation.correlation_pairs(df, LINEITEM_NUMERIC)
     return correlation.report_table(pairs)
@@ -274,6 +284,8 @@ QUERIES: dict[str, Query] = {
     "project_numeric": _on("lineitem", schema.project_numeric),
     "preview": _on("orders", lambda df: table.preview(df, ["o_orderdate", "o_orderkey"])),
     "dataset_detail": dataset_detail,
+    "dataset_size": _on_keyed_gaps(lambda df: detail.dataset_detail(df).size),
+    "dataset_preview": _on("orders", lambda df: detail.dataset_detail(df, ["o_orderdate", "o_orderkey"]).preview),
     "filter_eq": _filtered(Filter("kind", "eq", "click")),
     "filter_eq_number": _on("lineitem", lambda df: builder.apply_filters(df, [Filter("l_linenumber", "eq", "3")])),
     "filter_neq": _filtered(Filter("kind", "neq", "click")),
@@ -330,6 +342,8 @@ QUERIES: dict[str, Query] = {
     "memory_estimate_orders": _on("orders", table.memory_estimate),
     "column_numeric": _column_numeric,
     "column_categorical": _column_categorical,
+    "column_report_numeric": _column_report("amount"),
+    "column_report_categorical": _column_report("tag"),
     "sample_values": _on("events", lambda df: categorical.sample_values(df, "value", ["event_id"])),
     "full_eda": full_eda,
     "full_eda_histogram": _on("orders", lambda df: eda.full_profile(df).histogram),

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from rowlens.plans import column, eda, quality, report
+from rowlens.plans import column, detail, eda, quality, report
 from tests.scans import scans
 
 
@@ -180,3 +180,28 @@ def test_column_report(table, spark):
     assert found.first()["unique_count"] == 2 and top.count() == 2
     empty = spark.createDataFrame([], "a string")
     assert tuple(column.column_overview(empty, "a").first()) == ("a", "categorical", 0, None, 0)
+
+
+def test_dataset_detail_takes_one_scan(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(20_000).selectExpr("id", "string(id) AS written", "IF(id % 4 = 0, '', 'x') AS s").write.parquet(path)
+    df = spark.read.parquet(path)
+    with scans(spark, 20_000) as counted:
+        found = detail.dataset_detail(df, ["id"], k=3)
+    assert counted() == 1
+    assert [tuple(r)[1:] for r in found.columns.collect()] == [
+        ("id", "bigint", "numeric", 0), ("written", "string", "numeric", 0), ("s", "string", "categorical", 5000)
+    ]
+    size = found.size.first()
+    assert (size["rows"], size["cols"]) == (20_000, 3) and size["memory_mb"] > 0
+    assert [r["id"] for r in found.preview.collect()] == [0, 1, 2]
+    empty = detail.dataset_detail(df.where("false"))
+    assert tuple(empty.size.first()) == (0, 3, 0.0) and empty.preview.count() == 0
+
+
+def test_whole_column_report(table):
+    found = column.column_report(table, "skewed", ["n"], samples=3)
+    assert found.overview.first()["dtype"] == "numeric" and found.distribution.count() == 20
+    assert [r["value"] for r in found.samples.collect()] == ["0", "1", "64"]
+    found = column.column_report(table, "half", ["n"])
+    assert found.statistics.first()["unique_count"] == 1 and [r["value"] for r in found.distribution.collect()] == ["x"]
