@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlens.functions.cells import NUMBER_PATTERN, column, data_type, is_missing, is_text, number
+from rowlens.functions.small import pinned
 
 COMPARISONS = ("gt", "gte", "lt", "lte")
 OPERATORS = ("eq", "neq", *COMPARISONS, "contains", "not_contains", "is_null", "not_null")
@@ -180,6 +182,8 @@ class QueryResult:
 
     rows: DataFrame
     unlimited: DataFrame = field(repr=False)
+    order: Callable[[DataFrame], DataFrame] | None = field(default=None, repr=False)
+    limit: int | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -188,6 +192,21 @@ class QueryResult:
     def total_count(self) -> int:
         return self.unlimited.count()
 
+    def fetch(self) -> tuple[DataFrame, int]:
+        """The limited rows as a local relation, and total_count.
+
+        Sorted rows are counted on their way to the sort, so both come from one scan. Without an order Spark stops reading
+        at the limit, and the rows are counted by a scan of their own.
+        """
+        if self.limit is None:
+            raise ValueError("only a limited number of rows is fetched")
+        if self.order is None or self.limit == 0:
+            return pinned(self.rows), self.total_count()
+        seen = Observation()
+        counted = self.unlimited.observe(seen, F.count(F.lit(1)).alias("rows"))
+        found = pinned(limit_rows(self.order(counted), self.limit))
+        return found, seen.get["rows"]
+
 
 def run_query(
     df: DataFrame,
@@ -207,5 +226,10 @@ def run_query(
         result = aggregate(result, group_by, aggregation, agg_column, null_policy)
     elif aggregation is not None or agg_column is not None:
         raise ValueError("an aggregation needs group_by")
-    ordered = result if sort_by is None else sort_rows(result, sort_by, sort_dir, locale)
-    return QueryResult(limit_rows(ordered, limit), result)
+    if sort_by is None:
+        return QueryResult(limit_rows(result, limit), result, None, limit)
+
+    def order(rows: DataFrame) -> DataFrame:
+        return sort_rows(rows, sort_by, sort_dir, locale)
+
+    return QueryResult(limit_rows(order(result), limit), result, order, limit)

@@ -237,8 +237,8 @@ def _sorted(df: DataFrame) -> DataFrame:
 
 
 def _limited(df: DataFrame) -> DataFrame:
-    result = builder.run_query(df, sort_by="event_id", limit=500)
-    return result.rows.withColumn("total_count", F.lit(result.total_count()).cast("long"))
+    rows, total = builder.run_query(df, sort_by="event_id", limit=500).fetch()
+    return rows.withColumn("total_count", F.lit(total).cast("long"))
 
 
 def _full_query(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from rowlens.operators.query import Filter, aggregate, apply_filters, condition, run_query, sort_rows
+from tests.scans import scans
 
 SCHEMA = "id int, n double, s string, b boolean, d timestamp_ntz"
 
@@ -115,6 +116,23 @@ def test_limit_and_total(spark):
     assert run_query(df, limit=0).rows.count() == 0
 
 
+def test_rows_and_their_count_take_one_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(30_000).selectExpr("id", "id % 7 AS k").write.parquet(path)
+    df = spark.read.parquet(path)
+    with scans(spark, 30_000) as counted:
+        rows, total = run_query(df, [Filter("k", "gt", "2")], sort_by="id", sort_dir="desc", limit=3).fetch()
+    assert counted() == 1
+    assert ([r["id"] for r in rows.collect()], total) == ([29_999, 29_998, 29_994], sum(i % 7 > 2 for i in range(30_000)))
+    grouped, groups = run_query(df, group_by="k", aggregation="count", sort_by="k", limit=2).fetch()
+    assert ([r["k"] for r in grouped.collect()], groups) == ([0, 1], 7)
+    for result in (run_query(df, limit=4), run_query(df, sort_by="id", limit=0), run_query(df.where("false"), sort_by="id", limit=4)):
+        found, total = result.fetch()
+        assert (found.count(), total) == (result.rows.count(), result.total_count())
+    with pytest.raises(ValueError):
+        run_query(df, sort_by="id").fetch()
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).selectExpr("id", "string(id) AS s", "id * 2 AS unused").write.parquet(path)
