@@ -15,9 +15,11 @@ from rowlens.registry.tables import (
     HALF_FULL,
     MIXED_CELL,
     MIXED_FILE,
+    SEVERITIES,
     SPIKES,
     TABLES,
     TEXT_CELLS,
+    WARNINGS,
     select,
 )
 
@@ -208,6 +210,15 @@ def correlation_pairs(source: str, columns: list[str]) -> str:
     )
 
 
+def correlation_report(source: str, columns: list[str]) -> str:
+    return with_tables(
+        {"src": source, **correlation_ctes(columns)},
+        "SELECT col1, col2, value, CASE WHEN abs(value) >= 0.7 THEN 'Strong' WHEN abs(value) >= 0.4 THEN 'Moderate' "
+        "ELSE 'Weak' END AS strength, CASE WHEN value > 0 THEN 'Positive' ELSE 'Negative' END AS direction "
+        f"FROM (SELECT *, {half('r')} AS value FROM corr) ORDER BY abs(value) DESC, col1, col2",
+    )
+
+
 def correlation_matrix(source: str, columns: list[str]) -> str:
     same = [
         f"SELECT '{c}' AS row_col, '{c}' AS col_col, CASE WHEN min({c}) < max({c}) THEN 1.0::DOUBLE "
@@ -247,8 +258,8 @@ OUTLIER_SEVERITY = (
 )
 
 
-def outliers(tail: str) -> str:
-    return with_tables({**numbers(GAPS_SQL, GAPS_NUMERIC), **outlier_ctes()}, tail)
+def outliers(tail: str, source: str = GAPS_SQL, columns: list[str] = GAPS_NUMERIC) -> str:
+    return with_tables({**numbers(source, columns), **outlier_ctes()}, tail)
 
 
 def outlier_total() -> str:
@@ -521,6 +532,7 @@ CUSTOMER_CTES = quality_ctes("SELECT * FROM customer", CUSTOMER_NUMERIC, CUSTOME
 SPIKES_CTES = quality_ctes(select(SPIKES, "lineitem"), ["quantity", "spike"], ["line", "returned"], [name for name, _ in SPIKES])
 HALF_FULL_CTES = quality_ctes(select(HALF_FULL, "events"), ["amount", "event_id"], ["kind"], [name for name, _ in HALF_FULL])
 EMPTYISH_CTES = quality_ctes(select(EMPTYISH, "events"), ["amount", "one"], ["kind"], [name for name, _ in EMPTYISH])
+WARNINGS_CTES = quality_ctes(select(WARNINGS, "events"), ["amount"], ["label"], [name for name, _ in WARNINGS])
 ALL_RULES = ISSUES + FINDINGS + INSIGHTS + RECOMMENDATIONS + UNUSUAL
 
 
@@ -724,15 +736,12 @@ ORACLES: dict[str, str] = {
     "correlation_pairs_all": correlation_pairs("SELECT * FROM lineitem", LINEITEM_ALL),
     "correlation_pairs_gaps": correlation_pairs(GAPS_SQL, GAPS_NUMERIC),
     "correlation_matrix": correlation_matrix(GAPS_SQL, GAPS_NUMERIC),
-    "correlation_report": with_tables(
-        {"src": "SELECT * FROM lineitem", **correlation_ctes(LINEITEM_NUMERIC)},
-        "SELECT col1, col2, value, CASE WHEN abs(value) >= 0.7 THEN 'Strong' WHEN abs(value) >= 0.4 THEN 'Moderate' "
-        "ELSE 'Weak' END AS strength, CASE WHEN value > 0 THEN 'Positive' ELSE 'Negative' END AS direction "
-        f"FROM (SELECT *, {half('r')} AS value FROM corr) ORDER BY abs(value) DESC, col1, col2",
-    ),
+    "correlation_report": correlation_report("SELECT * FROM lineitem", LINEITEM_NUMERIC),
+    "correlation_report_bands": correlation_report(select(BANDS, "lineitem"), [name for name, _ in BANDS]),
     "outliers": outliers(f"SELECT {OUTLIER_COLUMNS} FROM outliers"),
     "report_outliers": outliers(OUTLIER_SEVERITY),
     "outlier_severity": outliers(OUTLIER_SEVERITY),
+    "outlier_severity_bands": outliers(OUTLIER_SEVERITY, select(SEVERITIES, "events"), [name for name, _ in SEVERITIES]),
     "outlier_total": outlier_total(),
     "duplicate_rows": duplicates("text, lang", "SELECT * FROM documents"),
     "duplicate_rows_gaps": duplicates(", ".join(GAP_COLUMNS), GAPS_SQL),
@@ -804,6 +813,7 @@ ORACLES: dict[str, str] = {
     "rules_customer": rules(ALL_RULES, CUSTOMER_CTES),
     "rules_spikes": rules(ALL_RULES, SPIKES_CTES),
     "rules_emptyish": rules(ALL_RULES, EMPTYISH_CTES),
+    "rules_warnings": rules(ALL_RULES, WARNINGS_CTES),
     "quality_score_customer": quality_score(CUSTOMER_CTES),
     "quality_score_half_full": quality_score(HALF_FULL_CTES),
     "quality_score_emptyish": quality_score(EMPTYISH_CTES),

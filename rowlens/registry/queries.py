@@ -28,9 +28,11 @@ from rowlens.registry.tables import (
     HALF_FULL,
     MIXED_CELL,
     MIXED_FILE,
+    SEVERITIES,
     SPIKES,
     TABLES,
     TEXT_CELLS,
+    WARNINGS,
     derive,
     load,
 )
@@ -330,11 +332,13 @@ QUERIES: dict[str, Query] = {
     "correlation_pairs_all": _on("lineitem", lambda df: correlation.correlation_pairs(df)),
     "correlation_pairs_gaps": _on_gaps(lambda df: correlation.correlation_pairs(df, GAPS_NUMERIC)),
     "correlation_matrix": _on_gaps(lambda df: correlation.correlation_matrix(df, GAPS_NUMERIC)),
+    "correlation_report_bands": _on("lineitem", lambda df: correlation.report_table(correlation.correlation_pairs(derive(df, BANDS)))),
     "correlation_report": _on("lineitem", _report_correlation),
     "outliers": _on_gaps(lambda df: outliers.outliers(df, GAPS_NUMERIC)),
     "report_outliers": _on_gaps(lambda df: report.outlier_table(eda.full_profile(df), df)),
     "strong_pairs": _on("lineitem", lambda df: correlation.strong_count(correlation.correlation_pairs(df, LINEITEM_NUMERIC))),
     "outlier_severity": _on_gaps(lambda df: outliers.with_severity(outliers.outliers(df, GAPS_NUMERIC))),
+    "outlier_severity_bands": _on("events", lambda df: outliers.with_severity(outliers.outliers(derive(df, SEVERITIES)))),
     "outlier_total": _on_gaps(lambda df: outliers.outlier_total(df, GAPS_NUMERIC)),
     "duplicate_rows": _on("documents", lambda df: table.duplicate_rows(df.select("text", "lang"))),
     "duplicate_rows_gaps": _on_gaps(table.duplicate_rows),
@@ -361,6 +365,7 @@ QUERIES: dict[str, Query] = {
     "quality_score_emptyish": _on("events", lambda df: rounded(quality.table_score(derive(df, EMPTYISH)))),
     "rules_customer": _on("customer", _every_rule),
     "rules_spikes": _on("lineitem", lambda df: _every_rule(derive(df, SPIKES))),
+    "rules_warnings": _on("events", lambda df: _every_rule(derive(df, WARNINGS))),
     "rules_emptyish": _on("events", lambda df: _every_rule(derive(df, EMPTYISH))),
     "issues": _rules(quality.issues),
     "findings": _rules(quality.findings),

@@ -77,6 +77,18 @@ EMPTYISH = [
     ("kind", "CASE WHEN event_id % 7 = 0 THEN event_type END"),
 ]
 
+# One column of numbers, a fifth of the texts missing, and a row in 25 that repeats another.
+WARNINGS = [
+    ("amount", "CASE WHEN event_id % 25 = 0 THEN CAST(1 AS DOUBLE) ELSE value + event_id END"),
+    ("label", "CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(event_type, CAST(event_id AS VARCHAR(20))) END"),
+]
+# An eighth, a twentieth and none of the numbers lie far from the others.
+SEVERITIES = [
+    ("far_often", "CASE WHEN event_id % 8 = 0 THEN CAST(100000 AS DOUBLE) ELSE CAST(event_id % 10 AS DOUBLE) END"),
+    ("far_seldom", "CASE WHEN event_id % 20 = 0 THEN CAST(-100000 AS DOUBLE) ELSE CAST(event_id % 10 AS DOUBLE) END"),
+    ("far_never", "CAST(event_id % 10 AS DOUBLE)"),
+]
+
 # Columns that correlate with the first by about 0.9, 0.6, 0.4 and 0.2, and one against it.
 BANDS = [
     ("base", "l_quantity"),
