@@ -10,24 +10,21 @@ from rowlens.functions.small import small_table
 from rowlens.sources.scratch import scratch_path
 
 SAMPLE_ROWS = 50_000
-# Largest group of rows with equal order keys that one task may put in order.
-TIE_LIMIT = 1_000_000
 
 # monotonically_increasing_id holds the partition number above this bit, the row number below.
 _ROW_BITS = 33
 
 
-def systematic_sample(
-    df: DataFrame, order_by: list[str], size: int = SAMPLE_ROWS, tie_limit: int = TIE_LIMIT
-) -> DataFrame:
+def systematic_sample(df: DataFrame, order_by: list[str], size: int = SAMPLE_ROWS) -> DataFrame:
     """Rows at positions floor(i * rows / size), i < size; the whole table where it is no larger.
 
     ``order_by`` states the row order; rows that tie on it are taken in order of the other columns,
     so that the sample does not depend on how the table is laid out.
 
-    Only the order keys are sorted, over all executors, equal keys combined first. The sampled rows
-    are then picked from the table by key, a join that broadcasts them only if they are small. Where a sampled key is held by more rows than one task
-    should order, all columns serve as the key instead: rows that still tie are identical.
+    Only the order keys are sorted, over all executors, equal keys combined first. Where each sampled key is held by
+    one row, the rows are picked from the table by key, a join that broadcasts them only if they are small. Else the
+    rows of the sampled keys, and no others, are sorted by all columns over all executors, identical rows combined: a key
+    that holds a third of the table is spread like any other.
     """
     if size < 1:
         raise ValueError("size must be positive")
@@ -35,14 +32,9 @@ def systematic_sample(
     if total <= size:
         return df
     hits = _hits(df, order_by, total, size)
-    copies = hits.agg(F.max("_copies").alias("copies")).first()["copies"]
-    if copies == 1:
+    if hits.agg(F.max("_copies").alias("copies")).first()["copies"] == 1:
         return df.join(hits, _same(order_by), "left_semi")
-    if copies > tie_limit:
-        keys = order_by + [c for c in df.columns if c not in order_by]
-        found = _hits(df, keys, total, size)
-        return found.select(*[F.col(_key(keys.index(c))).alias(c) for c in df.columns])
-    return _picked(df, hits, order_by)
+    return _among_ties(df, hits, order_by, total, size)
 
 
 def _key(position: int) -> str:
@@ -50,11 +42,21 @@ def _key(position: int) -> str:
 
 
 def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
-    """Sampled positions: the keys, the rows that hold them, and the place among those rows.
+    """The keys that hold a sampled position: the rows that hold them, and the place of the first of these rows.
+
+    They are written, as later steps use them more than once; there are no more of them than sampled rows.
+    """
+    placed = _placed(df, keys)
+    holds = F.size(_positions(F.col("_first"), F.col("_copies"), total, size)) > 0
+    return _written(placed.where(_may_hold(F.col("_first"), F.col("_copies"), total, size)).where(holds), "hits")
+
+
+def _placed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys in order, with the number of their rows and ``_first``, the number of rows before them.
 
     The sorted keys are written with their numbers, since positions rest on the rows before each
-    partition and a sort computed again could split them elsewhere. So are the positions found, one
-    row per sampled row. Only the row count of each partition reaches the driver.
+    partition and a sort computed again could split them elsewhere. Only the row count of each partition reaches the
+    driver.
     """
     names = [_key(i) for i in range(len(keys))]
     grouped = df.groupBy(*[column(c).alias(n) for c, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_copies"))
@@ -77,18 +79,11 @@ def _hits(df: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
         before = F.coalesce(F.sum("_copies").over(upward), F.lit(0))
     offsets = small_table(df.sparkSession, starts, "_part int, _before long")
     # One row per partition is broadcast.
-    placed = (
+    return (
         numbered.withColumn("_inside", before)
         .join(F.broadcast(offsets), "_part")
-        .withColumn("_first", F.col("_before") + F.col("_inside"))
+        .select(*names, "_copies", (F.col("_before") + F.col("_inside")).alias("_first"))
     )
-    positions = _positions(F.col("_first"), F.col("_copies"), total, size)
-    found = (
-        placed.where(_may_hold(F.col("_first"), F.col("_copies"), total, size))
-        .select(*names, "_copies", "_first", F.explode(positions).alias("_position"))
-        .select(*names, "_copies", (F.col("_position") - F.col("_first")).alias("_offset"))
-    )
-    return _written(found, "hits")
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -121,11 +116,18 @@ def _same(keys: list[str]) -> Column:
     return same
 
 
-def _picked(df: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the sampled keys at the sampled places of their ties."""
-    tied = df.join(hits, _same(keys), "left_semi")
-    others = [column(c) for c in df.columns if c not in keys]
-    order = Window.partitionBy(*[column(c) for c in keys]).orderBy(*(others or [F.lit(0)]))
-    placed = tied.withColumn("_place", (F.row_number().over(order) - 1).cast("long"))
-    wanted = _same(keys) & (F.col("_place") == F.col("_offset"))
-    return placed.join(hits, wanted, "left_semi").drop("_place")
+def _among_ties(df: DataFrame, hits: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
+    """The sampled rows among the rows of the sampled keys.
+
+    The place of a key's first row stands for the key: it sorts like the key, and with the row's place among the rows
+    of its key it gives the position in the table.
+    """
+    groups = hits.select(*[_key(i) for i in range(len(keys))], F.col("_first").alias("_group"))
+    tied = df.join(groups, _same(keys), "inner").select("_group", *[column(c) for c in df.columns])
+    others = [c for c in df.columns if c not in keys]
+    fields = ["_group", *others, *keys]
+    rows = _placed(tied, fields).withColumnRenamed(_key(0), "_group")
+    starts = rows.groupBy("_group").agg(F.min("_first").alias("_start"))
+    found = rows.join(starts, "_group").withColumn("_place", F.col("_group") + F.col("_first") - F.col("_start"))
+    taken = F.explode(_positions(F.col("_place"), F.col("_copies"), total, size)).alias("_position")
+    return found.select(*[F.col(_key(fields.index(c))).alias(c) for c in df.columns], taken).drop("_position")

@@ -16,13 +16,12 @@ def test_default_size(spark, n):
     assert found == (list(range(n)) if n <= 50_000 else expected(list(range(n)), 50_000))
 
 
-@pytest.mark.parametrize("tie_limit", [1_000_000, 10])
 @pytest.mark.parametrize("size", [1, 7, 100, 999])
-def test_ties_are_ordered_by_the_other_columns(spark, size, tie_limit):
+def test_ties_are_ordered_by_the_other_columns(spark, size):
     """A third of all rows share one key, and some rows are identical."""
     df = spark.range(1000).selectExpr("IF(id % 3 = 0, 5, id % 11) AS k", "id % 50 AS x", "string(id % 4) AS s")
     rows = sorted(tuple(r) for r in df.collect())
-    found = sorted(tuple(r) for r in systematic_sample(df.repartition(6), ["k"], size, tie_limit).collect())
+    found = sorted(tuple(r) for r in systematic_sample(df.repartition(6), ["k"], size).collect())
     assert found == sorted(expected(rows, size))
 
 
@@ -31,6 +30,27 @@ def test_null_keys(spark):
     assert sorted(r["x"] for r in systematic_sample(df, ["k"], 5).collect()) == [0, 2, 4, 6, 8]
 
 
+def test_one_key_holds_the_table(spark):
+    """No window over the key: its rows are sorted by all columns, identical ones combined."""
+    df = spark.range(30_000).selectExpr("1 AS k", "id % 7000 AS x")
+    found = systematic_sample(df.repartition(8), ["k"], 999)
+    rows = sorted(tuple(r) for r in df.collect())
+    assert sorted(tuple(r) for r in found.collect()) == expected(rows, 999)
+
+
+def test_order_by_all_columns(spark):
+    df = spark.range(300).selectExpr("id % 10 AS k", "id % 3 AS x")
+    rows = sorted(tuple(r) for r in df.collect())
+    assert sorted(tuple(r) for r in systematic_sample(df.repartition(3), ["k", "x"], 70).collect()) == expected(rows, 70)
+
+
+def test_null_ties(spark):
+    df = spark.range(100).selectExpr("IF(id < 60, NULL, 1) AS k", "IF(id % 3 = 0, NULL, id) AS x")
+    rows = sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, v or 0) for v in r])
+    found = [tuple(r) for r in systematic_sample(df.repartition(3), ["k"], 30).collect()]
+    assert sorted(found, key=str) == sorted(expected(rows, 30), key=str)
+
+
 def test_size_is_checked(spark):
     with pytest.raises(ValueError):
         systematic_sample(spark.range(3), ["id"], 0)
