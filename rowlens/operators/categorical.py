@@ -13,6 +13,9 @@ from rowlens.operators.schema import categorical_columns
 TOP_VALUES = 20
 
 PROFILE_SCHEMA = "column string, unique_count long, null_count long, entropy double"
+# Rows that a round of sample_values takes for each value asked for.
+_FIRST_ROWS = 8
+
 TOP_SCHEMA = "column string, rank int, value string, count long, pct double"
 
 
@@ -148,16 +151,20 @@ def from_keys(df: DataFrame, keys: DataFrame, columns: list[str], rows: int, k:
 def sample_values(df: DataFrame, name: str, order_by: list[str], k: int = 10) -> DataFrame:
     """The first k distinct non-missing values of a column, in the stated row order.
 
-    Each value is reduced to its first position before the shuffle; only k rows leave the sort.
+    A round takes the earliest rows whose value is not known yet; each task keeps no more than that many, and the value
+    of the earliest of them is the next one in order, as are those of the rows after it. A column whose values change within the
+    first rows takes one round, one of fewer than k values one more than it takes to find them; a round always finds a
+    value, so there are k + 1 at most, and no round moves more than its rows, whatever the table holds.
     """
     value = value_text(df, name)
-    position = F.struct(*[column(c).alias(f"key_{i}") for i, c in enumerate(order_by)])
-    return (
-        df.select(value.alias("value"), position.alias("position"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value")
-        .agg(F.min("position").alias("position"))
-        .orderBy("position", "value")
-        .limit(k)
-        .select(F.lit(name).alias("column"), "value")
-    )
+    keys = [f"key_{i}" for i in range(len(order_by))]
+    present = df.select(value.alias("value"), *[column(c).alias(n) for c, n in zip(order_by, keys)]).where(F.col("value").isNotNull())
+    found: list[str] = []
+    size = _FIRST_ROWS * k
+    while len(found) < k:
+        unknown = present.where(~F.col("value").isin(found)) if found else present
+        rows = [r["value"] for r in unknown.orderBy(*keys, "value").limit(size).select("value").collect()]
+        found += dict.fromkeys(rows)
+        if len(rows) < size:
+            break
+    return small_table(df.sparkSession, [(name, v) for v in found[:k]], "column string, value string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,6 +110,11 @@ def megabytes(json_chars: Column) -> Column:
     return F.floor((json_chars * 2 * 100) / F.lit(1024 * 1024) + 0.5).cast("double") / 100
 
 
+def size_in_mb(json_chars: int) -> float:
+    """The same of a length at hand."""
+    return math.floor(json_chars * 2 * 100 / (1024 * 1024) + 0.5) / 100
+
+
 def memory_estimate(df: DataFrame) -> DataFrame:
     """Length of the table as one JSON array of objects, and its size at two bytes per unit."""
     check_scalar_columns(df)

@@ -396,6 +396,23 @@ def catalog() -> str:
     return union(rows)
 
 
+def catalog_store(sizes: dict[str, str]) -> str:
+    rows = [
+        f"SELECT c.id, c.id AS name, c.id || '.parquet' AS original_name, c.row_count, c.column_count, c.file_type, c.columns, "
+        f"(SELECT memory_mb FROM ({size})) AS memory_size_mb FROM ({catalog()}) c WHERE c.id = '{t}'"
+        for t, size in sizes.items()
+    ]
+    return union(rows)
+
+
+def first_values(table: str, name: str, order: str) -> str:
+    """The first ten values of a text column in row order."""
+    return (
+        f"SELECT '{name}' AS \"column\", value FROM (SELECT nullif({name}, '') AS value, row_number() OVER (ORDER BY {order}) AS n FROM {table}) "
+        "WHERE value IS NOT NULL GROUP BY value ORDER BY min(n) LIMIT 10"
+    )
+
+
 GAPS_LENGTHS = {
     "kind": json_text("kind"),
     "tag": json_text("tag"),
@@ -643,6 +660,16 @@ ORDERS_MEMORY = memory(
         "o_orderpriority": json_text("o_orderpriority"),
     },
 )
+DOCUMENTS_MEMORY = memory(
+    "documents",
+    {
+        "doc_id": json_int("doc_id"),
+        "text": json_text("text"),
+        "lang": json_text("lang"),
+        "source": json_text("source"),
+        "n_chars": json_int("n_chars"),
+    },
+)
 LINEITEM_MEMORY = memory(
     "lineitem",
     {
@@ -745,16 +772,7 @@ ORACLES: dict[str, str] = {
     "outlier_total": outlier_total(),
     "duplicate_rows": duplicates("text, lang", "SELECT * FROM documents"),
     "duplicate_rows_gaps": duplicates(", ".join(GAP_COLUMNS), GAPS_SQL),
-    "memory_estimate": memory(
-        "documents",
-        {
-            "doc_id": json_int("doc_id"),
-            "text": json_text("text"),
-            "lang": json_text("lang"),
-            "source": json_text("source"),
-            "n_chars": json_int("n_chars"),
-        },
-    ),
+    "memory_estimate": DOCUMENTS_MEMORY,
     "memory_estimate_orders": ORDERS_MEMORY,
     "column_numeric": with_tables(
         {**numbers(GAPS_SQL, ["amount"]), **frequencies(GAPS_SQL, ["amount"], "c")},
@@ -778,6 +796,8 @@ ORACLES: dict[str, str] = {
     "column_report_categorical": column_report("tag", top_values(GAPS_SQL, ["tag"]), "value"),
     "sample_values": "SELECT 'value' AS \"column\", value FROM (SELECT regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') "
     "AS value, min(event_id) AS first FROM events WHERE value IS NOT NULL GROUP BY 1 ORDER BY first LIMIT 10)",
+    "sample_values_few": first_values("orders", "o_orderpriority", "o_orderdate, o_orderkey"),
+    "sample_values_text": first_values("documents", "text", "n_chars, doc_id"),
     "full_eda": metrics(
         "SELECT * FROM orders",
         ORDERS_NUMERIC,
@@ -825,6 +845,7 @@ ORACLES: dict[str, str] = {
     "catalog_summary": "SELECT count(*) AS total_datasets, CAST(sum(row_count) AS BIGINT) AS total_rows, "
     "CAST(sum(column_count) AS BIGINT) AS total_columns, max(uploaded_at) AS last_uploaded_at "
     f"FROM ({catalog()})",
+    "catalog_store": catalog_store({"orders": ORDERS_MEMORY, "lineitem": LINEITEM_MEMORY, "documents": DOCUMENTS_MEMORY}),
     "quality_score": quality_score(),
     "issues": rules(ISSUES),
     "findings": rules(FINDINGS),

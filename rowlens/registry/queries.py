@@ -45,6 +45,8 @@ PLACES = 4
 LINEITEM_DOUBLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_NUMERIC = ["l_linenumber", *LINEITEM_DOUBLES]
 ORDERS_CATEGORICAL = ["o_orderstatus", "o_orderpriority"]
+# Tables that are registered in a store.
+STORED = ["orders", "lineitem", "documents"]
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +184,16 @@ def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.withColumn("last_uploaded_at", F.col("last_uploaded_at").cast("string"))
 
 
+def catalog_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables, each registered twice under one id, and what the store then shows of them."""
+    root = scratch_path(spark, "store")
+    for name in STORED:
+        for _ in range(2):
+            catalog.register(load(spark, sf_dir, name), root, f"{name}.parquet", dataset_id=name)
+    known = catalog.read_catalog(spark, root).withColumn("columns", F.array_join("columns", ","))
+    return known.select("id", "name", "original_name", "row_count", "column_count", "file_type", "columns", "memory_size_mb")
+
+
 # Schema, coercion, sampling
 
 
@@ -349,6 +361,8 @@ QUERIES: dict[str, Query] = {
     "column_report_numeric": _column_report("amount"),
     "column_report_categorical": _column_report("tag"),
     "sample_values": _on("events", lambda df: categorical.sample_values(df, "value", ["event_id"])),
+    "sample_values_few": _on("orders", lambda df: categorical.sample_values(df, "o_orderpriority", ["o_orderdate", "o_orderkey"])),
+    "sample_values_text": _on("documents", lambda df: categorical.sample_values(df, "text", ["n_chars", "doc_id"])),
     "full_eda": full_eda,
     "full_eda_histogram": _on("orders", lambda df: eda.full_profile(df).histogram),
     "full_eda_top_values": _on("orders", lambda df: eda.full_profile(df).top_values),
@@ -359,6 +373,7 @@ QUERIES: dict[str, Query] = {
     "catalog_list": lambda spark, sf_dir: _shown(catalog.catalog_list(_catalog(spark, sf_dir))),
     "catalog_recent": lambda spark, sf_dir: _shown(catalog.catalog_recent(_catalog(spark, sf_dir))),
     "catalog_summary": catalog_summary,
+    "catalog_store": catalog_store,
     "quality_score": _on_gaps(lambda df: rounded(quality.table_score(df))),
     "quality_score_customer": _on("customer", lambda df: rounded(quality.table_score(df))),
     "quality_score_half_full": _on("events", lambda df: rounded(quality.table_score(derive(df, HALF_FULL)))),

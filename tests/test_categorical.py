@@ -5,6 +5,7 @@ import pytest
 
 from rowlens.operators import categorical
 from rowlens.operators.passes import HEAD
+from tests.scans import scans
 
 
 def test_profile_counts_blanks_as_missing(spark):
@@ -78,3 +79,26 @@ def test_profile_of_no_column(spark):
     df = spark.range(3)
     assert categorical.categorical_profile(df, []).count() == 0 and categorical.top_values(df, []).count() == 0
     assert [f.count() for f in categorical.frequencies(df, [], 3)] == [0, 0]
+
+
+@pytest.mark.parametrize("modulus, k", [(3, 10), (1000, 10), (7, 2), (1, 1)])
+def test_sample_values_of_long_runs(spark, modulus, k):
+    """The first values fill more rows than a round takes; some are missing."""
+    df = spark.range(3000).selectExpr("id", f"IF(id % 10 = 3, NULL, string(id DIV {-(-3000 // modulus)})) AS x").repartition(5)
+    seen = dict.fromkeys(r["x"] for r in df.orderBy("id").collect() if r["x"] is not None)
+    assert [r["value"] for r in categorical.sample_values(df, "x", ["id"], k).collect()] == list(seen)[:k]
+
+
+def test_sample_values_of_nothing(spark):
+    df = spark.range(3).selectExpr("id", "CAST(NULL AS STRING) AS x")
+    assert categorical.sample_values(df, "x", ["id"]).count() == 0
+    assert categorical.sample_values(df.where("false"), "x", ["id"]).count() == 0
+
+
+def test_sample_values_take_one_scan_and_no_shuffle_of_values(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "string(id % 50) AS x").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    with scans(spark, 5000) as made:
+        found = categorical.sample_values(df, "x", ["id"], 10)
+    assert [r["value"] for r in found.collect()] == [str(i) for i in range(10)]
+    assert made() == 1

@@ -1,7 +1,9 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
+from rowlens.operators.table import memory_estimate
 from rowlens.sources import catalog, tables
 from rowlens.sources.scratch import scratch_path
 
@@ -98,6 +100,71 @@ def test_catalog(spark, tmp_path, csv_path):
     assert catalog.catalog_recent(catalog.read_catalog(spark, root), 1).first()["name"] == "Numbers"
 
 
+def test_a_repeated_registration_adds_nothing(spark, tmp_path):
+    root = str(tmp_path / "root")
+    for _ in range(3):
+        stored = catalog.register(spark.range(10), root, "n.parquet", dataset_id="n")
+    assert stored.count() == 10
+    assert [r["row_count"] for r in catalog.read_catalog(spark, root).collect()] == [10]
+    assert len(list((tmp_path / "root" / "data" / "n").iterdir())) == 1
+    with pytest.raises(ValueError, match="stands for"):
+        catalog.register(spark.range(10).withColumnRenamed("id", "other"), root, "n.parquet", dataset_id="n")
+    with pytest.raises(ValueError, match="folder name"):
+        catalog.register(spark.range(10), root, "n.parquet", dataset_id="_n")
+    assert catalog.open_dataset(spark, root, "n").count() == 10
+    with pytest.raises(KeyError):
+        catalog.open_dataset(spark, root, "m")
+
+
+@pytest.mark.parametrize("step", ["one_scan", "stored_bytes", "small_table"])
+def test_a_registration_repeated_after_a_failure(spark, tmp_path, monkeypatch, step):
+    """The table is written, its manifest is not: nothing is shown, and the next call completes it."""
+    root = str(tmp_path / "root")
+    catalog.register(spark.range(3), root, "before.parquet")
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(catalog, step, fails)
+        with pytest.raises(OSError):
+            catalog.register(spark.range(10), root, "n.parquet", dataset_id="n")
+    assert [r["name"] for r in catalog.read_catalog(spark, root).collect()] == ["before"]
+    assert catalog.register(spark.range(10), root, "n.parquet", dataset_id="n").count() == 10
+    assert sorted(r["name"] for r in catalog.read_catalog(spark, root).collect()) == ["before", "n"]
+
+
+def test_a_write_that_was_not_committed_is_not_read(spark, tmp_path):
+    root = tmp_path / "root"
+    catalog.register(spark.range(3), str(root), "a.parquet", dataset_id="a")
+    torn = root / "catalog" / "b" / "x" / "_temporary" / "0"
+    torn.mkdir(parents=True)
+    (torn / "part-0.parquet").write_bytes(b"PAR1")
+    assert [r["id"] for r in catalog.read_catalog(spark, str(root)).collect()] == ["a"]
+
+
+def test_registrations_at_the_same_time(spark, tmp_path):
+    """None is lost, and two of one id are one dataset."""
+    root = str(tmp_path / "root")
+    with ThreadPoolExecutor(8) as pool:
+        names = [f"t{i % 6}" for i in range(8)]
+        found = list(pool.map(lambda n: catalog.register(spark.range(5), root, f"{n}.parquet", dataset_id=n).count(), names))
+    assert found == [5] * 8
+    assert sorted(r["id"] for r in catalog.read_catalog(spark, root).collect()) == sorted(set(names))
+
+
+def test_memory_size_in_the_catalog(spark, tmp_path):
+    root = str(tmp_path / "root")
+    df = spark.range(100_000).selectExpr("id", "'x' AS s")
+    catalog.register(df, root, "t.parquet")
+    expected = df.transform(memory_estimate).first()["memory_mb"]
+    assert catalog.read_catalog(spark, root).first()["memory_size_mb"] == expected > 1
+
+
+def test_a_store_without_datasets(spark, tmp_path):
+    assert catalog.read_catalog(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_an_empty_catalog(spark):
     empty = spark.createDataFrame([], catalog.CATALOG_SCHEMA)
     assert tuple(catalog.catalog_summary(empty).first()) == (0, 0, 0, None)
