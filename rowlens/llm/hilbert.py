@@ -15,9 +15,6 @@ DIMENSIONS = ("source", "lang", "n_chars")
 # Each dimension is cut into 2 ** BITS bins of about equal row counts.
 BITS = 6
 
-# Codes of a dimension, before they become bins: a bound on the histogram's rows.
-_CODES = 1 << 16
-
 
 def turns(dims: int) -> tuple[list[int], list[int]]:
     """The curve as a machine: for state * 2**dims + corner, the corner's rank on the curve and the next state.
@@ -67,26 +64,28 @@ def curve_index(bins: Sequence[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), begin, step, lambda acc: acc["index"])
 
 
-def _number(df: DataFrame, name: str) -> Column | None:
-    """A dimension as a number in the same order, numbers and times as they are; None for text."""
-    kind = df.schema[name].dataType
-    column = F.col(name)
-    if isinstance(kind, T.NumericType):
-        number = F.when(~F.isnan(column.cast("double")), column.cast("double"))
-        # Signed logarithms keep small and large values apart in few codes.
-        return F.signum(number) * F.log1p(F.abs(number))
-    if isinstance(kind, (T.DateType, T.TimestampType)):
-        return F.unix_timestamp(column.cast("timestamp")).cast("double")
-    return None
+def _value(df: DataFrame, name: str) -> tuple[Column, str]:
+    """A dimension's value with its type, in the dimension's own order: NaN is null, times are microseconds, text goes by code point."""
+    kind, column = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.IntegralType):
+        return column.cast("long"), "long"
+    if isinstance(kind, T.DecimalType):
+        return column, kind.simpleString()
+    if isinstance(kind, T.FractionalType):
+        return F.nullif(column.cast("double"), F.lit(float("nan"))), "double"
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp")), "long"
+    return column.cast("string"), "string"
 
 
-def _text_limits(df: DataFrame, name: str, bits: int) -> dict[int, str]:
-    """The least value of each bin of a text dimension, by whole values, null first.
+def _limits(value: Column, df: DataFrame, bits: int) -> dict[int, object]:
+    """The least value of each bin, by whole values, null first.
 
     Distinct values with their counts are range-sorted and written, and numbered from the sums of the written
-    partitions, so no task holds all of them; what reaches the driver is one value for each bin.
+    partitions, so no task holds all of them; what reaches the driver is one value for each bin. Values far from the
+    others take no more than their own rows, as counts decide and not distances.
     """
-    counts = df.groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
     ordered = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
     ordered = save(ordered, "values")
     sums = ordered.groupBy("part").agg(F.sum("n").alias("sum"))
@@ -99,55 +98,33 @@ def _text_limits(df: DataFrame, name: str, bits: int) -> dict[int, str]:
     return {r["bin"]: r["value"] for r in binned.groupBy("bin").agg(F.min("value").alias("value")).collect()}
 
 
-def _number_limits(df: DataFrame, codes: dict[int, Column], bits: int) -> dict[int, dict[int, int]]:
-    """The least code of each bin of each numeric dimension, from counts of at most 65,536 codes."""
-    if not codes:
-        return {}
-    each = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("d"), c.alias("code")) for i, c in codes.items()))).alias("x")).select("x.*")
-    counts = each.groupBy("d", "code").count()
-    whole = Window.partitionBy("d")
-    before = F.sum("count").over(whole.orderBy("code")) - F.col("count")
-    binned = counts.withColumn("bin", F.floor(before * (1 << bits) / F.sum("count").over(whole)).cast("int"))
-    limits = binned.groupBy("d", "bin").agg(F.min("code").alias("code")).collect()
-    return {i: {r["bin"]: r["code"] for r in limits if r["d"] == i} for i in codes}
-
-
 def bins(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> list[Column]:
     """A bin of 0 to 2**bits - 1 for each dimension, in its order, with about as many rows as the others; null is 0.
 
-    Scans of the dimensions alone: the ends of numbers, then counts of at most 65,536 codes each; counts of whole values
-    of text, so that values which differ anywhere are told apart. What reaches the driver is 2**bits limits a dimension.
+    A scan of each dimension alone counts its whole values, so that values which differ anywhere are told apart.
+    What reaches the driver is 2**bits limits a dimension.
     """
-    numbers = {i: x for i, name in enumerate(dimensions) if (x := _number(df, name)) is not None}
-    codes = {}
-    if numbers:
-        ends = df.agg(*(f(x).alias(f"{n}{i}") for i, x in numbers.items() for n, f in (("low", F.min), ("high", F.max)))).first()
-        for i, x in numbers.items():
-            low, high = ends[f"low{i}"] or 0.0, ends[f"high{i}"] or 0.0
-            scale = (_CODES - 2) / (high - low) if high > low else 0.0
-            codes[i] = F.coalesce(F.floor((x - low) * scale).cast("int") + 1, F.lit(0))
-    limits = _number_limits(df, codes, bits)
     out = []
-    for i, name in enumerate(dimensions):
-        own = limits[i] if i in codes else _text_limits(df, name, bits)
-        code, kind = (codes[i], "int") if i in codes else (F.col(name).cast("string"), "string")
-        # The first code or value of each bin; an empty bin begins where the next one does, and none after the last.
+    for name in dimensions:
+        value, kind = _value(df, name)
+        own = _limits(value, df, bits)
+        # The first value of each bin; an empty bin begins where the next one does, and none after the last.
         firsts, following = [], None
         for b in range((1 << bits) - 1, 0, -1):
             following = own.get(b, following)
             firsts.append(following)
         firsts = F.array(*(F.lit(x).cast(kind) for x in reversed(firsts)))
-        # Binary search for the number of limits that are no larger than the code, which travels along.
+        # Binary search for the number of limits that are no larger than the value, which travels along.
         steps = F.array(*(F.lit(1 << b) for b in range(bits - 1, -1, -1)))
-        begin = F.struct(F.lit(0).alias("bin"), code.alias("code"))
+        begin = F.struct(F.lit(0).alias("bin"), value.alias("value"))
         out.append(F.aggregate(steps, begin, _search(firsts), lambda acc: acc["bin"]))
     return out
 
 
 def _search(firsts: Column) -> Callable[[Column, Column], Column]:
     def step(acc: Column, by: Column) -> Column:
-        higher = firsts[acc["bin"] + by - 1] <= acc["code"]
-        return F.struct(F.when(higher, acc["bin"] + by).otherwise(acc["bin"]).alias("bin"), acc["code"].alias("code"))
+        higher = firsts[acc["bin"] + by - 1] <= acc["value"]
+        return F.struct(F.when(higher, acc["bin"] + by).otherwise(acc["bin"]).alias("bin"), acc["value"].alias("value"))
 
     return step
 
