@@ -29,6 +29,59 @@ def test_cuts_do_not_depend_on_other_rows():
     assert whole == alone
 
 
+def plain_chunks(t):
+    """(start, bytes) of every chunk: the gear hash byte by byte, over the last 16 bytes of the text."""
+    raw = t.lower().encode() if t.isascii() else t.encode()
+    out, begin = [], 0
+    for i in range(len(raw)):
+        h = sum(int(chunks._GEAR[raw[i - d]]) << d for d in range(min(chunks.WINDOW, i + 1))) & 0xFFFFFFFF
+        end = i == len(raw) - 1 or (h >> (chunks.WINDOW - chunks.CUT_BITS - 1)) & ((1 << chunks.CUT_BITS) - 1) == 0
+        if end or i + 1 - begin == chunks.LONGEST:
+            out.append((begin, raw[begin : i + 1]))
+            begin = i + 1
+    return out
+
+
+def plain_repeats(rows, least):
+    """(row, first key, start, length, copy), from the chunks in dictionaries."""
+    cut = [plain_chunks(t) if t else [] for _, t in rows]
+    holders = {}
+    for i, pieces in enumerate(cut):
+        for _, piece in pieces:
+            holders.setdefault(piece, set()).add(i)
+    out = []
+    for i, pieces in enumerate(cut):
+        run = []
+        for start, piece in [*pieces, (None, None)]:
+            if piece is not None and len(holders[piece]) > 1:
+                run.append((start, piece))
+                continue
+            if run:
+                begin, end = run[0][0], run[-1][0] + len(run[-1][1])
+                firsts = [min(holders[p]) for _, p in run]
+                text = rows[i][1].encode()
+                words = sum(1 for k in range(begin, end) if not chr(text[k]).isspace() and (k == 0 or chr(text[k - 1]).isspace()))
+                if words >= least:
+                    out.append((rows[i][0], rows[min(firsts)][0], begin, end - begin, words, all(f != i for f in firsts)))
+            run = []
+    return sorted(out)
+
+
+def test_repeats_against_plain_chunks(documents):
+    """Passages shared by some rows, whole copies, runs without a cut, and a row that repeats itself."""
+    rng = random.Random(6)
+    shared = [text(rng, n) for n in (15, 30, 60, 120)]
+    rows = []
+    for i in range(60):
+        parts = [text(rng, rng.randint(0, 40)) for _ in range(3)]
+        parts[1:1] = rng.sample(shared, rng.randint(0, 2))
+        rows.append((100 + i, " ".join(parts)))
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (202, "ab" * 3000), (203, "x " + "ab" * 3000), (204, f"{shared[3]} {shared[3]}"), (205, None), (206, "")]
+    for least in (1, chunks.LEAST_WORDS):
+        found = sorted(tuple(r) for r in chunks.repeats(documents(rows).coalesce(1), least_words=least).collect())
+        assert found == plain_repeats(rows, least)
+
+
 def test_shared_passages_are_found_and_others_are_not(documents):
     rng = random.Random(4)
     passage = text(rng, 70)
