@@ -49,8 +49,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = R
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("__full").over(before), F.lit(0))
     weight = F.sum("__weight").over(everything) - F.coalesce(F.sum("__weight").over(before), F.lit(0))
-    rated = filled.withColumn("__rate", left / weight).withColumn("__fits", F.col("__full") >= F.col("__rate") * F.col("__weight"))
-    rate = F.min_by(F.when(F.col("__fits"), F.col("__rate")), F.when(F.col("__fits"), F.col("__fill"))).over(everything)
+    rated = filled.withColumns({"__rate": left / weight, "__turn": F.row_number().over(order)})
+    # The first by turn: of sources that fill up alike, the later ones' rates take the earlier for full.
+    first = F.when(F.col("__full") >= F.col("__rate") * F.col("__weight"), F.col("__turn"))
+    rate = F.min_by(F.col("__rate"), first).over(everything)
     target = F.least(F.col("__full").cast("double"), F.coalesce(rate, F.lit(0.0)) * F.col("__weight"))
     return rated.select("source", "source_size", target.alias("target"))
 
@@ -83,24 +85,27 @@ def _limits(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return places.groupBy("source", F.col("block").alias("end_block")).agg(last.alias("last")).withColumnRenamed("source", "__source")
 
 
-def split(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
+def split(quotas: DataFrame, shards: int, seed: str = SEED, groups: int = 1) -> DataFrame:
     """(source, unit, shard) for `quotas(source, unit)`, the units 1 to n of every source.
 
     Every node of a binary tree gets exact quotas of all sources and hands half its units to the left: it
     draws without replacement, ranking its units by a keyed digest, so the counts by source are multivariate
     hypergeometric. Only the counts pass on: the left child has the first units of each source, in permuted order.
-    Units are blocks, so their number is bounded by the number of blocks and repeats.
+    Units are blocks, and sources are dealt to `groups` by a digest, each with a tree of its own, so that no node
+    holds more than its group's blocks and repeats; a source is never cut.
     """
-    nodes = quotas.select("source", "unit", F.lit(0).alias("node"))
+    group = F.pmod(F.conv(F.substring(F.md5(F.coalesce("source", F.lit("\0"))), 1, 8), 16, 10).cast("long"), F.lit(groups))
+    nodes = quotas.select("source", "unit", group.alias("group"), F.lit(0).alias("node"))
     for level in range(shards.bit_length() - 1):
         ticket = F.md5(F.concat_ws("|", F.lit(seed), F.lit(level), "node", F.coalesce("source", F.lit("\0")), "unit"))
-        drawn = F.row_number().over(Window.partitionBy("node").orderBy(ticket, "source", "unit")) * 2
-        nodes = nodes.withColumn("__left", (drawn <= F.count("*").over(Window.partitionBy("node"))).cast("int"))
-        of_source = Window.partitionBy("node", "source")
+        of_node = Window.partitionBy("group", "node")
+        drawn = F.row_number().over(of_node.orderBy(ticket, "source", "unit")) * 2
+        nodes = nodes.withColumn("__left", (drawn <= F.count("*").over(of_node)).cast("int"))
+        of_source = Window.partitionBy("group", "node", "source")
         quota = F.sum("__left").over(of_source)
         turn = F.row_number().over(of_source.orderBy("unit"))
-        nodes = nodes.select("source", "unit", (F.col("node") * 2 + (turn > quota).cast("int")).alias("node"))
-    return nodes.withColumnRenamed("node", "shard")
+        nodes = nodes.select("source", "unit", "group", (F.col("node") * 2 + (turn > quota).cast("int")).alias("node"))
+    return nodes.select("source", "unit", F.col("node").alias("shard"))
 
 
 def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, shards: int = SHARDS, blocks: int = BLOCKS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +134,9 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEA
     )
     units = ended.select("source", "block", F.explode(draws).alias("draw")).select("source", "block", "draw.*")
     units = save(units.withColumn("unit", F.row_number().over(Window.partitionBy("source").orderBy("round", "block"))), "units")
-    dealt = split(units.select("source", "unit"), shards, seed).select(F.col("source").alias("__source"), F.col("unit").alias("__unit"), "shard")
+    # As many sources as blocks to a tree: each source has a block at least, whatever its share.
+    groups = max(1, -(-aims.count() // blocks))
+    dealt = split(units.select("source", "unit"), shards, seed, groups).select(F.col("source").alias("__source"), F.col("unit").alias("__unit"), "shard")
     takes = units.join(dealt, _same() & (F.col("unit") == F.col("__unit"))).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("round", "shard", "last"))).alias("takes"))
     return aims, save(takes, "takes")
 
@@ -173,5 +180,7 @@ def expand(mixed: DataFrame, columns: Sequence[str], seed: str = SEED) -> DataFr
     """`columns` of the mix, a row for each time it is taken, shard by shard, each shard shuffled by keyed digests."""
     each = mixed.select(*columns, F.col("__place"), F.explode("takes").alias("__take"))
     each = each.withColumn("__shard", F.col("__take.shard"))
+    # As many pieces of a shard as the session has shuffle partitions, so that pieces follow the size it is set up for.
+    pieces = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = F.xxhash64(F.lit(seed), "__place", "__take")
-    return each.withColumn("__turn", turn).repartition("__shard", F.pmod(F.col("__turn"), F.lit(64))).sortWithinPartitions("__shard", "__turn").select(*columns)
+    return each.withColumn("__turn", turn).repartition("__shard", F.pmod("__turn", F.lit(pieces))).sortWithinPartitions("__shard", "__turn").select(*columns)

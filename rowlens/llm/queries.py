@@ -31,7 +31,8 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), narrow=True)
     taken = F.col("size") * F.size("takes")
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    shards = F.array_join(F.transform("takes", lambda t: t["shard"].cast("string")), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
 def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,26 +127,53 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (r) LEFT JOIN items USING (r)
 """
 
+
+def _levels(shards: int) -> str:
+    """The tree's tables: t<level> tells which units go to the left, n<level> the node of every unit."""
+    tables = []
+    for level in range(shards.bit_length() - 1):
+        tables.append(f"""
+     t{level} AS (SELECT source, unit, tree, node, row_number() OVER (PARTITION BY tree, node ORDER BY md5(concat_ws('|', 'mix', {level}, node, coalesce(source, chr(0)), unit))) * 2
+                     <= count(*) OVER (PARTITION BY tree, node) AS lefts FROM n{level}),
+     n{level + 1} AS (SELECT source, unit, tree, 2 * node + (row_number() OVER (PARTITION BY tree, node, source ORDER BY unit)
+                     > sum(lefts::INT) OVER (PARTITION BY tree, node, source))::INT AS node FROM t{level}),""")
+    return "".join(tables)
+
+
 # Targets by filling the sources in order of size over weight; then whole rounds, and of the last the places of the
-# permutation whose middle lies within what is left.
-_OP4 = r"""
+# permutation whose middle lies within what is left. A block of each round is a unit, and the tree deals units to shards.
+_OP4 = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                   ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS place
            FROM documents),
-     s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
      w AS (SELECT source, source_size, 3 * source_size AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
      f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS rate,
-                  source_size / weight AS fill
+                  row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS turn
            FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-     r AS (SELECT coalesce(arg_min(rate, fill) FILTER (cap >= rate * weight), 0) AS rate FROM f),
+     r AS (SELECT coalesce(arg_min(rate, turn) FILTER (cap >= rate * weight), 0) AS rate FROM f),
      t AS (SELECT source, source_size, least(cap::DOUBLE, r.rate * weight) AS target FROM f, r),
-     p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rounds FROM t),
+     p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS rounds,
+                  greatest(ceil(source_size * {mixing.BLOCKS} / greatest((sum(source_size) OVER ())::BIGINT, 1))::BIGINT, 1) AS blocks,
+                  ('0x' || substr(md5(coalesce(source, chr(0))), 1, 8))::BIGINT % greatest(1, ceil(count(*) OVER () / {mixing.BLOCKS})::BIGINT) AS tree
+           FROM t),
+     e AS (SELECT d.*, source_size, target, rounds, tree, target - rounds * source_size AS rest, ((place >> 28) * blocks) >> 32 AS block
+           FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
      g AS (SELECT source, place, words, sum(words) OVER (PARTITION BY source ORDER BY place) - words AS before
-           FROM (SELECT source, place, sum(size) AS words FROM d GROUP BY ALL))
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       (size * (rounds + CASE WHEN rounds < 3 AND before + words / 2 <= target - rounds * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-       JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.place = g.place
+           FROM (SELECT source, place, sum(size) AS words FROM d GROUP BY ALL)),
+     b AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY block) AS after
+           FROM (SELECT source, block, rounds, rest, tree, sum(size) AS words FROM e GROUP BY ALL)),
+     u AS (SELECT source, block, tree, round, row_number() OVER (PARTITION BY source ORDER BY round, block) AS unit
+           FROM (SELECT *, unnest(range(1, rounds + 2)) AS round FROM b)
+           WHERE round <= rounds OR (rounds < 3 AND after - words <= rest AND (words > 0 OR after <= rest))),
+     n0 AS (SELECT source, unit, tree, 0 AS node FROM u),{_levels(mixing.SHARDS)}
+     k AS (SELECT u.source, block, list(node ORDER BY round) AS shards
+           FROM u JOIN n{mixing.SHARDS.bit_length() - 1} AS n ON u.source IS NOT DISTINCT FROM n.source AND u.unit = n.unit GROUP BY u.source, block),
+     m AS (SELECT e.*, rounds + CASE WHEN rounds < 3 AND before + words / 2 <= rest THEN 1 ELSE 0 END AS times
+           FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source AND e.place = g.place)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (size * times)::BIGINT AS taken,
+       coalesce(array_to_string(shards[1:times], ','), '') AS shards
+FROM m LEFT JOIN k ON m.source IS NOT DISTINCT FROM k.source AND m.block = k.block
 """
 
 _OP10 = rf"""

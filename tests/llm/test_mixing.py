@@ -40,6 +40,14 @@ def test_targets_and_takes(documents):
         assert abs(words - expected[source]) <= max(sizes[source]), source
 
 
+def test_sources_that_fill_up_alike(documents):
+    """Sizes over weights are equal, so the order among the sources decides nothing."""
+    sizes = {name: [5 * (1 + i % 3)] for i, name in enumerate("abcdefghi")}
+    expected = plain_targets({s: sum(n) for s, n in sizes.items()})
+    for r in mixing.mix(corpus(documents, sizes), narrow=True).collect():
+        assert r["target"] == pytest.approx(expected[r["source"]])
+
+
 def test_blocks_do_not_change_what_is_taken(documents):
     docs = corpus(documents, {"a": range(1, 200), "b": range(1, 50), "c": [3] * 77})
     few, many = (mixing.mix(docs, narrow=True, blocks=b).select("doc_id", F.size("takes")).collect() for b in (3, 4096))
@@ -70,3 +78,32 @@ def test_awkward_rows(awkward, documents):
     mixed = mixing.mix(awkward).collect()
     assert len(mixed) == 10 and {r["size"] for r in mixed if r["text"] is None} == {0}
     assert mixing.mix(documents([])).count() == 0
+
+
+def test_takes_lie_in_the_shards_of_the_tree(documents):
+    docs = corpus(documents, {"a": [5] * 300, "b": [5] * 20, None: [2] * 9})
+    mixed = mixing.mix(docs, blocks=32)
+    rows = docs.select("source", mixing.size_in_words().alias("size"), mixing.place().alias("place"))
+    aims, takes = mixing.plan(rows, blocks=32)
+    blocks = {(r["source"], r["block"]): {t["round"]: t["shard"] for t in r["takes"]} for r in takes.collect()}
+    of_source = {r["source"]: r["blocks"] for r in aims.collect()}
+    units = sorted(t for own in blocks.values() for t in own.values())
+    counts = [units.count(s) for s in range(mixing.SHARDS)]
+    assert max(counts) - min(counts) <= 1
+    for r in mixed.collect():
+        own = blocks.get((r["source"], ((r["__place"] >> 28) * of_source[r["source"]]) >> 32), {})
+        assert all(own[t["round"]] == t["shard"] for t in r["takes"])
+
+
+def test_many_sources_have_trees_of_their_own(spark):
+    n = 100_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    mixed = mixing.mix(docs, narrow=True)
+    found = mixed.agg(F.count("*"), F.sum("source_size"), F.sum("target"), F.min(F.size("takes")), F.max(F.size("takes"))).first()
+    assert found[:2] == (n, 3 * n) and found[2] == pytest.approx(3 * n) and found[3] >= 0 and found[4] <= 3
+    shards = [r["n"] for r in mixed.select(F.explode("takes").alias("t")).groupBy("t.shard").agg(F.count("*").alias("n")).collect()]
+    # Each of the 25 trees deals its units to 16 shards, at most one apart.
+    groups = -(-n // mixing.BLOCKS)
+    quotas = docs.select("source", F.lit(1).alias("unit"))
+    dealt = [r["n"] for r in mixing.split(quotas, 16, groups=groups).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert sum(dealt) == n and max(dealt) - min(dealt) <= groups and len(shards) == 16
