@@ -101,12 +101,12 @@ def crowded(bands: Sequence[tuple[int, int, float]], dims: int, k: int) -> set[i
     return {band for band, _, longest in bands if share(high, longest) > SHARE}
 
 
-def _hashed(rows: DataFrame, dims: int, bands: dict[int, float], whole: set[int], queries: bool, tables: int, probes: int, seed: int) -> DataFrame:
+def _hashed(rows: DataFrame, dims: int, kind: str, bands: dict[int, float], whole: set[int], queries: bool, tables: int, probes: int, seed: int) -> DataFrame:
     """(bucket, id, data) of `rows(id, vector, band)` for every table: a vector's own bucket, or the buckets a query probes.
 
     A further coordinate fills all vectors of a band up to its longest one, `bands[band]`, and is zero for queries, so that
-    the nearest of a band by angle are those with the largest inner product; `data` is the original vector. Vectors of
-    the bands in `whole` lie in bucket -1 alone, which all queries look into.
+    the nearest of a band by angle are those with the largest inner product; `data` is the original vector, as numbers
+    of `kind`. Vectors of the bands in `whole` lie in bucket -1 alone, which all queries look into.
     """
     width = 1 << dims.bit_length()
 
@@ -115,7 +115,7 @@ def _hashed(rows: DataFrame, dims: int, bands: dict[int, float], whole: set[int]
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 ids, x, own = part.column(0), _matrix(part.column(1), dims), part.column(2).to_pylist()
-                data = pa.array([r.tobytes() for r in x], pa.binary())
+                data = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                 crowd = np.array([b in whole for b in own], bool)
                 every = np.arange(len(x)) if queries and whole else np.flatnonzero(crowd & (not queries))
                 if len(every):
@@ -185,12 +185,12 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
     return query_ids[q[kept]], ids[c[kept]], score[kept]
 
 
-def _compared(pairs: DataFrame, dims: int, k: int) -> DataFrame:
+def _compared(pairs: DataFrame, dims: int, kind: str, k: int) -> DataFrame:
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in zip(*(batch.column(n) for n in ("query_ids", "queries", "ids", "data"))):
                 ids = [np.frombuffer(row[i].as_buffer(), np.int64) for i in (0, 2)]
-                data = [np.frombuffer(row[i].as_buffer(), np.float64).reshape(-1, dims) for i in (1, 3)]
+                data = [np.frombuffer(row[i].as_buffer(), kind).reshape(-1, dims).astype(np.float64) for i in (1, 3)]
                 found = best(ids[0], data[0], ids[1], data[1], k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
@@ -204,20 +204,20 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def exact(queries: DataFrame, rows: DataFrame, dims: int, k: int = NEIGHBOURS) -> DataFrame:
+def exact(queries: DataFrame, rows: DataFrame, dims: int, kind: str = "float64", k: int = NEIGHBOURS) -> DataFrame:
     """(query_id, rank, vec_id, score) by comparing every query (id, vector) with every row (id, vector), in blocks."""
     spread = F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")
-    binary = _plain(queries, dims), _plain(rows, dims)
+    binary = _plain(queries, dims, kind), _plain(rows, dims, kind)
     left = _blocks(binary[0].withColumn("bucket", F.lit(0)).select("bucket", "id", "data"), _QUERIES)
     right = _blocks(binary[1].withColumn("bucket", spread).select("bucket", "id", "data"), _VECTORS)
     left = left.select(F.col("ids").alias("query_ids"), F.col("data").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("bucket"))
-    return _ranked(_compared(left.join(right, "bucket"), dims, k), k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(_compared(left.join(right, "bucket"), dims, kind, k), k).select("query_id", "rank", "vec_id", "score")
 
 
-def _plain(rows: DataFrame, dims: int) -> DataFrame:
+def _plain(rows: DataFrame, dims: int, kind: str) -> DataFrame:
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = pa.array([r.tobytes() for r in _matrix(batch.column(1), dims)], pa.binary())
+            data = pa.array([r.tobytes() for r in _matrix(batch.column(1), dims).astype(kind)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), data], names=["id", "data"])
 
     return rows.mapInArrow(plain, "id long, data binary")
@@ -236,6 +236,9 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
     count once, by their best score, and never answer that key's query. Further columns are not read; an empty
     table gives an empty result.
     """
+    # Single precision travels as it is; any other number as a double. Scores are computed in doubles.
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    kind = "float32" if single else "float64"
     length = _length("vector")
     banded = vectors(df, key, vector).withColumn("length", length).withColumn("band", F.floor(F.log("length") / math.log(BAND)).cast("int"))
     rows = save(banded, "vectors")
@@ -246,12 +249,12 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
     whole = crowded([(r[0], r[1], r[2]) for r in found], dims, k)
     rows = rows.select("id", "vector", "band")
     asked = rows.where(queries)
-    indexed = _blocks(_hashed(rows, dims, bands, whole, False, tables, probes, seed), _VECTORS)
-    probing = _blocks(_hashed(asked, dims, bands, whole, True, tables, probes, seed), _QUERIES)
+    indexed = _blocks(_hashed(rows, dims, kind, bands, whole, False, tables, probes, seed), _VECTORS)
+    probing = _blocks(_hashed(asked, dims, kind, bands, whole, True, tables, probes, seed), _QUERIES)
     probing = probing.select("bucket", F.col("ids").alias("query_ids"), F.col("data").alias("queries"))
-    found = save(_ranked(_compared(probing.join(indexed, "bucket"), dims, k), k).select("query_id", "rank", "vec_id", "score"), "found")
+    found = save(_ranked(_compared(probing.join(indexed, "bucket"), dims, kind, k), k).select("query_id", "rank", "vec_id", "score"), "found")
     counted = found.groupBy("query_id").agg(F.count("*").alias("n"))
     short = asked.join(counted, asked["id"] == counted["query_id"], "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "vector")
     short = save(short, "short")
-    whole = exact(short, rows, dims, k)
+    whole = exact(short, rows, dims, kind, k)
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").union(whole)
