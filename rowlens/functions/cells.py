@@ -13,6 +13,8 @@ NULL_POLICIES = ("skip", "zero")
 
 # What counts as a number when it is written as text.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Printable ASCII without the two characters that JSON escapes.
+PLAIN_PATTERN = r"^[ !#-\[\]-~]*+\z"
 
 _LARGEST_DOUBLE = 1.7976931348623157e308
 _EXACT_INTEGERS = float(2**53)
@@ -128,10 +130,12 @@ def json_length(df: DataFrame, name: str) -> Column:
     """Length of the cell written as JSON, in UTF-16 units."""
     cell, dtype = column(name), data_type(df, name)
     if is_text(dtype):
-        # The escaped text stands in {"v":...}; letters beyond the basic plane take two units.
+        # Text that JSON writes as it is, which is most of it, needs no writer.
+        plain = cell.rlike(PLAIN_PATTERN)
+        # Other text stands escaped in {"v":...}; letters beyond the basic plane take two units.
         escaped = F.length(F.to_json(F.struct(cell.alias("v")))) - 6
         wide = F.octet_length(F.encode(cell, "UTF-16BE")) / 2 - F.length(cell)
-        size = F.when(cell.isNotNull(), (escaped + wide).cast("long"))
+        size = F.when(plain, F.length(cell) + 2).when(cell.isNotNull(), (escaped + wide).cast("long"))
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
         size = F.when(
             F.abs(cell) <= F.lit(_LARGEST_DOUBLE), F.length(number_text(cell.cast("double")))

@@ -12,10 +12,13 @@ from rowlens.functions.cells import column, data_type, is_missing, is_text, json
 from rowlens.functions.small import small_table
 from rowlens.operators.passes import ROWS, keyed, one_scan
 from rowlens.operators.schema import check_scalar_columns
+from rowlens.sources.scratch import scratch_path
 
 PREVIEW_ROWS = 50
 # Text cells shorter than a SHA-256 digest are compared as they are, longer ones by digest.
 _DIGEST_BYTES = 32
+# Shared digests that are broadcast: 16 bytes each.
+MOST_SHARED = 200_000
 
 
 def missing_state(df: DataFrame, name: str) -> list[Column]:
@@ -73,13 +76,19 @@ def _row_key(df: DataFrame, name: str) -> Column:
     return F.when(short, cell.cast("binary")).otherwise(F.unhex(F.sha2(cell, 256)))
 
 
-def row_keys(df: DataFrame) -> list[Column]:
-    """Entry of a grouped scan: each row as a 128-bit digest of its cells and of which of them are null."""
+def _digested(df: DataFrame) -> list[Column]:
+    """What a digest takes of a row: its cells and which of them are null."""
     cells = []
     for c in df.columns:
         cell = column(c)
         # Digests pass over nulls; -0.0 and 0.0 are one value.
         cells += [cell.isNull(), cell + F.lit(0).cast(data_type(df, c)) if isinstance(data_type(df, c), (T.DoubleType, T.FloatType)) else cell]
+    return cells
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Entry of a grouped scan: each row as a 128-bit digest of its cells and of which of them are null."""
+    cells = _digested(df)
     return [keyed(ROWS, k1=F.xxhash64(F.lit(1), *cells), k2=F.xxhash64(F.lit(2), *cells))]
 
 
@@ -97,6 +106,25 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def repeated_rows(df: DataFrame) -> int:
+    """The duplicate_rows of a large table: only rows that share a 64-bit digest with another are compared cell by cell.
+
+    A table of distinct rows shuffles a digest a row and is done. Where more than MOST_SHARED digests are shared, all rows
+    are compared, since as many digests are no longer broadcast.
+    """
+    check_scalar_columns(df)
+    digest = F.xxhash64(*_digested(df))
+    copies = df.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("copies"))
+    path = scratch_path(df.sparkSession, "shared")
+    copies.where(F.col("copies") > 1).select("_digest").write.parquet(path)
+    shared = df.sparkSession.read.schema("_digest long").parquet(path)
+    held = shared.count()
+    if not held:
+        return 0
+    rows = df.join(F.broadcast(shared), digest == F.col("_digest"), "left_semi") if held <= MOST_SHARED else df
+    return duplicate_rows(rows).first()["duplicate_rows"]
+
+
 def json_state(df: DataFrame) -> list[Column]:
     """The state of the table's size, for a scan that several operators share: its length as one JSON array of objects."""
     row = F.lit(sum(len(_json_name(c)) + 1 for c in df.columns) + len(df.columns) + 1).cast("long")

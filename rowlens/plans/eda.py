@@ -81,7 +81,7 @@ def full_profile(
     found, top = categorical.from_keys(source, keys, categories, source_rows, start=len(numbers))
     if sampled:
         source.unpersist()
-        duplicates = table.duplicate_rows(df).first()["duplicate_rows"]
+        duplicates = table.repeated_rows(df)
 
     spark = df.sparkSession
     # Missing cells are counted on the whole table, also where the figures are those of a sample.

@@ -4,7 +4,7 @@ import math
 import pytest
 
 from rowlens.plans import column, detail, eda, quality, report
-from tests.scans import scans
+from tests.scans import scans, shuffled
 
 
 @pytest.fixture(scope="module")
@@ -128,6 +128,17 @@ def test_a_sample_without_equal_rows_hides_no_duplicates(spark):
         assert row["duplicate_rows"] == 2000
 
 
+def test_a_sampled_profile_shuffles_no_whole_rows(spark, tmp_path):
+    """A digest a row, and the rows near the sampled ones."""
+    path = str(tmp_path / "table")
+    spark.range(60_000).selectExpr("id * 7919 % 60000 AS k", *[f"sha2(concat(id, {i}), 256) AS s{i}" for i in range(4)]).write.parquet(path)
+    df = spark.read.parquet(path)
+    with shuffled(spark) as moved:
+        row = eda.full_profile(df, ["k"], sample_threshold=50).overview.first()
+    assert (row["rows"], row["sample_size"], row["duplicate_rows"]) == (60_000, 50, 0)
+    assert moved() < 60_000 * 100
+
+
 def test_a_profile_takes_five_scans(spark, tmp_path):
     """Numbers, dates, categories, numbers written as text, missing cells and repeated rows, all from the same scans."""
     path = str(tmp_path / "table")

@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from rowlens.operators import sampling
 from rowlens.operators.sampling import systematic_sample
 
 
@@ -54,3 +55,43 @@ def test_null_ties(spark):
 def test_size_is_checked(spark):
     with pytest.raises(ValueError):
         systematic_sample(spark.range(3), ["id"], 0)
+
+
+def test_rows_far_from_the_sampled_ones_are_not_sorted(spark, monkeypatch):
+    """What is sorted is written: counts of steps of the key, and the rows of the steps that hold a sampled position."""
+    written, sorted_rows = sampling._written, []
+
+    def counted(df, name):
+        table = written(df, name)
+        sorted_rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(sampling, "_written", counted)
+    df = spark.range(40_000).selectExpr("id DIV 4 AS k", "id * 7 % 40000 AS x").repartition(5)
+    rows = sorted(tuple(r) for r in df.collect())
+    assert sorted(tuple(r) for r in systematic_sample(df, ["k"], 40).collect()) == expected(rows, 40)
+    assert sum(sorted_rows) < 5_000
+
+
+_NUMBERS = {
+    "doubles": "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN double('NaN') WHEN id % 50 = 2 THEN double('Infinity') "
+    "WHEN id % 50 = 3 THEN double('-Infinity') WHEN id % 50 = 4 THEN -0.0D ELSE double(id * 37 % 1000 - 500) / 3 END",
+    "wide doubles": "CASE WHEN id = 7 THEN -1.7e308D WHEN id = 8 THEN 1.7e308D ELSE double(id * 37 % 3000) END",
+    "longs beyond doubles": "9007199254740993 + id * 37 % 3000",
+    "decimals": "decimal(id * 37 % 3000) / 7",
+    "dates": "date_add(date'1970-01-01', int(id * 37 % 3000) - 1500)",
+    "timestamps": "timestamp_micros(id * 37 % 3000 * 1000003 - 1000000000)",
+    "texts": "string(id * 37 % 3000)",
+    "one value": "int(5)",
+    "nulls": "int(NULL)",
+}
+
+
+@pytest.mark.parametrize("size", [9, 900])
+@pytest.mark.parametrize("name", _NUMBERS)
+def test_kinds_of_keys(spark, name, size):
+    """Positions are those of the whole sorted table, whichever rows are sorted to find them."""
+    df = spark.range(3000).selectExpr(f"{_NUMBERS[name]} AS k", "id % 700 AS x").repartition(3)
+    rows = [str(tuple(r)) for r in df.coalesce(1).sortWithinPartitions("k", "x").selectExpr("string(k + 0) AS k" if "doubles" in name else "string(k) AS k", "x").collect()]
+    found = systematic_sample(df, ["k"], size).selectExpr("string(k + 0) AS k" if "doubles" in name else "string(k) AS k", "x")
+    assert sorted(str(tuple(r)) for r in found.collect()) == sorted(expected(rows, size))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowlens.operators import table
 
@@ -37,6 +38,20 @@ def test_one_row_on_most_rows(spark):
     assert table.duplicate_rows(df).first()["duplicate_rows"] == 2999
 
 
+@pytest.mark.parametrize("most", [0, 1, 100])
+@pytest.mark.parametrize("digests", ["all", "one"])
+def test_repeated_rows_are_compared_cell_by_cell(spark, monkeypatch, most, digests):
+    """Also where all rows share a digest, and where more digests are shared than are broadcast."""
+    monkeypatch.setattr(table, "MOST_SHARED", most)
+    if digests == "one":
+        monkeypatch.setattr(table, "_digested", lambda df: [F.lit(0)])
+    cells = "SELECT string(nullif(id % 3, 0)) AS s, IF(id = 0, -0.0D, double(id % 2)) AS x, repeat('x', int(id % 6)) AS t"
+    df = spark.sql(f"{cells} FROM range(20) UNION ALL SELECT NULL, double('NaN'), 'a' FROM range(3) UNION ALL SELECT 'a', NULL, NULL")
+    assert table.repeated_rows(df) == table.duplicate_rows(df).first()["duplicate_rows"] == 24 - 8
+    assert table.repeated_rows(df.limit(0)) == 0
+    assert table.repeated_rows(spark.range(100).toDF("_copies")) == 0
+
+
 def test_memory_is_the_length_of_the_json_text(spark):
     rows = [{"id": i, "x": i / 4, "s": 'q"' if i % 2 else None, "b": i % 3 == 0} for i in range(50)]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], "id int, x double, s string, b boolean")
